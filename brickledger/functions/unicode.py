@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The functions travel inside the plan, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,7 +26,7 @@ HEX_REFERENCE = r"&#x([0-9a-fA-F]+);"
 DECIMAL_REFERENCE = r"&#(\d+);"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
     return pc.utf8_normalize(values, form="NFKC")
 
@@ -46,12 +47,12 @@ def _plain_letters(values: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_normalize(values, form="NFKD"), r"\p{M}", "")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _plain(values: pa.Array) -> pa.Array:
     return _plain_letters(values)
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(ArrayType(StringType()))
 def _plain_each(lists: pa.Array) -> pa.Array:
     ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).cast(pa.int32())
     offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
