@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import computed_once
 from . import patterns as P
 from .strings import (
     capitalise, digits_only, first_filled, first_group, found, is_blank, last_ten, let, strip,
@@ -110,10 +111,19 @@ def bare_candidates(clean: Column) -> Column:
     return F.transform(name_candidates(clean), _bare_name)
 
 
-def dealer_name(c: Column, registry) -> Column:
-    """The human or agency name in a text, or an empty string."""
-    bare = bare_candidates(clean_for_names(c))
-    return best_name(bare, plain_letters_each(bare), registry)
+def with_dealer_name(df: DataFrame, text: str, name: str, registry) -> DataFrame:
+    """Add the human or agency name found in a text column, or an empty string.
+
+    The text is finished before candidates are drawn from it: Spark does not
+    run two Python functions, one inside the other, in a single projection.
+    """
+    return (
+        computed_once(df, _clean=clean_for_names(F.col(text)))
+        .withColumn("_bare", bare_candidates(F.col("_clean")))
+        .withColumn("_plain", plain_letters_each(F.col("_bare")))
+        .withColumn(name, best_name(F.col("_bare"), F.col("_plain"), registry))
+        .drop("_clean", "_bare", "_plain")
+    )
 
 
 # -- sender identities ------------------------------------------------------

@@ -101,61 +101,66 @@ TEXT_RULES = [
     (r"\bWESTIN\b", "WESTIN"),
 ]
 
-# A normalised name that holds all words (and the pattern, if
-# one is given) belongs to the project; the first hit wins
+# A normalised name that holds all of the texts belongs to the
+# project; the first hit wins.  Blanks around a text make it a whole word.
 NAME_RULES = [
-    ("M3M CAPITAL WALK", ["M3M", "CAPITAL", "WALK"], None),
-    ("SMART WORLD DXP", ["SMARTWORLD", "DXP"], None),
-    ("M3M MANSION", ["M3M", "MANSION"], None),
-    ("M3M CAPITAL", ["M3M", "CAPITAL"], None),
-    ("M3M CROWN", ["M3M", "CROWN"], None),
-    ("PURI DIPLOMACTIC", ["PURI", "DIPLOMATIC"], None),
-    ("DIPLOMACTIC GREEN NEW", ["DIPLOMATIC", "GREEN"], None),
-    ("TASHEE CAPITAL GATWAY", ["TASHEE", "CAPITAL", "GATEWAY"], None),
-    ("ENGIMA", ["ENIGMA"], None),
-    ("ELAN THE PRESIDENTIAL", ["ELAN", "PRESIDENTIAL"], None),
-    ("SOBHA CITY", ["SOBHA CITY"], None),
-    ("GODREJ MERIDIAN", ["GODREJ", "MERIDIEN"], None),
-    ("HERO HOMES", ["HERO", "HOME"], None),
-    ("BPTP AMTORIA", ["BPTP", "AMSTORIA"], None),
-    ("M3M WOODSHIRE", ["M3M", "WOODSHIRE"], None),
-    ("ATS KOCOON", ["ATS", "KOCOON"], None),
-    ("WINDCHINTS", ["WINDCHANTS"], None),
-    ("IMPERIAL GARDEN", ["IMPERIAL", "GARDEN"], None),
-    ("TATA GURGAON GATEWAY", ["TATA", "GURGAON", "GATEWAY"], None),
-    ("INDIABULLS OFFICE SPACE", ["INDIABULLS", "OFFICE"], None),
-    ("ANSAL HIGHLAND PARK", ["ANSAL", "HIGHLAND", "PARK"], None),
-    ("SHAHPURJEE", [], r"\b(SHAPOORJI|SHAHPURJEE|SHAPURJI)\b"),
-    ("SATYA HIVE SEC102", ["SATYA", "HIVE"], None),
-    ("HEART SONG", ["HEART", "SONG"], None),
-    ("KRUSIMI", ["KRISUMI"], None),
-    ("HERITAGE MAX", ["HERITAGE", "MAX"], None),
-    ("PARAS", [], r"\bPARAS\b"),
-    ("G 99 PLOT", [], r"\bG ?99\b"),
-    ("EXPERION WESTILIZE", ["EXPERION", "WESTERLIES"], None),
-    ("PURI EMERALD BAY", ["PURI", "EMERALD", "BAY"], None),
-    ("TATA LA VIDA", ["TATA", "LA", "VIDA"], None),
-    ("KASHISH MANON ONE", ["KASHISH", "MANOR", "ONE"], None),
-    ("RAJEJA VANYA PLOT", ["RAHEJA", "VANYA"], None),
-    ("PLAZA SEC 106", ["PLAZA"], r"\b106\b"),
-    ("ASSOTECH BLITH", ["ASSOTECH", "BLITH"], None),
-    ("GURGAON GREENS", ["GURGAON", "GREEN"], None),
-    ("GODREJ ZENITH", ["GODREJ", "ZENITH"], None),
-    ("MAX 360", ["MAX", "360"], None),
-    ("SOBHA VILLA", ["SOBHA", "VILLA"], None),
-    ("M3M SOLITUDE", ["M3M", "SOLITUDE"], None),
-    ("COSMOS EXPRESS", ["COSMOS", "EXPRESS"], None),
-    ("GODREJ ICON", ["GODREJ", "ICON"], None),
-    ("EMAAR EBD SCO 114", ["EMAAR", "114"], r"EBD|SCO|BUSINESS.*DISTRICT|DISTRICT.*BUSINESS"),
-    ("ATS TRIMPH", ["ATS", "TRIUMPH"], None),
-    ("ATS TOURMOLINE", ["ATS", "TOURMALINE"], None),
-    ("HCBS", [], r"\bHCBS\b"),
-    ("SATYA MERINO", ["SATYA", "MERINO"], None),
-    ("VIENNA GREENS", ["VIENNA", "GREEN"], None),
-    ("PAREENA COBAN", ["PAREENA", "COBAN"], None),
-    ("INDIABULLS CLUB & ESTATE", ["INDIABULLS", "CLUB", "ESTATE"], None),
-    ("INDIA BULLS HIGHTS", ["INDIABULLS", "HEIGHT"], None),
-    ("SIGNATURE DXP", ["SIGNATURE", "DXP"], None),
-    ("KIMBERLY SUITES", ["KIMBERLY", "SUITE"], None),
-    ("WESTIN", [], r"\bWESTIN\b"),
+    ("M3M CAPITAL WALK", ["M3M", "CAPITAL", "WALK"]),
+    ("SMART WORLD DXP", ["SMARTWORLD", "DXP"]),
+    ("M3M MANSION", ["M3M", "MANSION"]),
+    ("M3M CAPITAL", ["M3M", "CAPITAL"]),
+    ("M3M CROWN", ["M3M", "CROWN"]),
+    ("PURI DIPLOMACTIC", ["PURI", "DIPLOMATIC"]),
+    ("DIPLOMACTIC GREEN NEW", ["DIPLOMATIC", "GREEN"]),
+    ("TASHEE CAPITAL GATWAY", ["TASHEE", "CAPITAL", "GATEWAY"]),
+    ("ENGIMA", ["ENIGMA"]),
+    ("ELAN THE PRESIDENTIAL", ["ELAN", "PRESIDENTIAL"]),
+    ("SOBHA CITY", ["SOBHA CITY"]),
+    ("GODREJ MERIDIAN", ["GODREJ", "MERIDIEN"]),
+    ("HERO HOMES", ["HERO", "HOME"]),
+    ("BPTP AMTORIA", ["BPTP", "AMSTORIA"]),
+    ("M3M WOODSHIRE", ["M3M", "WOODSHIRE"]),
+    ("ATS KOCOON", ["ATS", "KOCOON"]),
+    ("WINDCHINTS", ["WINDCHANTS"]),
+    ("IMPERIAL GARDEN", ["IMPERIAL", "GARDEN"]),
+    ("TATA GURGAON GATEWAY", ["TATA", "GURGAON", "GATEWAY"]),
+    ("INDIABULLS OFFICE SPACE", ["INDIABULLS", "OFFICE"]),
+    ("ANSAL HIGHLAND PARK", ["ANSAL", "HIGHLAND", "PARK"]),
+    ("SHAHPURJEE", [" SHAPOORJI "]),
+    ("SHAHPURJEE", [" SHAHPURJEE "]),
+    ("SHAHPURJEE", [" SHAPURJI "]),
+    ("SATYA HIVE SEC102", ["SATYA", "HIVE"]),
+    ("HEART SONG", ["HEART", "SONG"]),
+    ("KRUSIMI", ["KRISUMI"]),
+    ("HERITAGE MAX", ["HERITAGE", "MAX"]),
+    ("PARAS", [" PARAS "]),
+    ("G 99 PLOT", [" G 99 "]),
+    ("G 99 PLOT", [" G99 "]),
+    ("EXPERION WESTILIZE", ["EXPERION", "WESTERLIES"]),
+    ("PURI EMERALD BAY", ["PURI", "EMERALD", "BAY"]),
+    ("TATA LA VIDA", ["TATA", "LA", "VIDA"]),
+    ("KASHISH MANON ONE", ["KASHISH", "MANOR", "ONE"]),
+    ("RAJEJA VANYA PLOT", ["RAHEJA", "VANYA"]),
+    ("PLAZA SEC 106", ["PLAZA", " 106 "]),
+    ("ASSOTECH BLITH", ["ASSOTECH", "BLITH"]),
+    ("GURGAON GREENS", ["GURGAON", "GREEN"]),
+    ("GODREJ ZENITH", ["GODREJ", "ZENITH"]),
+    ("MAX 360", ["MAX", "360"]),
+    ("SOBHA VILLA", ["SOBHA", "VILLA"]),
+    ("M3M SOLITUDE", ["M3M", "SOLITUDE"]),
+    ("COSMOS EXPRESS", ["COSMOS", "EXPRESS"]),
+    ("GODREJ ICON", ["GODREJ", "ICON"]),
+    ("EMAAR EBD SCO 114", ["EMAAR", "114", "EBD"]),
+    ("EMAAR EBD SCO 114", ["EMAAR", "114", "SCO"]),
+    ("EMAAR EBD SCO 114", ["EMAAR", "114", "BUSINESS", "DISTRICT"]),
+    ("ATS TRIMPH", ["ATS", "TRIUMPH"]),
+    ("ATS TOURMOLINE", ["ATS", "TOURMALINE"]),
+    ("HCBS", [" HCBS "]),
+    ("SATYA MERINO", ["SATYA", "MERINO"]),
+    ("VIENNA GREENS", ["VIENNA", "GREEN"]),
+    ("PAREENA COBAN", ["PAREENA", "COBAN"]),
+    ("INDIABULLS CLUB & ESTATE", ["INDIABULLS", "CLUB", "ESTATE"]),
+    ("INDIA BULLS HIGHTS", ["INDIABULLS", "HEIGHT"]),
+    ("SIGNATURE DXP", ["SIGNATURE", "DXP"]),
+    ("KIMBERLY SUITES", ["KIMBERLY", "SUITE"]),
+    ("WESTIN", [" WESTIN "]),
 ]

@@ -1,15 +1,16 @@
 """Unicode normalisation, the one thing Spark has no built-in function for.
 
-The Arrow UDFs hand whole column batches to Arrow's own normaliser.  Callers
-go through the wrappers below, which send only the non-ASCII values to the
-Python worker: ASCII text is already in every normal form, so it travels as
-null and is filled back in on the JVM side.
+The Arrow UDFs work on column batches.  Callers go through the wrappers below,
+which send only the non-ASCII values to the Python worker: ASCII text is
+already in every normal form, so it travels as null and is filled back in on
+the JVM side.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,9 +27,14 @@ HEX_REFERENCE = r"&#x([0-9a-fA-F]+);"
 DECIMAL_REFERENCE = r"&#(\d+);"
 
 
+def _normalised(values: pa.Array, form: str) -> pa.Array:
+    texts = values.to_pylist()
+    return pa.array([None if t is None else unicodedata.normalize(form, t) for t in texts], pa.string())
+
+
 @F.arrow_udf(StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+    return _normalised(values, "NFKC")
 
 
 def decode_references(text: str) -> str:
@@ -44,7 +50,7 @@ def _plain_letters(values: pa.Array) -> pa.Array:
     if pc.any(referenced).as_py():
         decoded = [None if v is None else decode_references(v) for v in values.filter(referenced).to_pylist()]
         values = pc.replace_with_mask(values, referenced, pa.array(decoded, type=values.type))
-    return pc.replace_substring_regex(pc.utf8_normalize(values, form="NFKD"), r"\p{M}", "")
+    return pc.replace_substring_regex(_normalised(values, "NFKD"), r"\p{M}", "")
 
 
 @F.arrow_udf(StringType())

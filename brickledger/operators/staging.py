@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import OrderedDict
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+KEPT_EXPRESSIONS = 32
+
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later filters read but must not compute again.
@@ -13,3 +19,24 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     evaluates the column twice.  A generator stops that push.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def built_once(build: Callable) -> Callable:
+    """Remember the Columns that ``build`` makes, per application and arguments.
+
+    Building the extraction rules takes thousands of calls from Python to the
+    JVM.  The Columns name their inputs, so any number of plans can share them.
+    """
+    made: OrderedDict = OrderedDict()
+
+    @wraps(build)
+    def lookup(*args):
+        key = (SparkSession.active().sparkContext.applicationId, *args)
+        if key not in made:
+            made[key] = build(*args)
+            if len(made) > KEPT_EXPRESSIONS:
+                made.popitem(last=False)
+        made.move_to_end(key)
+        return made[key]
+
+    return lookup

@@ -20,7 +20,7 @@ from ..functions.project import project
 from ..functions.strings import first_filled, fmt_number, fmt_rent, is_blank, let, safe_take, strip
 from ..functions.unicode import plain_letters, plain_letters_each
 from ..operators.ranking import running_number
-from ..operators.staging import computed_once
+from ..operators.staging import built_once, computed_once
 from ..registry import Registry
 
 # Raise when extraction, project selection or field conversion change.
@@ -42,97 +42,120 @@ def _only(df: DataFrame, name: str, condition: Column, keep_empty: bool) -> Data
     return df.filter(condition)
 
 
+@built_once
+def _gate() -> tuple[Column, Column]:
+    body = F.col("body")
+    return T.fold_text(strip(F.col("text"))), ~T.is_noise(body) & T.has_listing(T.strip_format(body))
+
+
 def listing_texts(df: DataFrame, keep_empty: bool = False) -> DataFrame:
     """The gate: replace ``text`` by the folded ``body`` of messages that may hold a listing."""
     carried = [c for c in df.columns if c != "text"]
-    text = F.col("text")
-    present = df if keep_empty else df.filter(~is_blank(text))
-    folded = present.select(*carried, T.fold_text(strip(text)).alias("body"))
-    passed = ~T.is_noise(F.col("body")) & T.has_listing(T.strip_format(F.col("body")))
-    return _only(folded, "body", passed, keep_empty)
+    present = df if keep_empty else df.filter(~is_blank(F.col("text")))
+    folded, passed = _gate()
+    return _only(present.select(*carried, folded.alias("body")), "body", passed, keep_empty)
 
 
-def parse_bodies(gated: DataFrame, registry: Registry, keep_empty: bool = False) -> DataFrame:
-    """One row per listing of every ``body`` that passed the gate."""
-    carried = [c for c in gated.columns if c != "body"]
-    explode = F.posexplode_outer if keep_empty else F.posexplode
-
-    whole = gated.withColumn("whole", T.strip_format(F.col("body"))).select(
-        *carried, "whole",
-        T.deal_type(F.col("whole")).alias("deal_whole"),
-        T.phones(F.col("whole")).alias("phones_whole"),
+@built_once
+def _message_columns() -> list[Column]:
+    whole = F.col("whole")
+    return [
+        T.deal_type(whole).alias("deal_whole"), T.phones(whole).alias("phones_whole"),
         T.chunks(F.col("body")).alias("pieces"),
-    )
-    parts = whole.select(
-        *carried, "whole", "deal_whole", "phones_whole",
-        F.size("pieces").alias("n_parts"), explode("pieces").alias("part_no", "piece"),
-    )
-    # What is known of a message need not be found again in its only part.
-    only_part = F.col("n_parts") == 1
+    ]
+
+
+# What is known of a message need not be found again in its only part.
+def _of_part(known: Column, own: Column) -> Column:
+    return F.when(F.col("n_parts") == 1, known).otherwise(own)
 
-    def of_part(known: Column, own: Column) -> Column:
-        return F.when(only_part, known).otherwise(own)
 
+@built_once
+def _part_columns() -> tuple[Column, Column]:
+    clean = _of_part(F.col("whole"), T.strip_format(F.col("piece")))
     # a part that says nothing about the deal takes that of its message
-    own_deal = let(T.deal_type(F.col("clean")), lambda d: F.when(d == "Other", F.col("deal_whole")).otherwise(d))
-    dealt = parts.withColumn("clean", of_part(F.col("whole"), T.strip_format(F.col("piece")))).withColumn(
-        "deal_type", of_part(F.col("deal_whole"), own_deal)
-    )
+    deal = let(T.deal_type(F.col("clean")), lambda d: F.when(d == "Other", F.col("deal_whole")).otherwise(d))
+    return clean, _of_part(F.col("deal_whole"), deal)
+
+
+@built_once
+def _measures() -> dict[str, Column]:
     clean = F.col("clean")
-    measured = computed_once(
-        dealt,
-        money=money(clean, F.col("deal_type")), sizes=T.sizes(clean), bhk_values=T.bhk(clean), rate_psf=T.rate_psf(clean),
-    )
-    holds_values = (
-        (F.size("money.sale") > 0) | (F.size("money.rent") > 0) | (F.size("sizes") > 0) | (F.size("bhk_values") > 0)
-        | (F.col("rate_psf") != "")
-    )
-    measured = _only(measured, "clean", holds_values, keep_empty)
+    return {
+        "money": money(clean, F.col("deal_type")), "sizes": T.sizes(clean), "bhk_values": T.bhk(clean),
+        "rate_psf": T.rate_psf(clean),
+    }
 
-    stripped = strip(F.col("piece"))
+
+@built_once
+def _descriptions(registry: Registry) -> list[Column]:
+    clean, whole, stripped = F.col("clean"), F.col("whole"), strip(F.col("piece"))
+    several = F.col("n_parts") > 1
+    whole_location = F.when(several & (F.size(F.array_distinct(T.sectors(whole))) <= 1), T.location(whole))
+    phones_whole = F.col("phones_whole")
     # A dealer is looked for in the part, in the whole message if it has other
     # parts, and in the stored text if that was cut.
-    other_parts = F.when(clean.isNotNull() & (F.col("n_parts") > 1), F.col("whole"))
+    other_parts = F.when(clean.isNotNull() & several, whole)
     cut = F.when(
         clean.isNotNull() & (F.length(stripped) > P.MESSAGE_LIMIT), T.strip_format(safe_take(stripped, P.MESSAGE_LIMIT))
     )
-    whole_location = F.when(
-        ~only_part & (F.size(F.array_distinct(T.sectors(F.col("whole")))) <= 1), T.location(F.col("whole"))
-    )
-    whole_type = F.when(~only_part, T.property_type(F.col("whole")))
-    phones_whole = F.col("phones_whole")
-    described = measured.select(
-        *carried, "part_no", "n_parts", "deal_type", "bhk_values", "sizes", "rate_psf",
-        F.col("money.sale").alias("sale_cr"),
-        F.col("money.rent").alias("rent_inr"),
-        F.col("money.rates").alias("rates"),
-        first_filled(T.property_type(clean), whole_type).alias("property_type"),
+    return [
+        F.col("money.sale").alias("sale_cr"), F.col("money.rent").alias("rent_inr"), F.col("money.rates").alias("rates"),
+        first_filled(T.property_type(clean), F.when(several, T.property_type(whole))).alias("property_type"),
         project(clean, registry).alias("project_or_society"),
         first_filled(T.location(clean), whole_location).alias("location"),
-        of_part(F.array_distinct(phones_whole), F.array_union(T.phones(clean), phones_whole)).alias("phones"),
+        _of_part(F.array_distinct(phones_whole), F.array_union(T.phones(clean), phones_whole)).alias("phones"),
         F.when(clean.isNotNull(), safe_take(F.translate(stripped, "\x00", ""), P.MESSAGE_LIMIT)).alias("full_message"),
-        D.bare_candidates(clean).alias("part_names"),
-        D.bare_candidates(other_parts).alias("message_names"),
-        D.bare_candidates(cut).alias("cut_names"),
-    )
+        F.transform(F.array(clean, other_parts, cut), lambda text: D.bare_candidates(text)).alias("candidates"),
+        cut.isNotNull().alias("is_cut"),
+    ]
+
+
+@built_once
+def _names(registry: Registry) -> tuple[Column, Column, Column]:
+    plain = F.array(*[plain_letters_each(F.col("candidates")[i]) for i in range(3)])
+    names = F.zip_with("candidates", plain, lambda bare, plain: D.best_name(bare, plain, registry))
+    return names, plain_letters(F.col("project_or_society")), registry.canonical_plain(F.col("plain_project"))
 
-    def name(candidates: str) -> Column:
-        return D.best_name(F.col(candidates), plain_letters_each(F.col(candidates)), registry)
 
-    named = described.withColumns({
-        "canonical": registry.canonical_plain(plain_letters(F.col("project_or_society"))),
-        "name_in_part": name("part_names"), "name_in_message": name("message_names"), "name_in_cut": name("cut_names"),
-    })
-    shown = {
+@built_once
+def _display_texts() -> dict[str, Column]:
+    names = F.col("names")
+    return {
         "bhk": T.bhk_label(F.col("bhk_values")),
         "size": _shown(F.col("sizes"), P.SHOWN_SIZES, lambda v: v),
         "sale_price_cr": _shown(F.col("sale_cr"), P.SHOWN_PRICES, fmt_number),
         "rent_per_month": _shown(F.col("rent_inr"), P.SHOWN_PRICES, fmt_rent),
         "rate_per_sqft": first_filled(F.col("rate_psf"), _shown(F.col("rates"), P.SHOWN_RATES, lambda v: v)),
         "contact_no": F.array_join(F.slice("phones", 1, P.SHOWN_PHONES), ", "),
-        "name_in_text": F.when(F.col("cut_names").isNotNull(), F.col("name_in_cut")).otherwise(F.col("name_in_part")),
+        "name_in_part": names[0],
+        "name_in_message": names[1],
+        "name_in_text": F.when(F.col("is_cut"), names[2]).otherwise(names[0]),
     }
-    return named.withColumns(shown).select(*carried, *PARSED_FIELDS, *TYPED_FIELDS)
+
+
+def parse_bodies(gated: DataFrame, registry: Registry, keep_empty: bool = False) -> DataFrame:
+    """One row per listing of every ``body`` that passed the gate."""
+    carried = [c for c in gated.columns if c != "body"]
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    whole = gated.withColumn("whole", T.strip_format(F.col("body"))).select(*carried, "whole", *_message_columns())
+    parts = whole.select(
+        *carried, "whole", "deal_whole", "phones_whole",
+        F.size("pieces").alias("n_parts"), explode("pieces").alias("part_no", "piece"),
+    )
+    clean, deal = _part_columns()
+    measured = computed_once(parts.withColumn("clean", clean).withColumn("deal_type", deal), **_measures())
+    holds_values = (
+        (F.size("money.sale") > 0) | (F.size("money.rent") > 0) | (F.size("sizes") > 0) | (F.size("bhk_values") > 0)
+        | (F.col("rate_psf") != "")
+    )
+    described = _only(measured, "clean", holds_values, keep_empty).select(
+        *carried, "part_no", "n_parts", "deal_type", "bhk_values", "sizes", "rate_psf", *_descriptions(registry)
+    )
+    names, plain_project, canonical = _names(registry)
+    named = described.select("*", names.alias("names"), plain_project.alias("plain_project"))
+    shown = named.withColumns({"canonical": canonical, **_display_texts()})
+    return shown.select(*carried, *PARSED_FIELDS, *TYPED_FIELDS)
 
 
 def _shown(values: Column, n: int, fmt) -> Column:
@@ -155,8 +178,12 @@ def repost_key(body: Column) -> Column:
 
 
 def times_posted(gated: DataFrame) -> DataFrame:
-    """Occurrence number of each gated message among those with the same repost key."""
-    return running_number(gated, F.md5(repost_key(F.col("body"))), "chat_id", "message_id", "times_posted")
+    """``(chat_id, message_id, times_posted)``: which posting of its text each gated message is.
+
+    Only ids and a hash of the key are shuffled, not the texts.
+    """
+    keyed = gated.select("chat_id", "message_id", F.md5(repost_key(F.col("body"))).alias("repost_key"))
+    return running_number(keyed, F.col("repost_key"), "chat_id", "message_id", "times_posted").drop("repost_key")
 
 
 def extract_listings(messages: DataFrame, registry: Registry, count_posts: bool = True) -> DataFrame:
@@ -166,10 +193,9 @@ def extract_listings(messages: DataFrame, registry: Registry, count_posts: bool
     ``count_posts`` the running count is left at 1 and nothing is shuffled.
     """
     gated = listing_texts(messages)
-    counted = times_posted(gated) if count_posts else gated.withColumn("times_posted", F.lit(1))
     posted_at = F.timestamp_millis("timestamp_ms")
     several = F.concat((F.col("part_no") + 1).cast("string"), F.lit(" of "), F.col("n_parts").cast("string"))
-    return parse_bodies(counted, registry).select(
+    listings = parse_bodies(gated, registry).select(
         "chat_id", "message_id", "part_no", "timestamp_ms",
         F.date_format(posted_at, "dd/MM/yy").alias("date"),
         F.date_format(posted_at, "HH:mm").alias("time"),
@@ -177,10 +203,14 @@ def extract_listings(messages: DataFrame, registry: Registry, count_posts: bool
         "deal_type", "property_type", "project_or_society", "location", "bhk", "size", "sale_price_cr",
         "rent_per_month", "rate_per_sqft", "contact_no",
         F.when(F.col("n_parts") > 1, several).otherwise("").alias("listing_in_msg"),
-        "times_posted", "full_message", "canonical", "name_in_text", *TYPED_FIELDS,
+        "full_message", "canonical", "name_in_text", *TYPED_FIELDS,
     )
+    if not count_posts:
+        return listings.withColumn("times_posted", F.lit(1))
+    return listings.join(times_posted(gated), ["chat_id", "message_id"])
 
 
+@built_once
 def registered(registry: Registry) -> Column:
     """``struct<society, status>`` of a listing: IN with its registered name, else OUT."""
     canonical = first_filled(F.col("canonical"), registry.canonical_in_text(F.col("full_message")))
@@ -190,6 +220,7 @@ def registered(registry: Registry) -> Column:
     ))
 
 
+@built_once
 def display_fields(keep_run_on: bool = False) -> dict[str, Column]:
     """Inventory columns that depend on neither dealer nor registry."""
     message, kind = F.col("full_message"), F.col("property_type")
@@ -205,22 +236,27 @@ def display_fields(keep_run_on: bool = False) -> dict[str, Column]:
 
 def with_registry_columns(listings: DataFrame, registry: Registry) -> DataFrame:
     """Add ``canonical`` and ``name_in_text`` to listings that came without them."""
-    missing = {
-        "canonical": lambda: registry.canonical_name(F.col("project_or_society")),
-        "name_in_text": lambda: D.dealer_name(F.col("full_message"), registry),
-    }
-    return listings.withColumns({name: make() for name, make in missing.items() if name not in listings.columns})
+    if "canonical" not in listings.columns:
+        listings = listings.withColumn("canonical", registry.canonical_name(F.col("project_or_society")))
+    if "name_in_text" not in listings.columns:
+        listings = D.with_dealer_name(listings, "full_message", "name_in_text", registry)
+    return listings
+
+
+@built_once
+def _contact_columns() -> tuple[Column, Column]:
+    phone = D.listing_phone(F.col("contact_no"), F.col("posted_by"))
+    return phone, D.listing_dealer(F.col("name_in_text"), F.col("posted_by"), F.col("phone"))
 
 
 def to_inventory_rows(listings: DataFrame, registry: Registry, keep_run_on: bool = False) -> DataFrame:
     """Inventory rows of extracted listings: society, status, dealer, phone and display fields."""
-    phone = D.listing_phone(F.col("contact_no"), F.col("posted_by"))
+    phone, dealer = _contact_columns()
     return (
         with_registry_columns(listings, registry)
         .withColumns({**display_fields(keep_run_on), "registered": registered(registry), "phone": phone})
         .withColumns({
-            "society": F.col("registered.society"), "status": F.col("registered.status"),
-            "dealer": D.listing_dealer(F.col("name_in_text"), F.col("posted_by"), F.col("phone")),
+            "society": F.col("registered.society"), "status": F.col("registered.status"), "dealer": dealer,
         })
         .drop("registered")
     )

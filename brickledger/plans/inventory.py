@@ -11,6 +11,7 @@ from ..functions import dealer as D
 from ..functions.strings import first_filled
 from ..operators.dedup import consolidate, earliest_per, flag_superseded, keep_earliest
 from ..operators.skew import ROWS_PER_TASK, heavy_keys, spread_join
+from ..operators.staging import built_once
 from ..operators.storage import stored
 from ..operators.windows import recent_listings
 from ..registry import Registry
@@ -97,15 +98,18 @@ def extract_once(
     return spread_join(posts, parsed, "digest", heavy, ["chat_id", "message_id"])
 
 
+@built_once
+def _post_columns() -> list[Column]:
+    sender, phone = F.col("sender"), F.col("phone")
+    dealer = D.posted_dealer(F.col("name_in_text"), F.col("dealer"), phone, sender)
+    return [dealer.alias("dealer"), D.posted_phone(phone, sender).alias("phone")]
+
+
 def post_rows(templates: DataFrame) -> DataFrame:
     """Give every template row the dealer and phone of the post it came from."""
-    sender = F.col("sender")
-    return templates.withColumn(
-        "_dealer", D.posted_dealer(F.col("name_in_text"), F.col("dealer"), F.col("phone"), sender)
-    ).select(
+    return templates.select(
         F.col("timestamp_ms").alias("ts"), *POST_ORDER,
-        *[c for c in INVENTORY_FIELDS if c not in ("dealer", "phone")],
-        F.col("_dealer").alias("dealer"), D.posted_phone(F.col("phone"), sender).alias("phone"),
+        *[c for c in INVENTORY_FIELDS if c not in ("dealer", "phone")], *_post_columns(),
     )
 
 

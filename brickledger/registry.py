@@ -7,12 +7,12 @@ DataFrames, so the rules reach the executors as literals of the plan.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,13 +144,16 @@ class Registry:
         return F.coalesce(self.canonical_name(c) != "", F.lit(False))
 
     def _canonical_normalised(self, name: Column) -> Column:
-        arms: list[tuple[Column, str]] = []
-        for project in self.custom:
-            spellings = dict.fromkeys(_normalise_constant(n) for n in (project.name, *project.aliases))
-            hits = [name.contains(n) for n in spellings if n]
-            if hits:
-                arms.append((reduce(or_, hits), project.name))
-        for canonical, words, pattern in NAME_RULES:
-            tests = [name.contains(word) for word in words] + ([name.rlike(pattern)] if pattern else [])
-            arms.append((reduce(and_, tests), canonical))
-        return reduce(lambda case, arm: case.when(*arm), arms, F).otherwise("")
+        padded = F.concat(F.lit(" "), name, F.lit(" "))
+        # the rules are one constant array: the plan does not grow with them
+        rules = F.from_json(F.lit(json.dumps(self.name_rules())), "array<struct<project: string, texts: array<string>>>")
+        hits = F.filter(rules, lambda rule: F.forall(rule["texts"], lambda text: F.contains(padded, text)))
+        return F.when(name == "", "").otherwise(F.coalesce(F.get(hits, 0)["project"], F.lit("")))
+
+    def name_rules(self) -> list[dict]:
+        """Texts that a normalised name of each project holds, custom projects first."""
+        own = [
+            (p.name, [spelling]) for p in self.custom
+            for spelling in dict.fromkeys(_normalise_constant(n) for n in (p.name, *p.aliases)) if spelling
+        ]
+        return [{"project": project, "texts": texts} for project, texts in own + NAME_RULES]

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 import brickledger as b
 from brickledger.functions import rows as R
-from brickledger.functions.dealer import dealer_name, format_dealer_name, posted_dealer, posted_phone, valid_dealer_name
+from brickledger.functions.dealer import (
+    format_dealer_name, posted_dealer, posted_phone, valid_dealer_name, with_dealer_name,
+)
 from brickledger.plans.inventory import post_rows
 from brickledger.plans.extraction import templates
 
@@ -29,7 +31,7 @@ NAME_FOUND = "CASE WHEN ok % 8 = 4 THEN 'Golden Key Realtors' WHEN ok % 8 = 5 TH
 
 @check("t17_dealer_name", f"{ads_with(NAME_TEXT)} SELECT message_id, {NAME_FOUND} AS dealer FROM ads")
 def t17(spark, sf):
-    return ads(spark, sf, NAME_TEXT).select("message_id", dealer_name(F.col("text"), REGISTRY).alias("dealer"))
+    return with_dealer_name(ads(spark, sf, NAME_TEXT), "text", "dealer", REGISTRY).select("message_id", "dealer")
 
 
 @check("t18_valid_dealer_name", """
@@ -101,16 +103,16 @@ FIELD_TEXT = """CASE ok % 6
     SELECT message_id,
       CASE ok % 6 WHEN 4 THEN sector WHEN 5 THEN sector || 'B' ELSE '' END AS sec, area,
       rooms || 'BHK' || CASE ok % 6 WHEN 0 THEN ' + SR' WHEN 1 THEN ' + STUDY' WHEN 3 THEN ' + SR + STUDY' ELSE '' END AS acco,
-      CASE ok % 6 WHEN 0 THEN 'PLOT' WHEN 4 THEN 'OFFICE' ELSE 'SCO' END AS kind_acco,
+      CASE ok % 6 WHEN 0 THEN 'PLOT' WHEN 2 THEN 'SHOP' ELSE 'OFFICE' END AS kind_acco,
       CASE ok % 6 WHEN 0 THEN 'GROUND' WHEN 1 THEN CAST(whole AS VARCHAR) WHEN 2 THEN 'UGF' WHEN 3 THEN CAST(whole AS VARCHAR)
-        WHEN 4 THEN '' ELSE 'SCO' END AS floor,
+        ELSE 'SCO' END AS floor,
       CASE ok % 6 WHEN 0 THEN 'T ' || rooms || 'B ' || area WHEN 1 THEN 'T ' || rooms WHEN 2 THEN area || '/A'
         WHEN 3 THEN 'BLOCK ' || rooms || 'C' ELSE '' END AS flat_no,
       CASE ok % 6 WHEN 0 THEN whole || ' CR | 3 CR' WHEN 1 THEN '45 k' WHEN 5 THEN '@ 1' || area ELSE '' END AS price
     FROM ads""")
 def i1(spark, sf):
     text, shape = F.col("text"), F.col("ok") % 6
-    kind = F.when(shape == 0, "Plot / Land").when(shape == 4, "Office / Commercial").otherwise("SCO / Plot (Commercial)")
+    kind = F.when(shape == 0, "Plot / Land").when(shape == 2, "Shop / Retail").otherwise("SCO / Plot (Commercial)")
     sale = F.when(shape == 0, F.concat(F.col("whole").cast("string"), F.lit(" | 3"))).otherwise("")
     rent = F.when(shape == 1, "45 k").otherwise("")
     return ads(spark, sf, FIELD_TEXT).select(

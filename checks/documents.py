@@ -59,12 +59,15 @@ def t4(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.has_listing(text).alias("listing"))
 
 
-@check("t20_number_formats", """
-    SELECT l_orderkey, l_linenumber, l_extendedprice, fmt AS number, CASE WHEN l_extendedprice >= 100000
-      THEN regexp_replace(printf('%.2f', l_extendedprice / 100000), '\\.?0+$', '') || ' L'
-      ELSE regexp_replace(printf('%.2f', l_extendedprice / 1000), '\\.?0+$', '') || ' k' END AS rent
-    FROM (SELECT *, CASE WHEN l_quantity % 1 = 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)
-      ELSE regexp_replace(printf('%.2f', l_quantity), '\\.?0+$', '') END AS fmt FROM lineitem)""")
+# prices have two decimals; halves are rounded up
+HUNDREDTHS = "regexp_replace((h // 100) || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0'), '\\.?0+$', '')"
+
+
+@check("t20_number_formats", f"""
+    SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS number, {HUNDREDTHS} || unit AS rent
+    FROM (SELECT *, CASE WHEN cents >= 10000000 THEN (cents + 50000) // 100000 ELSE (cents + 500) // 1000 END AS h,
+        CASE WHEN cents >= 10000000 THEN ' L' ELSE ' k' END AS unit
+      FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem))""")
 def t20(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", fmt_number(F.col("l_quantity")).alias("number"),

@@ -33,12 +33,13 @@ def d2(spark, sf):
     return listings(spark, sf).select("dedup_key", "ts", "chat_id", "message_id", "part_no", *INVENTORY_FIELDS)
 
 
+# Two-digit years are read as 2000 to 2099, so dates before 2000 come a century later.
 CONSOLIDATED = f"""{ads_with()},
-grouped AS (SELECT ck, rooms, name, text, mobile, count(*) AS n, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms,
-    arg_max(message_id, timestamp_ms * 1000000000 + chat_id * 50000000 + message_id) AS latest,
-    arg_min(chat_id, timestamp_ms * 1000000000 + chat_id * 50000000 + message_id) AS first_chat,
-    arg_min(message_id, timestamp_ms * 1000000000 + chat_id * 50000000 + message_id) AS first_message
-  FROM ads GROUP BY ALL)"""
+dated AS (SELECT *, (timestamp_ms + CASE WHEN timestamp_ms < 946684800000 THEN 3155760000000 ELSE 0 END)::HUGEINT
+  * 1000000000000 + chat_id * 10000000000 + message_id AS moment FROM ads),
+grouped AS (SELECT ck, rooms, name, text, mobile, count(*) AS n, arg_min(timestamp_ms, moment) AS first_ms,
+    arg_max(message_id, moment) AS latest, min(moment) AS first_moment
+  FROM dated GROUP BY ALL)"""
 
 
 @check("d3_consolidate", f"""{CONSOLIDATED}
@@ -70,15 +71,15 @@ def d7_cache(spark, sf):
     return rows.select("dedup_key", "ts", "message_id", "society", "dealer", "phone")
 
 
-@check("i12_batch_inventory", f"""{CONSOLIDATED.replace("FROM ads GROUP", "FROM ads WHERE make_timestamp(timestamp_ms * 1000) BETWEEN TIMESTAMP '1997-10-01' AND TIMESTAMP '1998-10-15' GROUP")},
+@check("i12_batch_inventory", f"""{CONSOLIDATED.replace("FROM dated GROUP", "FROM dated WHERE make_timestamp(timestamp_ms * 1000) BETWEEN TIMESTAMP '2000-06-01' AND TIMESTAMP '2001-06-15' GROUP")},
     rows AS (SELECT g.*, a.project, a.title, a.sector, a.area FROM grouped g JOIN ads a ON a.message_id = g.latest),
     named AS (SELECT *, CASE WHEN project = '' THEN title || ' Sector ' || sector ELSE project END AS society FROM rows)
     SELECT society, CASE WHEN project = '' THEN 'OUT' ELSE 'IN' END AS status, sector AS sec, area, name AS dealer, mobile AS phone,
       CAST(n AS INTEGER) AS times_posted, row_number() OVER (PARTITION BY society, name
-        ORDER BY first_ms DESC, first_chat DESC, first_message DESC) <> 1 AS is_duplicate
+        ORDER BY first_moment DESC) <> 1 AS is_duplicate
     FROM named""")
 def i12(spark, sf):
-    rows = b.batch_inventory(messages(spark, sf), REGISTRY, dt.date(1998, 10, 15), months=12)
+    rows = b.batch_inventory(messages(spark, sf), REGISTRY, dt.date(2001, 6, 15), months=12)
     return rows.select("society", "status", "sec", "area", "dealer", "phone", "times_posted", "is_duplicate")
 
 
@@ -177,9 +178,11 @@ def k1_file(spark, sf):
     path = tempfile.mkdtemp(prefix="csv-", dir=shared_folder(spark)) + "/master"
     b.write_inventory_csv(inventory(spark, sf), path)
     lines = spark.read.option("lineSep", "\r\n").text(path)
+    # the reader drops a byte order mark at the start of a file
+    header = F.col("value").contains("SOCIETY,PROJECT LIST STATUS,SEC ,AREA ,")
     return lines.agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("value").startswith("﻿SOCIETY,"), 1).otherwise(0)).alias("headers"),
-        F.max(F.when(~F.col("value").startswith("﻿"), F.length("value"))).alias("longest"),
+        F.count("*").alias("n"), F.sum(F.when(header, 1).otherwise(0)).alias("headers"),
+        F.max(F.when(~header, F.length("value"))).alias("longest"),
     )
 
 
@@ -202,8 +205,8 @@ def k4(spark, sf):
 
 def _stream(spark, sf):
     """Ads as a stream, read from the file of orders."""
-    source = f"{sf}/orders.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    schema = spark.read.parquet(f"{sf}/orders.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
     stream.createOrReplaceTempView("orders")
     return spark.sql(ads_sql("spark", SALE_TEXT)).select("chat_id", "message_id", "timestamp_ms", "sender", "text")
 

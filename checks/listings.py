@@ -32,7 +32,7 @@ KINDS_TEXT = """CASE ok % 8
 MONEY_TEXT = """CASE ok % 8
   WHEN 0 THEN 'Rent ' || whole || '.5 lac' || chr(10) || 'asking ' || whole || ' Cr'
   WHEN 1 THEN 'Price 2.' || part || ' lac Sq.yd slightly'
-  WHEN 2 THEN 'Rent ' || part || 'k demand ' || part || '.25 lakhs'
+  WHEN 2 THEN 'Rent ' || part || 'k, our demand ' || part || '.25 lakhs'
   WHEN 3 THEN 'monthly 4' || part || ',000 + maintenance'
   WHEN 4 THEN 'cost ' || part || ' lacs, ' || whole || ',5 crores'
   WHEN 5 THEN 'Plot 200 sqyd @ ' || part || ' k'
@@ -142,7 +142,7 @@ def t14(spark, sf):
 
 
 TITLE_TEXT = """CASE ok % 4
-  WHEN 0 THEN 'Good flat in Palladian ' || rooms || 'x Gardens, sector ' || sector || chr(10) || area || ' sqft'
+  WHEN 0 THEN 'Nice house in Palladian ' || rooms || 'x Gardens, sector ' || sector || chr(10) || area || ' sqft'
   WHEN 1 THEN 'Price on call' || chr(10) || 'Emerald Heights Block ' || sector || chr(10) || mobile
   WHEN 2 THEN 'Project: Hill View ' || sector || ' size ' || area
   ELSE '*New launch*' || chr(10) || 'Location - Lake Enclave ' || sector || chr(10) || 'Tower 5' END"""
@@ -194,7 +194,7 @@ def c10(spark, sf):
 
 @check("c11_recent_listings", f"""{ads_with()}
     SELECT message_id, {RENT_DAY} AS date FROM ads
-    WHERE make_timestamp(timestamp_ms * 1000) BETWEEN TIMESTAMP '1998-11-01' AND TIMESTAMP '1999-02-14'""")
+    WHERE make_timestamp(timestamp_ms * 1000) BETWEEN TIMESTAMP '2000-11-01' AND TIMESTAMP '2001-02-14'""")
 def c11(spark, sf):
     dated = ads(spark, sf).select("message_id", F.date_format(F.timestamp_millis("timestamp_ms"), "dd/MM/yy").alias("date"))
-    return b.recent_listings(dated, dt.date(1999, 2, 14))
+    return b.recent_listings(dated, dt.date(2001, 2, 14))
