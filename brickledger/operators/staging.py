@@ -13,10 +13,12 @@ KEPT_EXPRESSIONS = 32
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that later filters read but must not compute again.
+    """Add columns as a finished stage of their own.
 
     A filter on a plain projected column is pushed below the projection, which
-    evaluates the column twice.  A generator stops that push.
+    evaluates the column twice, and the optimizer derives constraints from
+    every projected expression, which takes long for large ones.  A generator
+    gives the same rows and stops both.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 

@@ -53,16 +53,13 @@ def listing_texts(df: DataFrame, keep_empty: bool = False) -> DataFrame:
     carried = [c for c in df.columns if c != "text"]
     present = df if keep_empty else df.filter(~is_blank(F.col("text")))
     folded, passed = _gate()
-    return _only(present.select(*carried, folded.alias("body")), "body", passed, keep_empty)
+    return _only(computed_once(present, body=folded).select(*carried, "body"), "body", passed, keep_empty)
 
 
 @built_once
-def _message_columns() -> list[Column]:
+def _message_columns() -> dict[str, Column]:
     whole = F.col("whole")
-    return [
-        T.deal_type(whole).alias("deal_whole"), T.phones(whole).alias("phones_whole"),
-        T.chunks(F.col("body")).alias("pieces"),
-    ]
+    return {"deal_whole": T.deal_type(whole), "phones_whole": T.phones(whole), "pieces": T.chunks(F.col("body"))}
 
 
 # What is known of a message need not be found again in its only part.
@@ -88,7 +85,7 @@ def _measures() -> dict[str, Column]:
 
 
 @built_once
-def _descriptions(registry: Registry) -> list[Column]:
+def _descriptions(registry: Registry) -> dict[str, Column]:
     clean, whole, stripped = F.col("clean"), F.col("whole"), strip(F.col("piece"))
     several = F.col("n_parts") > 1
     whole_location = F.when(several & (F.size(F.array_distinct(T.sectors(whole))) <= 1), T.location(whole))
@@ -99,23 +96,24 @@ def _descriptions(registry: Registry) -> list[Column]:
     cut = F.when(
         clean.isNotNull() & (F.length(stripped) > P.MESSAGE_LIMIT), T.strip_format(safe_take(stripped, P.MESSAGE_LIMIT))
     )
-    return [
-        F.col("money.sale").alias("sale_cr"), F.col("money.rent").alias("rent_inr"), F.col("money.rates").alias("rates"),
-        first_filled(T.property_type(clean), F.when(several, T.property_type(whole))).alias("property_type"),
-        project(clean, registry).alias("project_or_society"),
-        first_filled(T.location(clean), whole_location).alias("location"),
-        _of_part(F.array_distinct(phones_whole), F.array_union(T.phones(clean), phones_whole)).alias("phones"),
-        F.when(clean.isNotNull(), safe_take(F.translate(stripped, "\x00", ""), P.MESSAGE_LIMIT)).alias("full_message"),
-        F.transform(F.array(clean, other_parts, cut), lambda text: D.bare_candidates(text)).alias("candidates"),
-        cut.isNotNull().alias("is_cut"),
-    ]
+    return {
+        "sale_cr": F.col("money.sale"), "rent_inr": F.col("money.rent"), "rates": F.col("money.rates"),
+        "property_type": first_filled(T.property_type(clean), F.when(several, T.property_type(whole))),
+        "project_or_society": project(clean, registry),
+        "location": first_filled(T.location(clean), whole_location),
+        "phones": _of_part(F.array_distinct(phones_whole), F.array_union(T.phones(clean), phones_whole)),
+        "full_message": F.when(clean.isNotNull(), safe_take(F.translate(stripped, "\x00", ""), P.MESSAGE_LIMIT)),
+        "candidates": F.transform(F.array(clean, other_parts, cut), lambda text: D.bare_candidates(text)),
+        "is_cut": cut.isNotNull(),
+    }
 
 
 @built_once
-def _names(registry: Registry) -> tuple[Column, Column, Column]:
+def _names(registry: Registry) -> tuple[dict[str, Column], Column]:
     plain = F.array(*[plain_letters_each(F.col("candidates")[i]) for i in range(3)])
     names = F.zip_with("candidates", plain, lambda bare, plain: D.best_name(bare, plain, registry))
-    return names, plain_letters(F.col("project_or_society")), registry.canonical_plain(F.col("plain_project"))
+    plain_project = plain_letters(F.col("project_or_society"))
+    return {"names": names, "plain_project": plain_project}, registry.canonical_plain(F.col("plain_project"))
 
 
 @built_once
@@ -138,23 +136,22 @@ def parse_bodies(gated: DataFrame, registry: Registry, keep_empty: bool = False)
     """One row per listing of every ``body`` that passed the gate."""
     carried = [c for c in gated.columns if c != "body"]
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    whole = gated.withColumn("whole", T.strip_format(F.col("body"))).select(*carried, "whole", *_message_columns())
+    whole = computed_once(computed_once(gated, whole=T.strip_format(F.col("body"))), **_message_columns())
     parts = whole.select(
         *carried, "whole", "deal_whole", "phones_whole",
         F.size("pieces").alias("n_parts"), explode("pieces").alias("part_no", "piece"),
     )
     clean, deal = _part_columns()
-    measured = computed_once(parts.withColumn("clean", clean).withColumn("deal_type", deal), **_measures())
+    measured = computed_once(computed_once(computed_once(parts, clean=clean), deal_type=deal), **_measures())
     holds_values = (
         (F.size("money.sale") > 0) | (F.size("money.rent") > 0) | (F.size("sizes") > 0) | (F.size("bhk_values") > 0)
         | (F.col("rate_psf") != "")
     )
-    described = _only(measured, "clean", holds_values, keep_empty).select(
+    described = computed_once(_only(measured, "clean", holds_values, keep_empty), **_descriptions(registry)).select(
         *carried, "part_no", "n_parts", "deal_type", "bhk_values", "sizes", "rate_psf", *_descriptions(registry)
     )
-    names, plain_project, canonical = _names(registry)
-    named = described.select("*", names.alias("names"), plain_project.alias("plain_project"))
-    shown = named.withColumns({"canonical": canonical, **_display_texts()})
+    names, canonical = _names(registry)
+    shown = computed_once(computed_once(described, **names), canonical=canonical, **_display_texts())
     return shown.select(*carried, *PARSED_FIELDS, *TYPED_FIELDS)
 
 
@@ -252,13 +249,11 @@ def _contact_columns() -> tuple[Column, Column]:
 def to_inventory_rows(listings: DataFrame, registry: Registry, keep_run_on: bool = False) -> DataFrame:
     """Inventory rows of extracted listings: society, status, dealer, phone and display fields."""
     phone, dealer = _contact_columns()
-    return (
-        with_registry_columns(listings, registry)
-        .withColumns({**display_fields(keep_run_on), "registered": registered(registry), "phone": phone})
-        .withColumns({
-            "society": F.col("registered.society"), "status": F.col("registered.status"), "dealer": dealer,
-        })
-        .drop("registered")
+    named = with_registry_columns(listings, registry)
+    rows = computed_once(named, registered=registered(registry), phone=phone, **display_fields(keep_run_on))
+    return computed_once(rows, dealer=dealer).select(
+        *named.columns, F.col("registered.society").alias("society"), F.col("registered.status").alias("status"),
+        *display_fields(keep_run_on), "phone", "dealer",
     )
 
 

@@ -11,7 +11,7 @@ from ..functions import dealer as D
 from ..functions.strings import first_filled
 from ..operators.dedup import consolidate, earliest_per, flag_superseded, keep_earliest
 from ..operators.skew import ROWS_PER_TASK, heavy_keys, spread_join
-from ..operators.staging import built_once
+from ..operators.staging import built_once, computed_once
 from ..operators.storage import stored
 from ..operators.windows import recent_listings
 from ..registry import Registry
@@ -99,17 +99,18 @@ def extract_once(
 
 
 @built_once
-def _post_columns() -> list[Column]:
+def _post_columns() -> dict[str, Column]:
     sender, phone = F.col("sender"), F.col("phone")
     dealer = D.posted_dealer(F.col("name_in_text"), F.col("dealer"), phone, sender)
-    return [dealer.alias("dealer"), D.posted_phone(phone, sender).alias("phone")]
+    return {"post_dealer": dealer, "post_phone": D.posted_phone(phone, sender)}
 
 
 def post_rows(templates: DataFrame) -> DataFrame:
     """Give every template row the dealer and phone of the post it came from."""
-    return templates.select(
+    return computed_once(templates, **_post_columns()).select(
         F.col("timestamp_ms").alias("ts"), *POST_ORDER,
-        *[c for c in INVENTORY_FIELDS if c not in ("dealer", "phone")], *_post_columns(),
+        *[c for c in INVENTORY_FIELDS if c not in ("dealer", "phone")],
+        F.col("post_dealer").alias("dealer"), F.col("post_phone").alias("phone"),
     )
 
 
