@@ -1,5 +1,6 @@
 """Property inventory from chat messages, as Spark jobs."""
 
+from . import schemas
 from .operators.chats import (
     all_chat_messages, chat_messages, count_messages, list_chats, search_messages,
 )

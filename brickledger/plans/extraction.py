@@ -190,9 +190,18 @@ def extract_listings(messages: DataFrame, registry: Registry, count_posts: bool
     ``count_posts`` the running count is left at 1 and nothing is shuffled.
     """
     gated = listing_texts(messages)
+    if count_posts:
+        # Joined before parsing: a folded text is smaller than its listings.  The
+        # number of partitions is stated because parsing is heavy for its bytes:
+        # partitions merged by size would leave most cores idle.
+        tasks = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = gated.repartition(tasks, "chat_id", "message_id")
+        counted = spread.join(times_posted(gated), ["chat_id", "message_id"])
+    else:
+        counted = gated.withColumn("times_posted", F.lit(1))
     posted_at = F.timestamp_millis("timestamp_ms")
     several = F.concat((F.col("part_no") + 1).cast("string"), F.lit(" of "), F.col("n_parts").cast("string"))
-    listings = parse_bodies(gated, registry).select(
+    return parse_bodies(counted, registry).select(
         "chat_id", "message_id", "part_no", "timestamp_ms",
         F.date_format(posted_at, "dd/MM/yy").alias("date"),
         F.date_format(posted_at, "HH:mm").alias("time"),
@@ -200,11 +209,8 @@ def extract_listings(messages: DataFrame, registry: Registry, count_posts: bool
         "deal_type", "property_type", "project_or_society", "location", "bhk", "size", "sale_price_cr",
         "rent_per_month", "rate_per_sqft", "contact_no",
         F.when(F.col("n_parts") > 1, several).otherwise("").alias("listing_in_msg"),
-        "full_message", "canonical", "name_in_text", *TYPED_FIELDS,
+        "times_posted", "full_message", "canonical", "name_in_text", *TYPED_FIELDS,
     )
-    if not count_posts:
-        return listings.withColumn("times_posted", F.lit(1))
-    return listings.join(times_posted(gated), ["chat_id", "message_id"])
 
 
 @built_once
