@@ -21,6 +21,7 @@ from ..functions.strings import first_filled, fmt_number, fmt_rent, is_blank, le
 from ..functions.unicode import plain_letters, plain_letters_each
 from ..operators.ranking import running_number
 from ..operators.staging import built_once, computed_once
+from ..operators.storage import stored
 from ..registry import Registry
 
 # Raise when extraction, project selection or field conversion change.
@@ -177,9 +178,10 @@ def repost_key(body: Column) -> Column:
 def times_posted(gated: DataFrame) -> DataFrame:
     """``(chat_id, message_id, times_posted)``: which posting of its text each gated message is.
 
-    Only ids and a hash of the key are shuffled, not the texts.
+    Only ids and a hash of the key are shuffled, not the texts.  They are
+    stored, since numbering reads them several times.
     """
-    keyed = gated.select("chat_id", "message_id", F.md5(repost_key(F.col("body"))).alias("repost_key"))
+    keyed = stored(gated.select("chat_id", "message_id", F.md5(repost_key(F.col("body"))).alias("repost_key")))
     return running_number(keyed, F.col("repost_key"), "chat_id", "message_id", "times_posted").drop("repost_key")
 
 
@@ -192,10 +194,10 @@ def extract_listings(messages: DataFrame, registry: Registry, count_posts: bool
     gated = listing_texts(messages)
     if count_posts:
         # Joined before parsing: a folded text is smaller than its listings.  The
-        # number of partitions is stated because parsing is heavy for its bytes:
-        # partitions merged by size would leave most cores idle.
+        # partitions are stated and the texts never broadcast, because parsing is
+        # heavy for its bytes: few partitions would leave most cores idle.
         tasks = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = gated.repartition(tasks, "chat_id", "message_id")
+        spread = gated.repartition(tasks, "chat_id", "message_id").hint("merge")
         counted = spread.join(times_posted(gated), ["chat_id", "message_id"])
     else:
         counted = gated.withColumn("times_posted", F.lit(1))
