@@ -9,6 +9,7 @@ from .operators.edits import (
     add_society, apply_edits, apply_society_status, delete_listing, demote_society, new_listing, promote_society,
     update_listing,
 )
+from .operators.storage import scratch
 from .operators.managed import in_listings, rows_for_project
 from .operators.summaries import (
     curated_summaries, filter_out_projects, filter_projects, inventory_kpis, out_summaries, project_summaries, totals,

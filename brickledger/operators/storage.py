@@ -4,29 +4,64 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders to delete when a scope of ``scratch`` ends; the innermost scope is last.
+_scopes: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder or URI named by ``spark.checkpoint.dir``; one in the local temporary folder in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="brickledger-")
+    folder = f"{tempfile.gettempdir()}/brickledger-{uuid.uuid4().hex}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession, label: str = "stored") -> str:
+    """A path below the shared folder that nothing has used yet; a scope of ``scratch`` deletes it at its end."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 
     A result that is used more than once is then computed once, and a lost
     executor costs a re-read instead of the whole lineage.  Unlike a
     checkpoint, the table is columnar: each use reads only its own columns.
+    Inside ``with scratch(spark):`` the table goes when the block ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, whatever file system it is on."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end of the block what ``stored`` and ``new_path`` made in it.
+
+    Use results inside the block, or write them first: a DataFrame that reads
+    a deleted table can no longer be evaluated.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 
 from pyspark.sql import functions as F
 
 import brickledger as b
-from brickledger.operators.storage import shared_folder
+from brickledger.operators.storage import new_path
 from brickledger.schemas import INVENTORY_FIELDS
 from brickledger.sinks.inventory_csv import file_name, inventory_lines
 
@@ -63,7 +62,7 @@ def d7(spark, sf):
 
 @check("d7_parse_cache_reuse", f"{KEPT_WITH} SELECT dedup_key, ts, message_id, society, dealer, phone FROM kept")
 def d7_cache(spark, sf):
-    cache = tempfile.mkdtemp(prefix="cache-", dir=shared_folder(spark)) + "/parsed"
+    cache = new_path(spark, "cache") + "/parsed"
     posts = messages(spark, sf)
     # the first run knows half of the texts, the second meets all of them
     b.extract_once(posts.filter(F.col("message_id") % 2 == 0), REGISTRY, cache)
@@ -175,7 +174,7 @@ def k1(spark, sf):
 
 @check("k1_csv_file", f"""{KEPT_WITH} SELECT count(*) + 1 AS n, CAST(1 AS BIGINT) AS headers, max(length({LINE})) AS longest FROM flagged""")
 def k1_file(spark, sf):
-    path = tempfile.mkdtemp(prefix="csv-", dir=shared_folder(spark)) + "/master"
+    path = new_path(spark, "csv") + "/master"
     b.write_inventory_csv(inventory(spark, sf), path)
     lines = spark.read.option("lineSep", "\r\n").text(path)
     # the reader drops a byte order mark at the start of a file
@@ -191,7 +190,7 @@ FILE = "'Inventory_' || trim(regexp_replace(society, '[^A-Za-z0-9_]+', '_', 'g')
 
 @check("k5_project_files", f"{KEPT_WITH} SELECT {FILE} AS file_name, count(*) + 1 AS n FROM kept GROUP BY 1")
 def k5(spark, sf):
-    path = tempfile.mkdtemp(prefix="csv-", dir=shared_folder(spark)) + "/projects"
+    path = new_path(spark, "csv") + "/projects"
     b.write_inventory_csv(inventory(spark, sf), path, by_project=True)
     lines = spark.read.option("lineSep", "\r\n").text(path)
     return lines.groupBy("file_name").agg(F.count("*").alias("n"))
@@ -214,7 +213,7 @@ def _stream(spark, sf):
 @check("w1_earliest_posts_stream", f"{KEPT_WITH} SELECT dedup_key, ts, message_id, society, dealer FROM kept")
 def w1(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    folder = tempfile.mkdtemp(prefix="stream-", dir=shared_folder(spark))
+    folder = new_path(spark, "stream")
     updates = b.earliest_posts_stream(_stream(spark, sf), REGISTRY)
 
     def write(batch, batch_id):
@@ -231,7 +230,7 @@ def w1(spark, sf):
 @check("w2_stream_inventory", f"{KEPT_WITH} SELECT dedup_key, ts, message_id, society, dealer, is_duplicate FROM flagged")
 def w2(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    folder = tempfile.mkdtemp(prefix="stream-", dir=shared_folder(spark))
+    folder = new_path(spark, "stream")
     query = b.stream_inventory(_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint", REGISTRY, f"{folder}/cache")
     query.awaitTermination()
     return b.read_inventory(spark, f"{folder}/out").select(
