@@ -2,39 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Posts of one chat and message-id range this wide are numbered in one task.
-BLOCK_BITS = 16
+from .storage import stored
 
+# monotonically_increasing_id() holds the partition above this many bits.
+PARTITION_SHIFT = 33
 
-def running_number(df: DataFrame, key: Column, chat: str, message: str, name: str) -> DataFrame:
-    """Number the rows of every ``key`` group in ``(chat, message)`` order, from 1.
 
-    A window over the whole group would put a hot group into one task.  Here a
-    task sorts at most one block of message ids (``2**BLOCK_BITS`` rows of one
-    chat); the rows before a block are added up from block counts, which are
-    aggregated before they are shuffled and summed in two levels.
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """Number the rows of every group of ``keys`` in ``order``, from 1, without gathering a group.
+
+    The rows are sorted once, by range, so a group of any size spans as many
+    tasks as its rows need; every task numbers its own rows.  The rows of a
+    group in earlier tasks are added from counts that have one row per task
+    and group.  Null keys are a group of their own.  ``df`` is read twice for
+    the ranges: pass a stored table, not a long plan.
     """
-    blocked = df.withColumns({
-        "_key": key, "_chats": F.shiftright(chat, BLOCK_BITS), "_block": F.shiftright(message, BLOCK_BITS)
-    })
-    block = ["_key", chat, "_block"]
-    in_block = Window.partitionBy(*block).orderBy(message)
-    numbered = blocked.withColumn("_nth", F.row_number().over(in_block))
-
-    counts = blocked.groupBy("_key", "_chats", chat, "_block").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_key", "_chats").orderBy(chat, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    within = counts.withColumn("_within", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-
-    chat_totals = blocked.groupBy("_key", "_chats").agg(F.count("*").alias("_n"))
-    earlier_chats = Window.partitionBy("_key").orderBy("_chats").rowsBetween(Window.unboundedPreceding, -1)
-    before = chat_totals.select("_key", "_chats", F.coalesce(F.sum("_n").over(earlier_chats), F.lit(0)).alias("_before"))
-
-    offsets = within.join(before, ["_key", "_chats"]).select(*block, (F.col("_within") + F.col("_before")).alias("_off"))
-    return (
-        numbered.join(offsets, block)
-        .withColumn(name, (F.col("_off") + F.col("_nth")).cast("int"))
-        .drop("_key", "_chats", "_block", "_nth", "_off")
-    )
+    laid = stored(
+        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn("_at", F.monotonically_increasing_id()), "numbered",
+    ).withColumn("_task", F.shiftright("_at", PARTITION_SHIFT))
+    parts = laid.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("_task").alias("_in"), "_first", "_before")
+    same = F.col("_task") == F.col("_in")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return laid.join(before, same).withColumn(
+        name, F.col("_before") + F.col("_at") - F.col("_first") + 1
+    ).select(*df.columns, name)
+
+
+def running_number(df: DataFrame, key: Column, chat: str, message: str, name: str) -> DataFrame:
+    """Number the rows of every ``key`` group in ``(chat, message)`` order, from 1."""
+    return numbered(df.withColumn("_key", key), ["_key"], [chat, message], name).drop("_key").withColumn(name, F.col(name).cast("int"))
