@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import new_path
-from . import exact_topk, mixing, packing, secrets, simhash, token_counts, warc
+from . import exact_topk, mixing, packing, secrets, simhash, token_counts, toxicity, warc
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,16 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), word_count("text"), budget=16_384, buckets=32)
     return packed.select(F.col("id").alias("doc_id"), F.col("length").alias("n_words"), "bucket", "pad_to", "batch", "place")
+
+
+def crc_remainder(column: str, parts: int):
+    return F.crc32(F.col(column).cast("string")) % parts
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_remainder("id", 3) != 1)
+    return toxicity.score(docs, model).select(
+        F.col("id").alias("doc_id"), F.coalesce(crc_remainder("id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
