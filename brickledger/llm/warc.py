@@ -219,33 +219,30 @@ def salvage(data: bytes) -> Iterator[Found]:
     that failed, to the next member or version line whose record passes.  The
     bytes passed over are one gap, with the first failure as its problem.
     """
-    at, bad_from, problem = 0, None, None
-    view = memoryview(data)
+    view, at = memoryview(data), 0
     while at < len(data):
-        found, end = None, None
-        search = at if problem is None else at + 1
-        for place, is_member in candidates(data, search):
-            if problem is None and place != at:
-                problem, bad_from = "no record starts here", at
-            try:
-                found, end = (next_gzip(view, place) if is_member else next_plain(data, place))
-                at = place
-                break
-            except Damaged as error:
-                if problem is None:
-                    problem, bad_from = str(error), place
-        if end is None:
-            problem, bad_from = problem or "no record starts here", at if bad_from is None else bad_from
-            yield Found(bad_from, len(data) - bad_from, {}, b"", problem)
-            return
-        if problem is not None:
-            yield Found(bad_from, at - bad_from, {}, b"", problem)
-            problem, bad_from = None, None
+        is_member = data.startswith(GZIP_START, at)
+        try:
+            found, end = next_gzip(view, at) if is_member else next_plain(data, at)
+        except Damaged as error:
+            found, place, end = next_valid(view, data, at + 1)
+            yield Found(at, place - at, {}, b"", str(error))
         if found is not None:
             yield found
         at = end
 
 
+def next_valid(view: memoryview, data: bytes, start: int) -> tuple[Found | None, int, int]:
+    """The first record from ``start`` on that passes its checks, its place and its end; both are the file's end if none does."""
+    for place, is_member in candidates(data, start):
+        try:
+            found, end = next_gzip(view, place) if is_member else next_plain(data, place)
+        except Damaged:
+            continue
+        return found, place, end
+    return None, len(data), len(data)
+
+
 def number(text: str | None) -> int | None:
     """The id inside ``<urn:page:7>``; null for ids of other writers."""
     bare = (text or "").strip("<>").removeprefix(ID_PREFIX)
