@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import new_path
-from . import exact_topk, mixing, packing, secrets, simhash, token_counts, toxicity, warc
+from . import ann, exact_topk, mixing, packing, secrets, simhash, token_counts, toxicity, warc
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         F.col("id").alias("doc_id"), F.coalesce(crc_remainder("id", 3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+    return found.withColumnRenamed("id", "vec_id")
