@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import new_path
-from . import ann, exact_topk, mixing, packing, secrets, simhash, token_counts, toxicity, warc
+from . import ann, exact_topk, interpolation, mixing, packing, secrets, simhash, token_counts, toxicity, warc
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = interpolation.score(table(spark, sf_dir, "documents"), crc_remainder("id", 7) != 2)
+    return scored.select(
+        F.col("id").alias("doc_id"), F.coalesce(crc_remainder("id", 7) == 2, F.lit(False)).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score")
