@@ -235,3 +235,119 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     named = stored(named, "roots")
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("class")), "root").select("fp", "class")
     return marked.join(classes, "fp").select("id", "fp", "class")
+
+
+# ------------------------------------------------- near copies by word shingles
+
+SKETCHES = 24
+SKETCH_SHINGLES = 4
+_seeds = np.random.default_rng(5).integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
+
+
+def sketch_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of each of ``SKETCHES`` consistent samples of a shingle set.
+
+    A sample is the ``SKETCH_SHINGLES`` shingles that come first in an order of
+    its own, so two sets with a similarity of 0.8 share a given sample with
+    probability 0.4, and miss all of them once in 300,000 pairs.
+    """
+    if not len(hashes):
+        return np.zeros(SKETCHES, np.uint64)
+    x = hashes[None, :].astype(np.uint64) ^ _seeds[:, None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    n = min(SKETCH_SHINGLES, len(hashes))
+    first = np.sort(np.partition(x, n - 1, axis=1)[:, :n], axis=1)
+    bits = np.unpackbits(np.ascontiguousarray(first.astype(">u8")).view(np.uint8).reshape(SKETCHES, n, 8), axis=2)
+    fps = np.packbits(2 * bits.sum(axis=1, dtype=np.int64) > n, axis=1).view(">u8").ravel().astype(np.uint64)
+    return fps ^ _seeds  # equal bits in different samples are no match
+
+
+BROADCAST_ROWS = 300_000  # of a table of nodes, some 30 MB; larger ones are joined by shuffle
+
+
+def small_if_counted(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -> DataFrame:
+    """``(a, b)``: verified links between the nodes of ``texts(node, text)``; rows of one node have one text.
+
+    Candidates share a sample fingerprint, or whole-text fingerprints that the
+    Gray index links at ``limit`` bits.  The texts of such a group are compared
+    with one of them, the one that is in most and largest groups; those that
+    are not similar to it are compared with the next, until each has been
+    compared or stands alone.  No group is gathered and no pairs are spread.
+    """
+    spark = texts.sparkSession
+
+    def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        whole, samples = [], []
+        for text in batch.column(1).to_pylist():
+            hashes = shingle_hashes(text, width)
+            whole.append(fingerprint(hashes))
+            samples.append(sketch_fingerprints(np.unique(hashes)).view(np.int64))
+        return pa.RecordBatch.from_arrays([
+            batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64), pa.int64()), pa.array(samples, pa.list_(pa.int64()))], ["node", "fp", "samples"])
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [np.unique(shingle_hashes(t, width)).astype(np.uint64).view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    source = texts.select("node", utf8("text").alias("text"))
+    described = source.mapInArrow(batches(describe), "node string, fp long, samples array<long>")
+    described = stored(described.dropDuplicates(["node"]), "described")
+    roots = components(links(described, limit))
+    by_index = described.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    groups = described.select("node", F.explode("samples").alias("key")).union(
+        by_index.select("node", F.xxhash64(F.coalesce("root", "fp"), F.lit("whole")).alias("key"))).distinct()
+    members = stored(groups, "groups")
+    sizes = members.groupBy("key").count().filter("count > 1")
+    members = stored(members.join(sizes, "key"), "members")
+    weight = members.groupBy("node").agg(F.sum("count").alias("weight"))
+    members = stored(members.drop("count").join(weight, "node"), "members")
+    candidates = small_if_counted(members.select("node").distinct())
+    shingled = source.join(candidates, "node", "left_semi").mapInArrow(batches(sets), "node string, shingles array<long>")
+    shingled = stored(shingled.dropDuplicates(["node"]), "shingles")
+    found = []
+    while not members.isEmpty():
+        heads = members.groupBy("key").agg(F.count("*").alias("n"), F.max_by("node", F.struct("weight", "node")).alias("head")).filter("n > 1")
+        asked = stored(members.join(heads, "key").filter("node <> head").select("key", "node", "weight", "head"), "asked")
+        pairs = asked.select("node", "head").distinct()
+        compared = pairs.join(shingled, "node").join(
+            shingled.select(F.col("node").alias("head"), F.col("shingles").alias("others")), "head")
+        both = F.size(F.array_intersect("shingles", "others"))
+        close = both >= F.lit(similarity) * (F.size("shingles") + F.size("others") - both)
+        verified = stored(compared.filter(close | (F.size("shingles") + F.size("others") == 0)).select("node", "head"), "verified")
+        found.append(verified)
+        members = stored(asked.join(verified, ["node", "head"], "left_anti").select("key", "node", "weight"), "members")
+    empty = spark.createDataFrame([], "a string, b string")
+    for verified in found:
+        empty = empty.union(verified.select(F.col("node").alias("a"), F.col("head").alias("b")))
+    return empty.distinct()
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
+                limit: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of near copies, the one with the smallest id, and all rows without any.
+
+    Two texts are near copies if their sets of ``width``-word shingles have a
+    Jaccard similarity of ``similarity`` or more; groups are what such links
+    connect.  Null ids come after all others.  Rows of equal text are copies,
+    so of repeated rows, and of all empty and null texts, one stays.  Columns
+    and their values are those of ``docs``.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.md5(F.coalesce(utf8(text_col), F.lit(b""))).alias("node"))
+    counted = rows.groupBy("node", "id").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("id").isNull(), "id")
+    nodes = stored(counted.groupBy("node").agg(F.min_by(F.struct("id", "n"), first).alias("best")).select("node", "best.*"), "nodes")
+    texts = docs.select(F.md5(F.coalesce(utf8(text_col), F.lit(b""))).alias("node"), F.col(text_col).alias("text"))
+    roots = components(similar_links(texts, width, similarity, limit))
+    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = grouped.groupBy("root").agg(F.min_by(F.struct("node", "id", "n"), F.struct(F.col("id").isNull(), "id", "node")).alias("kept"))
+    kept = stored(kept.select(F.col("kept.node").alias("node"), F.col("kept.id").alias("kept_id"), "kept.n"), "kept")
+    chosen = rows.join(small_if_counted(kept), "node").filter(F.col("id").eqNullSafe(F.col("kept_id")))
+    if kept.filter("n > 1").isEmpty():
+        return chosen.select("row.*")
+    return chosen.filter("n = 1").select("row.*").union(chosen.filter("n > 1").dropDuplicates(["node"]).select("row.*"))
