@@ -143,7 +143,7 @@ def mix(docs: DataFrame, size: Column, targets_of, id_col: str = "doc_id", text_
     targets = stored(capped_targets(targets, share, cap).withColumn("key", key_of(F.col("source"))), "targets")
     tilt = multipliers(histogram, targets, cap)
     rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("l") * F.col("size") / F.col("mean"), F.lit(math.log(cap)))))
-    rates = histogram.join(tilt, "key", "left").select("key", "size", "n", F.coalesce(rate, F.lit(1.0)).alias("rate"))
+    rates = histogram.join(tilt, "key", "left").select("key", "size", "n", F.when(F.col("l").isNull(), 1.0).otherwise(rate).alias("rate"))
     copies = stored(
         rounded(rates, cap).join(targets.select("key", "source_size", "target"), "key"), "copies")
     if copies.count() <= BROADCAST_ROWS:

@@ -207,8 +207,7 @@ def candidates(data: bytes, start: int) -> Iterator[tuple[int, bool]]:
             yield zipped, True
             zipped = data.find(GZIP_START, zipped + 1)
         else:
-            if plain == 0 or data[plain - 1:plain] == b"\n":
-                yield plain, False
+            yield plain, False
             plain = data.find(b"WARC/1.", plain + 1)
 
 
