@@ -15,7 +15,7 @@ from .operators.summaries import (
     curated_summaries, filter_out_projects, filter_projects, inventory_kpis, out_summaries, project_summaries, totals,
 )
 from .operators.windows import latest_timestamp, recent_listings, window_cutoff
-from .plans.extraction import extract_listings, parse_texts, times_posted, to_inventory_rows
+from .plans.extraction import display_form, extract_listings, parse_texts, to_inventory_rows
 from .plans.inventory import batch_inventory, build_inventory, build_listings, extract_once, run_counters
 from .plans.views import register_views
 from .registry import CustomProject, Registry, normalize_project_name

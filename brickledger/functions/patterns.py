@@ -26,7 +26,6 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 LEFT_TO_RIGHT_MARK = "\u200e"
-MARKUP = r"[*_~`]"
 EMOJI = r"[\p{So}\p{Cn}←-⇿⌀-➿⬀-⯿️‍•■-◿]"
 LINE_EDGE = " :•*-–—>·|."
 TITLE_EDGE = " :,-|"
@@ -74,14 +73,12 @@ THOUSAND_RENT_RANGE = (5.0, 999.0)
 PLAIN_RENT_RANGE = (5000.0, 5000000.0)
 AREA_RATE_RANGE = (1000, 500000)
 
-# How many values and characters are kept in display columns
+# How many values and characters the display form shows
 SHOWN_SIZES = 3
 SHOWN_PRICES = 3
 SHOWN_RATES = 2
 SHOWN_PHONES = 2
 MESSAGE_LIMIT = 2000
-PROJECT_LIMIT = 60
-REPOST_KEY_LIMIT = 200
 
 # --------------------------------------------------------------------------
 # Kinds of message

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .strings import first_filled, first_group, found, let, safe_take, strip, strip_edges
+from .strings import first_filled, first_group, found, let, strip, strip_edges
 from .text import strip_format
 
 
@@ -83,7 +83,7 @@ def clean_title(c: Column) -> Column:
     for pattern in P.TITLE_CLEANUPS:
         c = F.regexp_replace(c, P.ci(pattern), "")
     c = F.split(c, P.ci(P.TITLE_END), -1)[0]
-    return safe_take(F.translate(strip_edges(c, P.TITLE_EDGE), "\x00", ""), P.PROJECT_LIMIT)
+    return F.translate(strip_edges(c, P.TITLE_EDGE), "\x00", "")
 
 
 def project(c: Column, registry) -> Column:

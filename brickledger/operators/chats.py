@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.strings import is_blank
-from ..sources.chat_tables import ChatTables
+from ..sources.chat_tables import ChatTables, with_sender
+from .ranking import numbered
 from .search import like_pattern
 
 
@@ -55,10 +56,25 @@ def type_label(message_type: Column) -> Column:
     return labels.otherwise(P.OTHER_TYPE)
 
 
+def page_of(rows: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
+    """Rows in ``order`` from ``offset`` on, at most ``limit`` of them; all that remain if it is ``None``.
+
+    A page of stated size is a top-k.  Without one the rows are numbered by
+    range, so that skipping some does not bring all the others into one task.
+    """
+    if limit is not None:
+        return rows.orderBy(*order).offset(offset).limit(limit)
+    if not offset:
+        return rows.orderBy(*order)
+    placed = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], order, "_place")
+    return placed.filter(F.col("_place") > offset).drop("_all", "_place").orderBy(*order)
+
+
 def list_chats(
-    tables: ChatTables, query: str | None = None, only_groups: bool = False, limit: int = 100, offset: int = 0
+    tables: ChatTables, query: str | None = None, only_groups: bool = False, limit: int | None = 100,
+    offset: int = 0
 ) -> DataFrame:
-    """One page of chats, most recent first.
+    """One page of chats, most recent first; all chats from ``offset`` on if ``limit`` is ``None``.
 
     ``query`` is looked for in subject and id; ``%`` and ``_`` in it are wildcards.
     """
@@ -71,7 +87,7 @@ def list_chats(
         chats = chats.filter(F.col("subject").ilike(pattern) | F.col("raw_string").ilike(pattern))
     raw_jid = F.coalesce("raw_string", F.lit(""))
     is_group = F.coalesce(F.col("server") == P.GROUP_SERVER, F.lit(False))
-    page = chats.orderBy(F.col("sort_timestamp").desc(), "_id").offset(offset).limit(limit)
+    page = page_of(chats, [F.col("sort_timestamp").desc(), F.col("_id")], limit, offset)
     return page.select(
         F.col("_id").alias("id"),
         raw_jid.alias("raw_jid"),
@@ -84,11 +100,10 @@ def list_chats(
 
 def _with_identities(message: DataFrame, tables: ChatTables) -> DataFrame:
     """Messages with the raw ids of sender and chat.  Every join is on a unique id."""
-    sender = tables.senders().withColumnRenamed("_id", "sender_jid_row_id").withColumnRenamed("raw_string", "sender_raw")
     chat = tables.chat.select(F.col("_id").alias("chat_row_id"), "jid_row_id").join(
         tables.jid.select(F.col("_id").alias("jid_row_id"), F.col("raw_string").alias("chat_raw")), "jid_row_id", "left"
     ).drop("jid_row_id")
-    return message.join(sender, "sender_jid_row_id", "left").join(chat, "chat_row_id", "left")
+    return with_sender(message, tables, "_id").join(chat, "chat_row_id", "left")
 
 
 def _message_columns() -> list[Column]:
@@ -133,8 +148,7 @@ def chat_messages(
     if chat_id is not None:
         message = message.filter(F.col("chat_row_id") == chat_id)
     if offset or limit is not None:
-        message = message.orderBy(*page_order).offset(offset)
-        message = message if limit is None else message.limit(limit)
+        message = page_of(message, [F.col(c) for c in page_order], limit, offset)
     shown = _with_identities(message, tables).select(*_message_columns())
     if chat_id is None and limit is None:
         return shown
@@ -146,15 +160,15 @@ def all_chat_messages(tables: ChatTables, chat_id: int | None = None) -> DataFra
     return chat_messages(tables, chat_id)
 
 
-def search_messages(tables: ChatTables, q: str, chat_id: int | None = None, limit: int = 50) -> DataFrame:
-    """The newest messages whose text holds ``q``, without regard to case.
+def search_messages(tables: ChatTables, q: str, chat_id: int | None = None, limit: int | None = 50) -> DataFrame:
+    """The newest messages whose text holds ``q``, without regard to case; all of them if ``limit`` is ``None``.
 
     The newest rows are picked before identities are joined.
     """
     found = tables.message.filter(F.col("text_data").ilike(like_pattern(q)))
     if chat_id is not None:
         found = found.filter(F.col("chat_row_id") == chat_id)
-    newest = found.orderBy(F.col("timestamp").desc(), F.col("_id").desc()).limit(limit)
+    newest = found if limit is None else page_of(found, [F.col("timestamp").desc(), F.col("_id").desc()], limit)
     return _with_identities(newest, tables).select(*_message_columns()).orderBy(
         F.col("timestamp_ms").desc(), F.col("id").desc()
     )

@@ -19,16 +19,18 @@ def heavy_keys(counts: DataFrame, key: str, n: str, rows_per_task: int = ROWS_PE
     )
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, heavy: DataFrame, spread_by: list[str]) -> DataFrame:
+def spread_join(
+    many: DataFrame, one: DataFrame, key: str, heavy: DataFrame, spread_by: list[str], max_heavy_keys: int = MAX_HEAVY_KEYS
+) -> DataFrame:
     """Inner join of a skewed side with a side that has few rows per key.
 
     The rows of a heavy key are dealt out over its copies on the other side;
     all other keys keep a single copy.  ``heavy`` is counted first: beyond
-    ``MAX_HEAVY_KEYS`` it is joined by shuffle rather than broadcast.
+    ``max_heavy_keys`` it is joined by shuffle rather than broadcast.
     """
     if heavy.isEmpty():
         return many.join(one, key)
-    if heavy.count() <= MAX_HEAVY_KEYS:
+    if heavy.count() <= max_heavy_keys:
         heavy = F.broadcast(heavy)
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     dealt = many.join(heavy, key, "left").withColumn(

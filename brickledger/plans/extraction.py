@@ -20,6 +20,7 @@ from ..functions.project import project
 from ..functions.strings import first_filled, fmt_number, fmt_rent, is_blank, let, safe_take, strip
 from ..functions.unicode import plain_letters, plain_letters_each
 from ..operators.ranking import running_number
+from ..operators.skew import ROWS_PER_TASK, heavy_keys, spread_join
 from ..operators.staging import built_once, computed_once
 from ..operators.storage import stored
 from ..registry import Registry
@@ -91,27 +92,22 @@ def _descriptions(registry: Registry) -> dict[str, Column]:
     several = F.col("n_parts") > 1
     whole_location = F.when(several & (F.size(F.array_distinct(T.sectors(whole))) <= 1), T.location(whole))
     phones_whole = F.col("phones_whole")
-    # A dealer is looked for in the part, in the whole message if it has other
-    # parts, and in the stored text if that was cut.
+    # a dealer is looked for in the part, then in the whole message if it has other parts
     other_parts = F.when(clean.isNotNull() & several, whole)
-    cut = F.when(
-        clean.isNotNull() & (F.length(stripped) > P.MESSAGE_LIMIT), T.strip_format(safe_take(stripped, P.MESSAGE_LIMIT))
-    )
     return {
         "sale_cr": F.col("money.sale"), "rent_inr": F.col("money.rent"), "rates": F.col("money.rates"),
         "property_type": first_filled(T.property_type(clean), F.when(several, T.property_type(whole))),
         "project_or_society": project(clean, registry),
         "location": first_filled(T.location(clean), whole_location),
         "phones": _of_part(F.array_distinct(phones_whole), F.array_union(T.phones(clean), phones_whole)),
-        "full_message": F.when(clean.isNotNull(), safe_take(F.translate(stripped, "\x00", ""), P.MESSAGE_LIMIT)),
-        "candidates": F.transform(F.array(clean, other_parts, cut), lambda text: D.bare_candidates(text)),
-        "is_cut": cut.isNotNull(),
+        "full_message": F.when(clean.isNotNull(), F.translate(stripped, "\x00", "")),
+        "candidates": F.transform(F.array(clean, other_parts), lambda text: D.bare_candidates(text)),
     }
 
 
 @built_once
 def _names(registry: Registry) -> tuple[dict[str, Column], Column]:
-    plain = F.array(*[plain_letters_each(F.col("candidates")[i]) for i in range(3)])
+    plain = F.array(*[plain_letters_each(F.col("candidates")[i]) for i in range(2)])
     names = F.zip_with("candidates", plain, lambda bare, plain: D.best_name(bare, plain, registry))
     plain_project = plain_letters(F.col("project_or_society"))
     return {"names": names, "plain_project": plain_project}, registry.canonical_plain(F.col("plain_project"))
@@ -122,14 +118,14 @@ def _display_texts() -> dict[str, Column]:
     names = F.col("names")
     return {
         "bhk": T.bhk_label(F.col("bhk_values")),
-        "size": _shown(F.col("sizes"), P.SHOWN_SIZES, lambda v: v),
-        "sale_price_cr": _shown(F.col("sale_cr"), P.SHOWN_PRICES, fmt_number),
-        "rent_per_month": _shown(F.col("rent_inr"), P.SHOWN_PRICES, fmt_rent),
-        "rate_per_sqft": first_filled(F.col("rate_psf"), _shown(F.col("rates"), P.SHOWN_RATES, lambda v: v)),
-        "contact_no": F.array_join(F.slice("phones", 1, P.SHOWN_PHONES), ", "),
+        "size": _shown(F.col("sizes")),
+        "sale_price_cr": _shown(F.col("sale_cr"), fmt_number),
+        "rent_per_month": _shown(F.col("rent_inr"), fmt_rent),
+        "rate_per_sqft": first_filled(F.col("rate_psf"), _shown(F.col("rates"))),
+        "contact_no": F.array_join("phones", ", "),
         "name_in_part": names[0],
         "name_in_message": names[1],
-        "name_in_text": F.when(F.col("is_cut"), names[2]).otherwise(names[0]),
+        "name_in_text": names[0],
     }
 
 
@@ -156,8 +152,28 @@ def parse_bodies(gated: DataFrame, registry: Registry, keep_empty: bool = False)
     return shown.select(*carried, *PARSED_FIELDS, *TYPED_FIELDS)
 
 
-def _shown(values: Column, n: int, fmt) -> Column:
-    return F.array_join(F.transform(F.slice(values, 1, n), lambda v: fmt(v)), " | ")
+def _shown(values: Column, fmt=None, n: int | None = None) -> Column:
+    kept = values if n is None else F.slice(values, 1, n)
+    return F.array_join(kept if fmt is None else F.transform(kept, lambda v: fmt(v)), " | ")
+
+
+def display_form(
+    listings: DataFrame, sizes: int = P.SHOWN_SIZES, prices: int = P.SHOWN_PRICES, rates: int = P.SHOWN_RATES,
+    phones: int = P.SHOWN_PHONES, message: int = P.MESSAGE_LIMIT,
+) -> DataFrame:
+    """Listings with no more than so many values and characters in their display columns.
+
+    For showing only: keys, groups and inventory columns are made from listings that nothing was cut from.
+    """
+    every_rate = _shown(F.col("rates"))
+    return listings.withColumns({
+        "size": _shown(F.col("sizes"), n=sizes),
+        "sale_price_cr": _shown(F.col("sale_cr"), fmt_number, prices),
+        "rent_per_month": _shown(F.col("rent_inr"), fmt_rent, prices),
+        "rate_per_sqft": F.when(F.col("rate_per_sqft") == every_rate, _shown(F.col("rates"), n=rates)).otherwise(F.col("rate_per_sqft")),
+        "contact_no": F.array_join(F.slice("phones", 1, phones), ", "),
+        "full_message": safe_take(F.col("full_message"), message),
+    })
 
 
 def parse_texts(df: DataFrame, registry: Registry, keep_empty: bool = False) -> DataFrame:
@@ -169,41 +185,41 @@ def parse_texts(df: DataFrame, registry: Registry, keep_empty: bool = False) ->
     return parse_bodies(listing_texts(df, keep_empty), registry, keep_empty)
 
 
-def repost_key(body: Column) -> Column:
-    """Key under which the postings of a folded message are counted."""
+def repost_key(body: Column, limit: int | None = None) -> Column:
+    """Key under which the postings of a folded message are counted; ``limit`` makes it a prefix of so many characters."""
     clean = F.lower(T.strip_format(body))
-    return safe_take(F.regexp_replace(clean, "[^0-9a-z_À-ÿ]+", ""), P.REPOST_KEY_LIMIT)
+    key = F.regexp_replace(clean, "[^0-9a-z_À-ÿ]+", "")
+    return key if limit is None else safe_take(key, limit)
 
 
-def times_posted(gated: DataFrame) -> DataFrame:
-    """``(chat_id, message_id, times_posted)``: which posting of its text each gated message is.
-
-    Only ids and a hash of the key are shuffled, not the texts.  They are
-    stored, since numbering reads them several times.
-    """
-    keyed = stored(gated.select("chat_id", "message_id", F.md5(repost_key(F.col("body"))).alias("repost_key")))
-    return running_number(keyed, F.col("repost_key"), "chat_id", "message_id", "times_posted").drop("repost_key")
-
-
-def extract_listings(messages: DataFrame, registry: Registry, count_posts: bool = True) -> DataFrame:
+def extract_listings(
+    messages: DataFrame, registry: Registry, count_posts: bool = True, repost_key_limit: int | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
     """Listings of ``(chat_id, message_id, timestamp_ms, sender, text)`` messages.
 
     Dates and times are those of the session time zone.  Without
-    ``count_posts`` the running count is left at 1 and nothing is shuffled.
+    ``count_posts`` the running count is left at 1.
+
+    The gate runs once, over messages that are then stored by digest.  Each
+    distinct text is parsed once; posts are numbered and joined to what was
+    found in their text by ids and digests alone.
     """
-    gated = listing_texts(messages)
+    texts = computed_once(
+        listing_texts(messages), digest=F.sha2("body", 256), repost_key=F.md5(repost_key(F.col("body"), repost_key_limit)))
+    gated = stored(texts.select("chat_id", "message_id", "timestamp_ms", "sender", "digest", "repost_key", "body"), "gated")
+    parsed = parse_bodies(gated.select("digest", "body").dropDuplicates(["digest"]), registry)
+    posts = gated.drop("body")
     if count_posts:
-        # Joined before parsing: a folded text is smaller than its listings.  The
-        # partitions are stated and the texts never broadcast, because parsing is
-        # heavy for its bytes: few partitions would leave most cores idle.
-        tasks = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = gated.repartition(tasks, "chat_id", "message_id").hint("merge")
-        counted = spread.join(times_posted(gated), ["chat_id", "message_id"])
+        posts = running_number(posts, F.col("repost_key"), "chat_id", "message_id", "times_posted")
     else:
-        counted = gated.withColumn("times_posted", F.lit(1))
+        posts = posts.withColumn("times_posted", F.lit(1))
+    copies = gated.groupBy("digest").agg(F.count("*").alias("n_posts"))
+    heavy = heavy_keys(copies, "digest", "n_posts", rows_per_task)
+    counted = spread_join(posts.drop("repost_key"), parsed, "digest", heavy, ["chat_id", "message_id"])
     posted_at = F.timestamp_millis("timestamp_ms")
     several = F.concat((F.col("part_no") + 1).cast("string"), F.lit(" of "), F.col("n_parts").cast("string"))
-    return parse_bodies(counted, registry).select(
+    return counted.select(
         "chat_id", "message_id", "part_no", "timestamp_ms",
         F.date_format(posted_at, "dd/MM/yy").alias("date"),
         F.date_format(posted_at, "HH:mm").alias("time"),

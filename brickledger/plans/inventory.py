@@ -149,7 +149,13 @@ def batch_inventory(
     Reposts take the fields of the latest post and the date of the first;
     the newest ad of a society and dealer is chosen by that date.
     """
-    listings = X.extract_listings(messages, registry, count_posts=False)
+    # a range of plain times first, a day wider on both sides: the scan can skip what is outside, whatever the time zone
+    day = dt.timedelta(days=1)
+    last = dt.datetime.combine(reference_date, dt.time(), dt.timezone.utc)
+    year, month = divmod(reference_date.year * 12 + reference_date.month - 1 - months, 12)
+    first = dt.datetime(year, month + 1, 1, tzinfo=dt.timezone.utc)
+    span = F.col("timestamp_ms").between(int((first - day).timestamp() * 1000), int((last + 2 * day).timestamp() * 1000))
+    listings = X.extract_listings(messages.filter(span), registry, count_posts=False)
     merged = consolidate(recent_listings(listings, reference_date, months))
     rows = X.to_inventory_rows(merged, registry, keep_run_on)
     # the phone is looked for once more, now that the dealer stands in for the poster

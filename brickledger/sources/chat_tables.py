@@ -12,6 +12,11 @@ from ..schemas import CHAT_TABLES
 
 REQUIRED_TABLES = ["chat", "message", "jid"]
 REQUIRED_MESSAGE_COLUMNS = ["text_data", "chat_row_id", "timestamp"]
+# How Spark and the usual databases say that a table is not there.
+MISSING_TABLE = [
+    "path_not_found", "no such table", "doesn't exist", "does not exist", "table or view not found", "table_or_view_not_found",
+    "invalid object name", "ora-00942",
+]
 
 
 @dataclass(frozen=True)
@@ -72,14 +77,24 @@ def as_chat_tables(tables: dict[str, DataFrame]) -> ChatTables:
     return ChatTables(names["chat"], names["message"], names["jid"], names.get("jid_map"))
 
 
-def read_chat_tables(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> ChatTables:
+def _is_missing(error: Exception) -> bool:
+    text = str(error).lower()
+    return any(mark in text for mark in MISSING_TABLE)
+
+
+def read_chat_tables(
+    spark: SparkSession, path: str, fmt: str = "parquet", table_options: dict[str, dict[str, str]] | None = None, **options: str
+) -> ChatTables:
     """Read the tables below ``path``, or by name from a JDBC URL when ``fmt`` is ``"jdbc"``.
 
-    JDBC needs the driver jar on the class path; ``options`` go to the reader.
-    ``jid_map`` is optional.
+    JDBC needs the driver jar on the class path.  ``options`` go to the reader
+    of every table, ``table_options`` to that of one: ``partitionColumn``,
+    ``lowerBound``, ``upperBound`` and ``numPartitions`` for ``message`` let
+    many tasks read it.  ``jid_map`` is optional; only its absence is taken for
+    one, any other error is raised.
     """
     def load(name: str) -> DataFrame:
-        reader = spark.read.format(fmt).options(**options)
+        reader = spark.read.format(fmt).options(**options, **(table_options or {}).get(name, {}))
         if fmt == "jdbc":
             return reader.option("url", path).option("dbtable", name).load()
         if fmt in ("csv", "json"):
@@ -91,12 +106,26 @@ def read_chat_tables(spark: SparkSession, path: str, fmt: str = "parquet", **opt
         tables["jid_map"] = load("jid_map")
         tables["jid_map"].schema
     except Exception as error:
-        if fmt != "jdbc" and "PATH_NOT_FOUND" not in str(error):
+        if not _is_missing(error):
             raise
         tables.pop("jid_map", None)
     return as_chat_tables(tables)
 
 
+def with_sender(message: DataFrame, tables: ChatTables, message_id: str) -> DataFrame:
+    """Add ``sender_raw``, the raw id of the sender, to messages with ``sender_jid_row_id``.
+
+    Own messages have no sender.  They get a key of their own from the message
+    id, so that all of them do not meet in one task; the second condition
+    keeps such a key from finding anyone.
+    """
+    sender = tables.senders().select(F.col("_id").alias("_sender"), F.col("raw_string").alias("sender_raw"))
+    spread = F.coalesce("sender_jid_row_id", -1 - F.pmod(F.xxhash64(message_id), F.lit(1 << 40)))
+    keyed = message.withColumn("_key", spread)
+    found = (F.col("_key") == F.col("_sender")) & F.col("sender_jid_row_id").isNotNull()
+    return keyed.join(sender, found, "left").drop("_key", "_sender")
+
+
 def _active_groups(tables: ChatTables, since_ms: int) -> DataFrame:
     """``(chat_id, chat_raw)`` of group chats with anything new since ``since_ms``."""
     groups = tables.jid.filter(F.col("server") == P.GROUP_SERVER).select(
@@ -131,11 +160,9 @@ def recent_group_messages(tables: ChatTables, since_ms: int, sender_fallback: st
         F.col("chat_row_id").alias("chat_id"), F.col("_id").alias("message_id"),
         F.col("timestamp").alias("timestamp_ms"), "sender_jid_row_id", F.col("text_data").alias("text"),
     )
-    sender = tables.senders().select(F.col("_id").alias("sender_jid_row_id"), F.col("raw_string").alias("sender_raw"))
     known = [F.col("sender_raw")] + ([F.col("chat_raw")] if sender_fallback == "chat" else [])
     return (
-        message.join(_active_groups(tables, since_ms), "chat_id")
-        .join(sender, "sender_jid_row_id", "left")
+        with_sender(message.join(_active_groups(tables, since_ms), "chat_id"), tables, "message_id")
         .select("chat_id", "message_id", "timestamp_ms", F.coalesce(*known, F.lit("Unknown")).alias("sender"), "text")
     )
 

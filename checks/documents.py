@@ -87,8 +87,8 @@ def d1(spark, sf):
 
 
 @check("d6_running_count_of_copies", r"""
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY substr(regexp_replace(lower(regexp_replace(text, '[*_~`]', '', 'g')),
-      '[^0-9a-z_À-ÿ]+', '', 'g'), 1, 200) ORDER BY doc_id % 8, doc_id) AS INTEGER) AS times_posted FROM documents""")
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY regexp_replace(lower(regexp_replace(text, '[*_~`]', '', 'g')),
+      '[^0-9a-z_À-ÿ]+', '', 'g') ORDER BY doc_id % 8, doc_id) AS INTEGER) AS times_posted FROM documents""")
 def d6(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 8).alias("chat_id"), "text")
     return running_number(docs, F.md5(repost_key(F.col("text"))), "chat_id", "doc_id", "times_posted").select(
