@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
@@ -239,8 +239,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 # ------------------------------------------------- near copies by word shingles
 
-SKETCHES = 24
-SKETCH_SHINGLES = 4
+SKETCHES = 32
+SKETCH_SHINGLES = 5
 _seeds = np.random.default_rng(5).integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
 
 
@@ -249,7 +249,7 @@ def sketch_fingerprints(hashes: np.ndarray) -> np.ndarray:
 
     A sample is the ``SKETCH_SHINGLES`` shingles that come first in an order of
     its own, so two sets with a similarity of 0.8 share a given sample with
-    probability 0.4, and miss all of them once in 300,000 pairs.
+    probability 0.33, and miss all of them once in 300,000 pairs.
     """
     if not len(hashes):
         return np.zeros(SKETCHES, np.uint64)
@@ -277,8 +277,9 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
     Candidates share a sample fingerprint, or whole-text fingerprints that the
     Gray index links at ``limit`` bits.  The texts of such a group are compared
     with one of them, the one that is in most and largest groups; those that
-    are not similar to it are compared with the next, until each has been
-    compared or stands alone.  No group is gathered and no pairs are spread.
+    are not similar to it are compared with the next two, then with four, and
+    so on, until each is linked or was compared with all.  So copies cost one
+    comparison each, however many there are, and no group is gathered.
     """
     spark = texts.sparkSession
 
@@ -310,10 +311,13 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
     candidates = small_if_counted(members.select("node").distinct())
     shingled = source.join(candidates, "node", "left_semi").mapInArrow(batches(sets), "node string, shingles array<long>")
     shingled = stored(shingled.dropDuplicates(["node"]), "shingles")
-    found = []
+    found, at_once = [], 1
     while not members.isEmpty():
-        heads = members.groupBy("key").agg(F.count("*").alias("n"), F.max_by("node", F.struct("weight", "node")).alias("head")).filter("n > 1")
-        asked = stored(members.join(heads, "key").filter("node <> head").select("key", "node", "weight", "head"), "asked")
+        order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
+        heads = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= at_once)
+        heads = heads.select("key", F.col("node").alias("head"), F.col("weight").alias("head_weight"))
+        later = (F.col("weight") < F.col("head_weight")) | ((F.col("weight") == F.col("head_weight")) & (F.col("node") > F.col("head")))
+        asked = stored(members.join(heads, "key").filter(later), "asked")
         pairs = asked.select("node", "head").distinct()
         compared = pairs.join(shingled, "node").join(
             shingled.select(F.col("node").alias("head"), F.col("shingles").alias("others")), "head")
@@ -321,7 +325,11 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
         close = both >= F.lit(similarity) * (F.size("shingles") + F.size("others") - both)
         verified = stored(compared.filter(close | (F.size("shingles") + F.size("others") == 0)).select("node", "head"), "verified")
         found.append(verified)
-        members = stored(asked.join(verified, ["node", "head"], "left_anti").select("key", "node", "weight"), "members")
+        # a text goes on in a group if none of the heads is similar; those that were heads themselves have met all others
+        linked = asked.join(verified, ["node", "head"], "left_semi").select("key", "node")
+        open_ = asked.select("key", "node", "weight").distinct().join(linked, ["key", "node"], "left_anti")
+        members = stored(open_.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti"), "members")
+        at_once *= 2
     empty = spark.createDataFrame([], "a string, b string")
     for verified in found:
         empty = empty.union(verified.select(F.col("node").alias("a"), F.col("head").alias("b")))
