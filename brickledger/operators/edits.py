@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import is_blank
 from ..registry import Registry
-from ..schemas import EDITS, INVENTORY_FIELDS, POST_ORDER, SOCIETY_STATUS
+from ..schemas import EDITS, INVENTORY_FIELDS, SOCIETY_STATUS
+from .dedup import flag_superseded
+from .storage import stored
 
 LAST_CHAT = 2**63 - 1
 
@@ -27,29 +29,30 @@ def apply_edits(inventory: DataFrame, edits: DataFrame) -> DataFrame:
     """The inventory after updates, deletions and additions.
 
     An update leaves id and time as they are.  An addition is timed by its
-    edit and sorts after every posted listing of the same time.
+    edit and sorts after every posted listing of the same time.  An edit of an
+    id that is not there changes nothing.  A flagged inventory is flagged
+    anew, since an edit can change which ad is the newest of its society and
+    dealer.
     """
-    resolved = edits.groupBy(F.col("id").alias("dedup_key")).agg(
+    resolved = edits.groupBy(F.col("id").alias("_id")).agg(
         F.max_by(F.struct("op", "row"), F.struct("edited_at", "op")).alias("_last"),
         F.min(F.when(F.col("op") == "add", F.col("edited_at"))).alias("_added_at"),
     )
-    kept = inventory.join(resolved, "dedup_key", "left").filter(F.coalesce(F.col("_last.op") != "delete", F.lit(True)))
-    edited = kept.withColumns({
-        field: F.when(F.col("_last").isNotNull(), F.col(f"_last.row.{field}")).otherwise(F.col(field))
-        for field in INVENTORY_FIELDS
-    }).select(*inventory.columns)
-
+    columns = [c for c in inventory.columns if c != "is_duplicate"]
+    posted, changed = F.col("_posted").isNotNull(), F.col("_last").isNotNull()
     added_ms = F.unix_millis("_added_at")
-    own = {
-        "dedup_key": F.col("dedup_key"), "ts": added_ms, "chat_id": F.lit(LAST_CHAT), "message_id": added_ms,
-        "part_no": F.lit(0), **{field: F.col(f"_last.row.{field}") for field in INVENTORY_FIELDS},
-    }
-    added = (
-        resolved.filter(F.col("_added_at").isNotNull() & (F.col("_last.op") != "delete"))
-        .join(inventory.select("dedup_key"), "dedup_key", "left_anti")
-        .select(*[own.get(c, F.lit(None)).alias(c) for c in inventory.columns])
-    )
-    return edited.unionByName(added)
+    own = {"dedup_key": F.col("_id"), "ts": added_ms, "chat_id": F.lit(LAST_CHAT), "message_id": added_ms, "part_no": F.lit(0)}
+
+    def value(column: str):
+        if column in INVENTORY_FIELDS:
+            return F.when(changed, F.col(f"_last.row.{column}")).otherwise(F.col(column))
+        return F.when(posted, F.col(column)).otherwise(own.get(column, F.lit(None)))
+
+    joined = inventory.select(*columns).withColumn("_posted", F.lit(True)).join(
+        resolved, F.col("dedup_key") == F.col("_id"), "full_outer")
+    kept = joined.filter((posted | F.col("_added_at").isNotNull()) & (~changed | (F.col("_last.op") != "delete")))
+    edited = kept.select(*[value(c).alias(c) for c in columns])
+    return flag_superseded(stored(edited)).select(*inventory.columns) if "is_duplicate" in inventory.columns else edited
 
 
 def update_listing(listings: DataFrame, edited_at: dt.datetime) -> DataFrame:

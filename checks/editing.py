@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 import brickledger as b
+from brickledger.operators.storage import stored
 
 from .inputs import KEPT_WITH, ads, ads_with
-from .inventory import listings
+from .inventory import inventory, listings
 from .registry import check
 
 REGISTRY = b.Registry()
@@ -20,16 +21,35 @@ FIRST, LATER = dt.datetime(2024, 5, 1), dt.datetime(2024, 5, 2)
     SELECT dedup_key, ts, society, dealer, CASE WHEN sec = '9' THEN '1 CR' WHEN sec = '7' THEN 'on call' ELSE price END AS price
     FROM kept""")
 def m1(spark, sf):
-    rows = listings(spark, sf)
+    rows = stored(listings(spark, sf))
     wanted = rows.filter(F.col("sec").isin("9", "7"))
     first = b.update_listing(wanted.withColumn("price", F.lit("on call")), FIRST)
     later = b.update_listing(wanted.filter("sec = '9'").withColumn("price", F.lit("1 CR")), LATER)
     return b.apply_edits(rows, later.unionByName(first)).select("dedup_key", "ts", "society", "dealer", "price")
 
 
+@check("m1_flags_after_edits", f"""{KEPT_WITH},
+    edited AS (SELECT dedup_key, ts, chat_id, message_id, CASE WHEN society = 'SOBHA CITY' AND NOT is_duplicate THEN 'GODREJ ICON' ELSE society
+        END AS society, CASE WHEN society = 'M3M CAPITAL' AND NOT is_duplicate THEN 'Somebody Else' ELSE dealer END AS dealer FROM flagged
+      UNION ALL SELECT 'manual', epoch_ms(TIMESTAMP '2024-05-02'), 9223372036854775807, epoch_ms(TIMESTAMP '2024-05-02'), 'GODREJ ICON', 'Asha Verma')
+    SELECT society, dealer, ts, message_id, row_number() OVER (PARTITION BY society, dealer ORDER BY ts DESC, chat_id DESC, message_id DESC) <> 1
+      AS is_duplicate FROM edited""")
+def m1_flags(spark, sf):
+    rows = inventory(spark, sf)
+    newest = rows.filter(~F.col("is_duplicate"))
+    moved = b.update_listing(newest.filter("society = 'SOBHA CITY'").withColumn("society", F.lit("GODREJ ICON")), FIRST)
+    handed = b.update_listing(newest.filter("society = 'M3M CAPITAL'").withColumn("dealer", F.lit("Somebody Else")), FIRST)
+    typed = spark.createDataFrame([("GODREJ ICON", "IN", *[""] * 5, "Asha Verma", *[""] * 3)],
+        "society string, status string, sec string, area string, acco string, floor string, flat_no string, dealer string, phone string, "
+        "price string, full_message string")
+    added = b.new_listing(typed, REGISTRY, LATER)
+    edited = b.apply_edits(rows, moved.unionByName(handed).unionByName(added))
+    return edited.select("society", "dealer", "ts", "message_id", "is_duplicate")
+
+
 @check("m2_delete_listing", f"{KEPT_WITH} SELECT dedup_key, society FROM kept WHERE status <> 'OUT'")
 def m2(spark, sf):
-    rows = listings(spark, sf)
+    rows = stored(listings(spark, sf))
     return b.apply_edits(rows, b.delete_listing(rows.filter("status = 'OUT'"), FIRST)).select("dedup_key", "society")
 
 
@@ -44,7 +64,7 @@ def m3(spark, sf):
         F.col("area"), F.concat("rooms", F.lit("BHK")).alias("acco"), blank.alias("floor"), blank.alias("flat_no"),
         F.col("name").alias("dealer"), F.col("mobile").alias("phone"), F.lit(" ").alias("price"), blank.alias("full_message"),
     ).distinct()
-    rows = listings(spark, sf)
+    rows = stored(listings(spark, sf))
     edited = b.apply_edits(rows, b.new_listing(typed, REGISTRY, FIRST))
     return edited.filter(F.col("dedup_key").startswith("manual_")).select("society", "status", "dealer", "full_message", "ts")
 
