@@ -46,10 +46,43 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage, whatever file system it is on."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _file_system(spark, path).delete(_hadoop_path(spark, path), True)
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Put the finished folder ``staged`` in the place of ``path``; until then what was there stays."""
+    fs = _file_system(spark, path)
+    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    replaced = fs.exists(_hadoop_path(spark, path))
+    if replaced and not fs.rename(_hadoop_path(spark, path), _hadoop_path(spark, old)):
+        raise OSError(f"{path} cannot be moved aside")
+    if not fs.rename(_hadoop_path(spark, staged), _hadoop_path(spark, path)):
+        if replaced:
+            fs.rename(_hadoop_path(spark, old), _hadoop_path(spark, path))
+        raise OSError(f"{staged} cannot be moved to {path}")
+    if replaced:
+        fs.delete(_hadoop_path(spark, old), True)
+
+
+@contextmanager
+def replacing(spark: SparkSession, path: str) -> Iterator[str]:
+    """A sibling folder to write to; it takes the place of ``path`` if the block succeeds and goes if it fails."""
+    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        yield staged
+        publish(spark, staged, path)
+    finally:
+        remove(spark, staged)
 
 
 @contextmanager

@@ -3,8 +3,8 @@
 Lines are rendered as text so that the bytes are exactly those of the format:
 byte order mark, CRLF and quoting only where needed.  A sorted write may give
 several part files; joined in name order they are the one file, because the
-header is a row that sorts first.  Spark's commit protocol publishes the
-folder only when all parts are written.
+header is a row that sorts first.  An export is written beside the old one and
+takes its place when it is complete.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.strings import strip
+from ..operators.storage import replacing, scratch, stored
 from ..schemas import INVENTORY_FIELDS, POST_ORDER
 
 
@@ -56,26 +57,40 @@ def inventory_lines(inventory: DataFrame) -> DataFrame:
 _ORDER = ["_row", "ts", *POST_ORDER]
 
 
+def project_files(lines: DataFrame, months: int) -> DataFrame:
+    """``(society, file_name)`` of every society: a name that several societies would have gets a hash of each."""
+    societies = lines.select("society").distinct().withColumn("file_name", file_name(F.col("society"), months))
+    shared = societies.groupBy("file_name").agg(F.count("*").alias("_n"))
+    ending = f"_{months}m.csv"
+    own = F.concat(
+        F.expr(f"left(file_name, length(file_name) - {len(ending)})"), F.lit("_"), F.left(F.md5("society"), F.lit(8)), F.lit(ending))
+    return societies.join(shared, "file_name").select("society", F.when(F.col("_n") > 1, own).otherwise(F.col("file_name")).alias("file_name"))
+
+
 def write_inventory_csv(
     inventory: DataFrame, path: str, by_project: bool = False, months: int = 1, society: str | None = None
 ) -> None:
     """Write the flagged inventory, or one society of it, below ``path``.
 
-    With ``by_project`` there is a folder ``file_name=...`` per project.  Rows
+    With ``by_project`` there is a folder ``file_name=...`` per society.  Rows
     are range-partitioned by file and time, so a large project is written by
-    several tasks.
+    several tasks.  The lines are rendered once and stored for sampling, headers
+    and writing.  A failed write leaves the old export as it was.
     """
-    lines = inventory_lines(inventory if society is None else inventory.filter(F.col("society") == society))
-    header = F.lit(header_line())
-    no_order = {"_row": F.lit(0), **{c: F.lit(None).cast("long") for c in ("ts", "chat_id", "message_id")},
-                "part_no": F.lit(None).cast("int"), "value": header}
-    if not by_project:
-        top = lines.sparkSession.range(1).select(*[c.alias(name) for name, c in no_order.items()])
-        ordered = top.unionByName(lines.drop("society")).orderBy(*_ORDER).select("value")
-        ordered.write.mode("overwrite").option("lineSep", "\r\n").text(path)
-        return
-    filed = lines.withColumn("file_name", file_name(F.col("society"), months)).drop("society")
-    tops = filed.select("file_name").distinct().select("file_name", *[c.alias(n) for n, c in no_order.items()])
-    order = ["file_name", *_ORDER]
-    parts = tops.unionByName(filed).repartitionByRange(*order).sortWithinPartitions(*order)
-    parts.select("file_name", "value").write.mode("overwrite").option("lineSep", "\r\n").partitionBy("file_name").text(path)
+    spark = inventory.sparkSession
+    with scratch(spark), replacing(spark, path) as staged:
+        lines = stored(inventory_lines(inventory if society is None else inventory.filter(F.col("society") == society)), "lines")
+        header = F.lit(header_line())
+        no_order = {"_row": F.lit(0), **{c: F.lit(None).cast("long") for c in ("ts", "chat_id", "message_id")},
+                    "part_no": F.lit(None).cast("int"), "value": header}
+        if not by_project:
+            top = spark.range(1).select(*[c.alias(name) for name, c in no_order.items()])
+            ordered = top.unionByName(lines.drop("society")).orderBy(*_ORDER).select("value")
+            ordered.write.option("lineSep", "\r\n").text(staged)
+        else:
+            files = stored(project_files(lines, months), "files")
+            tops = files.select("file_name", *[c.alias(n) for n, c in no_order.items()])
+            filed = lines.join(files, "society").drop("society")
+            order = ["file_name", *_ORDER]
+            parts = tops.unionByName(filed).repartitionByRange(*order).sortWithinPartitions(*order)
+            parts.select("file_name", "value").write.option("lineSep", "\r\n").partitionBy("file_name").text(staged)

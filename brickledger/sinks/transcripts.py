@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.strings import first_filled, is_blank
 from ..operators.chats import all_chat_messages, chat_title
+from ..operators.storage import replacing, scratch, stored
 from ..sources.chat_tables import ChatTables
 
 _ORDER = ["chat_id", "_row", "timestamp_ms", "id"]
@@ -38,8 +39,10 @@ def _row(kind: int, value: Column, timestamp: Column | None = None, message: Col
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    ordered = rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
-    ordered.select("chat_id", "value").write.mode("overwrite").partitionBy("chat_id").text(path)
+    spark = rows.sparkSession
+    with scratch(spark), replacing(spark, path) as staged:
+        ordered = stored(rows, "lines").repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
+        ordered.select("chat_id", "value").write.partitionBy("chat_id").text(staged)
 
 
 def message_line() -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import brickledger as b
@@ -172,28 +173,54 @@ def k1(spark, sf):
     return inventory_lines(inventory(spark, sf)).select("ts", "message_id", "value")
 
 
-@check("k1_csv_file", f"""{KEPT_WITH} SELECT count(*) + 1 AS n, CAST(1 AS BIGINT) AS headers, max(length({LINE})) AS longest FROM flagged""")
+HEADER = "chr(65279) || 'SOCIETY,PROJECT LIST STATUS,SEC ,AREA ,ACCO,FLOOR,FLAT NO,DEALER NAME ,PHONE NO,PRICE,FULL MESSAGE,is_duplicate'"
+
+
+def file_lines(spark, path):
+    """``(file_name, place, value)`` of the lines below ``path``: place counts through the part files in name order, from 0."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    text = F.decode("content", "UTF-8")
+    lines = files.select(
+        F.regexp_extract(F.url_decode("path"), "file_name=([^/]+)/", 1).alias("file_name"), F.col("path"),
+        F.posexplode(F.split(F.regexp_replace(text, "\r\n$", ""), "\r\n", -1)).alias("at", "value"))
+    return lines.withColumn("place", F.row_number().over(Window.partitionBy("file_name").orderBy("path", "at")) - 1).select(
+        "file_name", "place", "value")
+
+
+@check("k1_csv_file", f"""{KEPT_WITH}
+    SELECT 0 AS place, {HEADER} AS value UNION ALL
+    SELECT CAST(row_number() OVER (ORDER BY ts, chat_id, message_id) AS INTEGER), {LINE} FROM flagged""")
 def k1_file(spark, sf):
     path = new_path(spark, "csv") + "/master"
     b.write_inventory_csv(inventory(spark, sf), path)
-    lines = spark.read.option("lineSep", "\r\n").text(path)
-    # the reader drops a byte order mark at the start of a file
-    header = F.col("value").contains("SOCIETY,PROJECT LIST STATUS,SEC ,AREA ,")
-    return lines.agg(
-        F.count("*").alias("n"), F.sum(F.when(header, 1).otherwise(0)).alias("headers"),
-        F.max(F.when(~header, F.length("value"))).alias("longest"),
-    )
+    return file_lines(spark, path).select("place", "value")
 
 
 FILE = "'Inventory_' || trim(regexp_replace(society, '[^A-Za-z0-9_]+', '_', 'g'), '_') || '_1m.csv'"
 
 
-@check("k5_project_files", f"{KEPT_WITH} SELECT {FILE} AS file_name, count(*) + 1 AS n FROM kept GROUP BY 1")
+@check("k5_project_files", f"""{KEPT_WITH}
+    SELECT {FILE} AS file_name, CAST(row_number() OVER (PARTITION BY society ORDER BY ts, chat_id, message_id) AS INTEGER) AS place,
+      {LINE} AS value FROM flagged
+    UNION ALL SELECT DISTINCT {FILE}, 0, {HEADER} FROM flagged""")
 def k5(spark, sf):
     path = new_path(spark, "csv") + "/projects"
     b.write_inventory_csv(inventory(spark, sf), path, by_project=True)
-    lines = spark.read.option("lineSep", "\r\n").text(path)
-    return lines.groupBy("file_name").agg(F.count("*").alias("n"))
+    return file_lines(spark, path)
+
+
+@check("k5_file_name_clashes", f"""{KEPT_WITH},
+    named AS (SELECT ts, message_id, ['A-B', 'A B', 'दिल्ली', '東京', 'Plain'][message_id % 5 + 1] AS society FROM flagged)
+    SELECT society, 'Inventory_' || CASE message_id % 5 WHEN 0 THEN 'A_B_' WHEN 1 THEN 'A_B_' WHEN 4 THEN 'Plain' ELSE 'Project_' END
+        || CASE WHEN message_id % 5 < 4 THEN left(md5(society), 8) ELSE '' END || '_1m.csv' AS file_name, count(*) AS n
+    FROM named GROUP BY ALL""")
+def k5_clashes(spark, sf):
+    path = new_path(spark, "csv") + "/projects"
+    names = F.array(*map(F.lit, ["A-B", "A B", "दिल्ली", "東京", "Plain"]))
+    rows = inventory(spark, sf).withColumn("society", F.element_at(names, (F.col("message_id") % 5 + 1).cast("int")))
+    b.write_inventory_csv(rows, path, by_project=True)
+    lines = file_lines(spark, path).filter("place > 0")
+    return lines.groupBy(F.substring_index("value", ",", 1).alias("society"), "file_name").agg(F.count("*").alias("n"))
 
 
 @check("k4_project_file_rows", f"{KEPT_WITH} SELECT {FILE} AS file_name, {LINE} AS value FROM flagged WHERE society = 'GODREJ ICON'")
