@@ -16,7 +16,7 @@ from .operators.summaries import (
 )
 from .operators.windows import latest_timestamp, recent_listings, window_cutoff
 from .plans.extraction import display_form, extract_listings, parse_texts, to_inventory_rows
-from .plans.inventory import batch_inventory, build_inventory, build_listings, extract_once, run_counters
+from .plans.inventory import batch_inventory, build_inventory, build_listings, compact_parse_cache, extract_once, run_counters
 from .plans.views import register_views
 from .registry import CustomProject, Registry, normalize_project_name
 from .sinks.inventory_csv import write_inventory_csv

@@ -12,13 +12,17 @@ from ..functions.strings import first_filled
 from ..operators.dedup import consolidate, earliest_per, flag_superseded, keep_earliest
 from ..operators.skew import ROWS_PER_TASK, heavy_keys, spread_join
 from ..operators.staging import built_once, computed_once
-from ..operators.storage import stored
+from ..operators.storage import replacing, stored
 from ..operators.windows import recent_listings
 from ..registry import Registry
 from ..schemas import INVENTORY_FIELDS, POST_ORDER
 from . import extraction as X
 
 TEMPLATE_FIELDS = [*INVENTORY_FIELDS, "name_in_text"]
+PARSE_CACHE = (
+    f"digest string, listings array<struct<part_no: int, {', '.join(f'{name}: string' for name in TEMPLATE_FIELDS)}>>, "
+    "version string, prefix string"
+)
 
 
 def digest(text: Column) -> Column:
@@ -38,28 +42,45 @@ def distinct_texts(messages: DataFrame) -> DataFrame:
     )
 
 
-def read_parse_cache(spark, cache_path: str, version: str) -> DataFrame | None:
-    """``(digest, listings)`` of one version; null ``listings`` are damaged and left out."""
+def read_parse_cache(spark, cache_path: str, version: str, digests: DataFrame | None = None) -> DataFrame | None:
+    """``(digest, listings)`` of one version; null ``listings`` are damaged and left out.
+
+    With ``digests(digest)`` only their entries are read on: other prefixes
+    are not scanned, and nothing else is grouped.
+    """
     try:
-        cache = spark.read.parquet(cache_path)
+        cache = spark.read.schema(PARSE_CACHE).parquet(cache_path)
     except Exception as error:  # no cache has been written yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        if "PATH_NOT_FOUND" not in str(error):
             raise
         return None
     valid = cache.filter((F.col("version") == version) & F.col("listings").isNotNull())
+    if digests is not None:
+        valid = valid.join(digests.select("digest", cache_prefix().alias("prefix")), ["prefix", "digest"], "left_semi")
     # two runs may both have added a text
     return valid.groupBy("digest").agg(F.first("listings").alias("listings"))
 
 
+def cache_prefix() -> Column:
+    return F.substring("digest", 1, 1)
+
+
+def compact_parse_cache(spark, cache_path: str) -> None:
+    """Rewrite the cache with one entry per text and few files per prefix; run it while nothing else writes."""
+    with replacing(spark, cache_path) as staged:
+        once = spark.read.schema(PARSE_CACHE).parquet(cache_path).filter(F.col("listings").isNotNull()).dropDuplicates(["version", "digest"])
+        once.repartition("version", "prefix").write.partitionBy("version", "prefix").parquet(staged)
+
+
 def refresh_parse_cache(
     texts: DataFrame, registry: Registry, cache_path: str, version: str = X.EXTRACTOR_VERSION
 ) -> DataFrame:
-    """Parse the texts the cache does not know yet, add them to it and return it.
+    """Parse the texts the cache does not know yet, add them to it and return the entries of ``texts``.
 
     Texts without a listing are remembered too, with an empty array.
     """
     spark, version = texts.sparkSession, cache_version(registry, version)
-    known = read_parse_cache(spark, cache_path, version)
+    known = read_parse_cache(spark, cache_path, version, texts)
     new = texts.select("digest", "text")
     if known is not None:
         new = new.join(known.select("digest"), "digest", "left_anti")
@@ -67,8 +88,9 @@ def refresh_parse_cache(
     listing = F.when(F.col("full_message").isNotNull(), F.struct("part_no", *TEMPLATE_FIELDS))
     # a group here holds the listings of one text, never more
     parsed = rows.groupBy("digest").agg(F.sort_array(F.collect_list(listing)).alias("listings"))
-    parsed.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache_path)
-    return read_parse_cache(spark, cache_path, version)
+    entries = parsed.withColumns({"version": F.lit(version), "prefix": cache_prefix()})
+    entries.repartition("prefix").write.mode("append").partitionBy("version", "prefix").parquet(cache_path)
+    return read_parse_cache(spark, cache_path, version, texts)
 
 
 def extract_once(
@@ -90,10 +112,7 @@ def extract_once(
     if cache_path is None:
         parsed = X.templates(texts.select("digest", "text"), registry)
     else:
-        cache = refresh_parse_cache(texts, registry, cache_path, version)
-        # only the texts of this run, so the join below carries no others
-        current = cache.join(texts.select("digest"), "digest", "left_semi")
-        parsed = current.select("digest", F.inline("listings"))
+        parsed = refresh_parse_cache(texts, registry, cache_path, version).select("digest", F.inline("listings"))
     heavy = heavy_keys(texts, "digest", "n_posts", rows_per_task)
     return spread_join(posts, parsed, "digest", heavy, ["chat_id", "message_id"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import earliest_per, flag_superseded, with_repost_key
-from ..operators.storage import stored
+from ..operators.storage import replacing, stored
 from ..plans.extraction import templates
 from ..plans.inventory import build_listings, post_rows
 from ..registry import Registry
@@ -62,6 +62,10 @@ def read_inventory(spark: SparkSession, out_path: str) -> DataFrame:
     return flag_superseded(stored(merged_listings(spark, out_path)))
 
 
-def compact(spark: SparkSession, out_path: str, target_path: str) -> None:
-    """Fold all batches into one folder of a new table."""
-    merged_listings(spark, out_path).write.mode("overwrite").parquet(f"{target_path}/batch=-1")
+def compact(spark: SparkSession, out_path: str, target_path: str | None = None) -> None:
+    """Fold all batches into one folder, of a new table or in the place of the old; run it while the stream stands still.
+
+    A batch that is written once more after that only adds posts which are there already.
+    """
+    with replacing(spark, target_path or out_path) as staged:
+        merged_listings(spark, out_path).write.parquet(f"{staged}/batch=-1")

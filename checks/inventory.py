@@ -229,17 +229,30 @@ def k4(spark, sf):
     return inventory_lines(rows).select(file_name(F.col("society"), 1).alias("file_name"), "value")
 
 
+BATCHES = 4
+
+
 def _stream(spark, sf):
-    """Ads as a stream, read from the file of orders."""
-    schema = spark.read.parquet(f"{sf}/orders.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    """Ads as a stream of several batches, a file each; posts of one ad come in any order and in different batches."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    folder = new_path(spark, "orders")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    for part in range(BATCHES):
+        orders.filter(F.pmod(F.hash("o_orderkey"), F.lit(BATCHES)) == part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     stream.createOrReplaceTempView("orders")
     return spark.sql(ads_sql("spark", SALE_TEXT)).select("chat_id", "message_id", "timestamp_ms", "sender", "text")
 
 
+def _streamed(spark, sf):
+    folder = new_path(spark, "stream")
+    query = b.stream_inventory(_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint", REGISTRY, f"{folder}/cache")
+    query.awaitTermination()
+    return folder
+
+
 @check("w1_earliest_posts_stream", f"{KEPT_WITH} SELECT dedup_key, ts, message_id, society, dealer FROM kept")
 def w1(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     folder = new_path(spark, "stream")
     updates = b.earliest_posts_stream(_stream(spark, sf), REGISTRY)
 
@@ -256,10 +269,18 @@ def w1(spark, sf):
 
 @check("w2_stream_inventory", f"{KEPT_WITH} SELECT dedup_key, ts, message_id, society, dealer, is_duplicate FROM flagged")
 def w2(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    folder = new_path(spark, "stream")
-    query = b.stream_inventory(_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint", REGISTRY, f"{folder}/cache")
-    query.awaitTermination()
+    folder = _streamed(spark, sf)
+    # folding the batches into one must change nothing
+    b.compact(spark, f"{folder}/out")
     return b.read_inventory(spark, f"{folder}/out").select(
         "dedup_key", "ts", "message_id", "society", "dealer", "is_duplicate"
     )
+
+
+@check("w3_cache_across_batches", f"""{ads_with()}
+    SELECT sha256(text) AS digest, CAST(1 AS BIGINT) AS times_parsed, 4 AS batches FROM ads GROUP BY text""")
+def w3(spark, sf):
+    folder = _streamed(spark, sf)
+    entries = spark.read.parquet(f"{folder}/cache").groupBy("digest").agg(F.count("*").alias("times_parsed"))
+    batches = spark.read.parquet(f"{folder}/out").select("batch").distinct().count()
+    return entries.withColumn("batches", F.lit(batches))
