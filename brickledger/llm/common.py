@@ -24,6 +24,22 @@ def utf8(column: str) -> Column:
     return F.col(column).cast("binary")
 
 
+ROWS_PER_BATCH = 1_000
+
+
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches held to ``ROWS_PER_BATCH`` rows.
+
+    The usual 10,000 rows are made for narrow tables; of whole texts they are
+    hundreds of megabytes, in the JVM and again in Python.  A session with
+    smaller batches keeps its own.
+    """
+    setting, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(setting)) <= ROWS_PER_BATCH:
+        conf.set(setting, str(ROWS_PER_BATCH))
+    return docs
+
+
 def word_count(column: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -22,12 +22,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .common import utf8, words
+from .common import utf8, whole_texts, words
 
 BLOCK_BYTES = 8 << 20  # of texts whose n-grams are counted together before they are sent; one longer text is a block
 PARTITION_BYTES = 16 << 20  # of text for each partition of hashes
@@ -99,20 +100,46 @@ def grams(texts: list[bytes], memo: Hashes) -> tuple[list[np.ndarray], np.ndarra
     return [token, mixed(context * np.uint64(0x9E3779B97F4A7C15) + token)], lengths
 
 
-def packed(arrays: list[np.ndarray]) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], np.int64).tobytes(), *(a.tobytes() for a in arrays)])
+def packed(parts: list[bytes]) -> bytes:
+    return b"".join([np.array([len(p) for p in parts], np.int64).tobytes(), *parts])
 
 
-def unpacked(data: bytes, types: list) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(data, np.int64, len(types)), 8 * len(types), []
-    for n, kind in zip(sizes, types):
-        out.append(np.frombuffer(data, kind, int(n), at))
-        at += int(n) * np.dtype(kind).itemsize
-    return out
+def unpacked(data: bytes, parts: int) -> list[bytes]:
+    ends = 8 * parts + np.cumsum(np.frombuffer(data, np.int64, parts))
+    return [data[e - n:e] for e, n in zip(ends, np.frombuffer(data, np.int64, parts))]
 
 
-SENT = [np.uint64, np.uint32, np.uint32] * LEVELS  # hashes, retained counts and held-out counts of each level
-ANSWER = [np.uint32, np.uint32] * LEVELS
+def packed_hashes(ascending: np.ndarray) -> bytes:
+    """Sorted hashes as steps of as few bytes as the largest step needs."""
+    steps = np.diff(ascending, prepend=np.uint64(0))
+    first, steps = steps[:1], steps[1:]
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return bytes([width]) + first.tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_hashes(data: bytes) -> np.ndarray:
+    if len(data) == 1:
+        return np.zeros(0, np.uint64)
+    steps = np.zeros(((len(data) - 9) // data[0], 8), np.uint8)
+    steps[:, :data[0]] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1, 1), steps.view(np.uint64).ravel()]), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.uint32).tobytes(), 1)
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint32)
+
+
+def partition_bounds(ascending: np.ndarray, partitions: int) -> np.ndarray:
+    """Where each of the equal ranges of hashes begins among sorted ones, and where the last ends."""
+    home = (ascending >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)
+    return np.searchsorted(home, np.arange(partitions + 1, dtype=np.uint64))
+
+
+SENT, ANSWERED = 3, 2  # parts by level: hashes, retained and held-out counts; and the two counts
 
 
 def send(source: Iterator[pa.RecordBatch], partitions: int) -> Iterator[pa.RecordBatch]:
@@ -120,18 +147,19 @@ def send(source: Iterator[pa.RecordBatch], partitions: int) -> Iterator[pa.Recor
     for block in blocks(source):
         keys, lengths = grams(block.texts, memo)
         kind = np.repeat(block.kinds, lengths)
-        levels = []
+        levels, bounds = [], []
         for key in keys:
             distinct, place = np.unique(key, return_inverse=True)
-            levels.append((distinct, *(np.bincount(place[kind == k], minlength=len(distinct)).astype(np.uint32) for k in (1, 2))))
-        homes = [(d % np.uint64(partitions)).astype(np.int64) for d, _, _ in levels]
-        orders = [np.argsort(h, kind="stable") for h in homes]
-        bounds = [np.searchsorted(h[o], np.arange(partitions + 1)) for h, o in zip(homes, orders)]
+            levels.append((distinct, *(np.bincount(place[kind == k], minlength=len(distinct)) for k in (1, 2))))
+            bounds.append(partition_bounds(distinct, partitions))
         rows = []
         for p in range(partitions):
-            arrays = [a[o[b[p]:b[p + 1]]] for level, o, b in zip(levels, orders, bounds) for a in level]
-            if len(arrays[0]) or len(arrays[3]):
-                rows.append({"part": p, "block": block.number, "data": packed(arrays)})
+            parts = []
+            for (distinct, retained, held), b in zip(levels, bounds):
+                span = slice(b[p], b[p + 1])
+                parts += [packed_hashes(distinct[span]), packed_counts(retained[span]), packed_counts(held[span])]
+            if any(b[p] < b[p + 1] for b in bounds):
+                rows.append({"part": p, "block": block.number, "data": packed(parts)})
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]))
 
 
@@ -141,20 +169,21 @@ def add_up(table: pa.Table) -> pa.Table:
     ``owned`` counts the unigrams seen in training once over all blocks: each belongs to the first block listed here.
     """
     block = table.column("block").to_pylist()
-    sent = [unpacked(d, SENT) for d in table.column("data").to_pylist()]
-    answers: list[list[np.ndarray]] = [[] for _ in block]
+    sent = [unpacked(d, SENT * LEVELS) for d in table.column("data").to_pylist()]
+    answers: list[list[bytes]] = [[] for _ in block]
     owned = np.zeros(len(block), np.int64)
     for level in range(LEVELS):
-        keys, *counts = (np.concatenate([s[3 * level + i] for s in sent]) for i in range(3))
-        distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        hashes = [unpacked_hashes(s[SENT * level]) for s in sent]
+        counts = [np.concatenate([unpacked_counts(s[SENT * level + i]) for s in sent]) for i in (1, 2)]
+        distinct, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         totals = [np.bincount(place, weights=c, minlength=len(distinct)) for c in counts]
-        starts = np.cumsum([0, *(len(s[3 * level]) for s in sent)])
+        starts = np.cumsum([0, *map(len, hashes)])
         if level == 0:
             seen = first[(totals[0] + totals[1]) > 0]
             owned += np.bincount(np.searchsorted(starts, seen, side="right") - 1, minlength=len(block))
         for i in range(len(block)):
             at = place[starts[i]:starts[i + 1]]
-            answers[i] += [np.minimum(t[at], 2 ** 32 - 1).astype(np.uint32) for t in totals]
+            answers[i] += [packed_counts(np.minimum(t[at], 2 ** 31)) for t in totals]
     return pa.table({
         "block": pa.array(block, pa.int64()), "part": pa.array(table.column("part").to_pylist(), pa.int32()),
         "owned": pa.array(owned), "data": pa.array([packed(a) for a in answers], pa.binary())})
@@ -165,7 +194,7 @@ def ship(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(source):
         yield pa.RecordBatch.from_pylist([{
             "block": block.number, "ids": block.ids, "kinds": block.kinds.tolist(), "sizes": [len(t) for t in block.texts],
-            "texts": zlib.compress(b"".join(block.texts), 1)}], SHIPPED)
+            "texts": zstandard.compress(b"".join(block.texts), 3)}], SHIPPED)
 
 
 SHIPPED = pa.schema([
@@ -178,36 +207,34 @@ def counted(shipped: pa.Table, answers: pa.Table, partitions: int) -> pa.Table:
     rows = []
     parts, datas = answers.column("part").to_pylist(), answers.column("data").to_pylist()
     for block in shipped.to_pylist():
-        data, ends = zlib.decompress(block["texts"]), np.cumsum(block["sizes"])
+        data, ends = zstandard.decompress(block["texts"], sum(block["sizes"])), np.cumsum(block["sizes"])
         texts = [data[e - n:e] for e, n in zip(ends, block["sizes"])]
         keys, lengths = grams(texts, Hashes())
         places, totals = [], []
         for key in keys:
             distinct, place = np.unique(key, return_inverse=True)
-            home = (distinct % np.uint64(partitions)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            places.append((place, order, np.searchsorted(home[order], np.arange(partitions + 1))))
+            places.append((place, partition_bounds(distinct, partitions)))
             totals.append(np.zeros((2, len(distinct)), np.uint32))
         for p, answer in zip(parts, datas):
-            found = unpacked(answer, ANSWER)
-            for level, (_, order, bounds) in enumerate(places):
-                at = order[bounds[p]:bounds[p + 1]]
-                if len(at) != len(found[2 * level]):
+            found = [unpacked_counts(c) for c in unpacked(answer, ANSWERED * LEVELS)]
+            for level, (_, bounds) in enumerate(places):
+                span = slice(bounds[p], bounds[p + 1])
+                if span.stop - span.start != len(found[ANSWERED * level]):
                     raise RuntimeError("the input was cut into other blocks while its n-grams were counted")
-                totals[level][0, at], totals[level][1, at] = found[2 * level], found[2 * level + 1]
-        per_token = [[t[0][place], t[1][place]] for t, (place, _, _) in zip(totals, places)]
+                totals[level][0, span], totals[level][1, span] = found[ANSWERED * level:ANSWERED * (level + 1)]
+        per_token = [[t[0][place], t[1][place]] for t, (place, _) in zip(totals, places)]
         owned, end = sum(answers.column("owned").to_pylist()), 0
         for i, kind, n in zip(block["ids"], block["kinds"], lengths.tolist()):
             span = slice(end, end + n)
             arrays = [retained[span] + held[span] for retained, held in per_token] + [retained[span] for retained, _ in per_token if kind == 2]
-            rows.append({"id": i, "kind": kind, "n_tokens": n, "owned": owned, "counts": zlib.compress(np.concatenate(arrays).tobytes(), 1)})
+            rows.append({"id": i, "kind": kind, "n_tokens": n, "owned": owned, "counts": packed_counts(np.concatenate(arrays))})
             owned, end = 0, end + n
     return pa.Table.from_pylist(rows, COUNTED)
 
 
 def token_counts(row_counts: bytes, n: int, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Unigram and bigram counts by token; ``first`` is 0 for all counts and 2 for the retained ones."""
-    flat = np.frombuffer(zlib.decompress(row_counts), np.uint32)
+    flat = unpacked_counts(row_counts)
     return flat[first * n:(first + 1) * n].astype(float), flat[(first + 1) * n:(first + 2) * n].astype(float)
 
 
@@ -254,11 +281,11 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     repeated ids are rows like others.  Without training rows all tokens are
     unknown.  An empty table gives no rows.
 
-    Counts of n-grams saturate at 2**32 - 1.
+    Counts of n-grams saturate at 2**31.
     """
     training = F.coalesce(is_training, F.lit(False))
     held = training & (F.pmod(F.xxhash64("id", F.lit("held-out")), F.lit(HELD_OUT)) == 0)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).withColumn(
+    rows = whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).withColumn(
         "kind", F.when(held, 2).when(training, 1).otherwise(0))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     partitions = max(8, -(-size // PARTITION_BYTES))
