@@ -86,3 +86,6 @@ def plain_letters(c: Column) -> Column:
 def plain_letters_each(c: Column) -> Column:
     """``plain_letters`` for every element of an array column."""
     return F.coalesce(_plain_each(F.when(F.exists(c, _needs_plain), c)), c)
+
+
+SQL_FUNCTIONS = {"nfkc": _nfkc, "plain_letters": _plain, "plain_letters_each": _plain_each}

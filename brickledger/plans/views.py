@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.unicode import SQL_FUNCTIONS
 from ..operators.summaries import curated_summaries, inventory_kpis, out_summaries, project_summaries, totals
 from ..registry import Registry
 
@@ -23,3 +24,10 @@ def register_views(inventory: DataFrame, registry: Registry, prefix: str = "") -
     for name, df in views.items():
         df.createOrReplaceTempView(prefix + name)
     return [prefix + name for name in views]
+
+
+def register_functions(spark: SparkSession, prefix: str = "") -> list[str]:
+    """Make the Unicode functions callable from SQL: ``nfkc(text)``, ``plain_letters(text)`` and, on arrays, ``plain_letters_each``."""
+    for name, function in SQL_FUNCTIONS.items():
+        spark.udf.register(prefix + name, function)
+    return [prefix + name for name in SQL_FUNCTIONS]

@@ -72,6 +72,17 @@ def _first_hit(c: Column, rules: list[tuple[str, str]]) -> Column:
     return F.when(found(c, P.any_of(*[pattern for pattern, _ in rules])), ordered)
 
 
+def _first_named(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """As ``_first_hit`` for any number of rules: they are one constant array, so the plan does not grow with them."""
+    if not rules:
+        return F.lit(None).cast("string")
+    listed = F.from_json(
+        F.lit(json.dumps([{"pattern": P.ci(pattern), "project": project} for pattern, project in rules])),
+        "array<struct<pattern: string, project: string>>")
+    hits = F.filter(listed, lambda rule: F.rlike(c, rule["pattern"]))
+    return F.when(found(c, P.any_of(*[pattern for pattern, _ in rules])), F.get(hits, 0)["project"])
+
+
 @dataclass(frozen=True)
 class Registry:
     custom: tuple[CustomProject, ...] = field(default=())
@@ -127,7 +138,7 @@ class Registry:
         Custom projects come before the built-in ones.
         """
         own = self.custom_rules()
-        return first_filled(_first_hit(c, own), _first_hit(c, TEXT_RULES))
+        return first_filled(_first_named(c, own), _first_hit(c, TEXT_RULES))
 
     def canonical_plain(self, c: Column) -> Column:
         """Registered project of a name already through ``plain_letters``."""

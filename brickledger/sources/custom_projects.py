@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import replacing
 from ..registry import CustomProject, Registry
 from ..schemas import CUSTOM_PROJECTS
 
@@ -31,5 +34,7 @@ def read_registry(spark: SparkSession, path: str, max_projects: int | None = MAX
 
 
 def write_registry(spark: SparkSession, registry: Registry, path: str) -> None:
-    rows = [(p.name, list(p.aliases)) for p in registry.custom]
-    spark.createDataFrame(rows, CUSTOM_PROJECTS).coalesce(1).write.mode("overwrite").json(path)
+    """Write the custom projects as one JSON array, in the place of what was at ``path``."""
+    document = json.dumps([{"name": p.name, "aliases": list(p.aliases)} for p in registry.custom])
+    with replacing(spark, path) as staged:
+        spark.createDataFrame([(document,)], "value string").coalesce(1).write.text(staged)
