@@ -139,7 +139,7 @@ def _message_columns() -> list[Column]:
 def chat_messages(
     tables: ChatTables, chat_id: int | None = None, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
-    """Messages in time order, of one chat or of all.
+    """Messages in time order, of one chat or of all; all messages without a page come unordered.
 
     A page is cut from the message table before any identity is joined, so
     only its rows take part in the joins.
@@ -150,7 +150,7 @@ def chat_messages(
     if offset or limit is not None:
         message = page_of(message, [F.col(c) for c in page_order], limit, offset)
     shown = _with_identities(message, tables).select(*_message_columns())
-    if chat_id is None and limit is None:
+    if chat_id is None and limit is None and not offset:
         return shown
     return shown.orderBy("timestamp_ms", "id")
 
