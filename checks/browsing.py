@@ -197,12 +197,13 @@ def k6(spark, sf):
 
 @check("k7_transcript_json", f"""{CHAT_WITH}, {READ}
     SELECT chat_id, 1 AS kind, id, message_key_id AS name, sender_phone AS detail, type_name AS type,
-      row_number() OVER (PARTITION BY chat_id ORDER BY timestamp_ms, id) = 1 AS opens, NULL AS message_count
-    FROM read_messages
+      row_number() OVER (PARTITION BY chat_id ORDER BY timestamp_ms, id) = 1 AS opens, NULL AS message_count,
+      text, timestamp_ms AS time, raw AS sender FROM read_messages
     UNION ALL
-    SELECT id, 0, NULL, title, raw_jid, '1.0', false, (SELECT count(*) FROM conversations WHERE conv_id = x.id) FROM ({CHATS}) x
+    SELECT id, 0, NULL, title, raw_jid, '1.0', false, n, NULL, {EXPORTED_AT}, NULL
+    FROM ({CHATS}) x JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) ON conv_id = x.id
     UNION ALL
-    SELECT id, 2, NULL, NULL, NULL, NULL, false, NULL FROM ({CHATS})""")
+    SELECT id, 2, NULL, NULL, NULL, NULL, false, NULL, NULL, NULL, NULL FROM ({CHATS})""")
 def k7(spark, sf):
     value = F.col("value")
     head = F.regexp_extract(value, r'"exportMetadata": (.*),\n', 1)
@@ -217,5 +218,7 @@ def k7(spark, sf):
         F.coalesce(of(0, head, "$.chatJid"), of(1, body, "$.sender.phoneNumber")).alias("detail"),
         F.coalesce(of(0, head, "$.version"), of(1, body, "$.messageType")).alias("type"),
         ((F.col("_row") == 1) & value.startswith("    {")).alias("opens"),
-        of(0, head, "$.messageCount").cast("long").alias("message_count"),
+        of(0, head, "$.messageCount").cast("long").alias("message_count"), of(1, body, "$.text").alias("text"),
+        F.coalesce(of(0, head, "$.exportTimestamp"), of(1, body, "$.timestampMs")).cast("long").alias("time"),
+        of(1, body, "$.sender.rawJid").alias("sender"),
     )

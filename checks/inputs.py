@@ -57,8 +57,8 @@ CHAT_SQL = {
     """,
 }
 
-# Sub-queries in front of an expected result
-CHAT_WITH = "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in CHAT_SQL.items())
+# Sub-queries in front of an expected result, each computed once
+CHAT_WITH = "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in CHAT_SQL.items())
 
 # -- orders as property ads --------------------------------------------------
 
