@@ -60,8 +60,8 @@ TEXT_RULES = [
     (r"\bHERO\s+HOMES?\b", "HERO HOMES"),
     (r"\bBPTP\s+AM[S]?TORIA\b", "BPTP AMTORIA"),
     (r"\bM3M\s+WOODSHIRE\b", "M3M WOODSHIRE"),
-    (r"\bATS\s+K[OU]COON\b", "ATS KOCOON"),
-    (r"\bWINDCH[AI]NTS?\b", "WINDCHINTS"),
+    (r"\bATS\s+K[O|U]COON\b", "ATS KOCOON"),
+    (r"\bWINDCH[A|I]NTS?\b", "WINDCHINTS"),
     (r"\bIMPERIAL\s+GARDENS?\b", "IMPERIAL GARDEN"),
     (r"\bTATA\s+GURGAON\s+GATEWAY\b", "TATA GURGAON GATEWAY"),
     (r"\bINDIABULLS\s+OFFICE\b", "INDIABULLS OFFICE SPACE"),
@@ -77,7 +77,7 @@ TEXT_RULES = [
     (r"\bPURI\s+EMERALD\s+BAY\b", "PURI EMERALD BAY"),
     (r"\bTATA\s+LA\s+VIDA\b", "TATA LA VIDA"),
     (r"\bKASHISH\s+MANOR\s+ONE\b|\bKASHISH\s+MANON\s+ONE\b", "KASHISH MANON ONE"),
-    (r"\bRA[HJ]EJA\s+VANYA\b", "RAJEJA VANYA PLOT"),
+    (r"\bRA[H|J]EJA\s+VANYA\b", "RAJEJA VANYA PLOT"),
     (r"\bPLAZA\s*(?:SEC(?:TOR)?)?\s*106\b", "PLAZA SEC 106"),
     (r"\bASSOTECH\s+BLITH\b", "ASSOTECH BLITH"),
     (r"\bGURGAON\s+GREENS?\b", "GURGAON GREENS"),
@@ -91,11 +91,11 @@ TEXT_RULES = [
     (r"\bATS\s+TRI?UMPH\b", "ATS TRIMPH"),
     (r"\bATS\s+TOURMALINE\b|\bATS\s+TOURMOLINE\b", "ATS TOURMOLINE"),
     (r"\bHCBS\b", "HCBS"),
-    (r"\bSATYA\s+M[EA]RINO\b", "SATYA MERINO"),
+    (r"\bSATYA\s+M[E|A]RINO\b", "SATYA MERINO"),
     (r"\bVIENNA\s+GREENS?\b", "VIENNA GREENS"),
     (r"\bPAREENA\s+COBAN\b", "PAREENA COBAN"),
     (r"\bINDIABULLS\s+CLUB\s*(?:&|AND)?\s*ESTATE\b", "INDIABULLS CLUB & ESTATE"),
-    (r"\bINDIA\s*BULLS?\s+H[EI]IGHTS?\b", "INDIA BULLS HIGHTS"),
+    (r"\bINDIA\s*BULLS?\s+H[E|I]IGHTS?\b", "INDIA BULLS HIGHTS"),
     (r"\bSIGNATURE\s+(?:GLOBAL\s+)?(?:DE\s*LUXE\s+)?DXP\b", "SIGNATURE DXP"),
     (r"\bKIMBERLY\s+SUITES?\b", "KIMBERLY SUITES"),
     (r"\bWESTIN\b", "WESTIN"),
