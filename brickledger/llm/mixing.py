@@ -101,24 +101,30 @@ def rounded(histogram: DataFrame, cap: int) -> DataFrame:
     """``(key, size, base, extra, n)``: copies of each document, and how many of ``n`` get one more.
 
     Within a source sizes go from large to small, and each takes the number of
-    copies that brings the running token sum nearest to the exact one, so
-    what is left at the end is less than the smallest documents.  A source
-    has one row per distinct size here, however many documents it has.
+    copies, between its rates rounded down and up, that brings the running
+    token sum nearest to the exact one.  Where that leaves a source too far
+    off, as with a handful of documents, the largest sizes that fit into the
+    rest get or lose further copies.  A source has one row per distinct size
+    here, however many documents it has.
     """
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size", ascending=False)
+        sizes, counts = group["size"].tolist(), group["n"].tolist()
         wanted = taken = 0.0
-        base, extra = [], []
-        for size, n, rate in zip(group["size"], group["n"], group["rate"]):
+        copies = []
+        for size, n, rate in zip(sizes, counts, group["rate"]):
             wanted += size * n * rate
+            near = n * rate if size == 0 else (wanted - taken) / size
             floor = min(int(rate), cap)
-            room = n if floor < cap else 0
-            copies = n * rate if size == 0 else (wanted - taken) / size
-            more = min(max(round(copies) - n * floor, 0), room)
-            taken += size * (n * floor + more)
-            base.append(floor)
-            extra.append(more)
-        return group.assign(base=base, extra=extra)[["key", "size", "base", "extra", "n"]]
+            copies.append(min(max(round(near), n * floor), n * min(floor + 1, cap)))
+            taken += size * copies[-1]
+        for i, (size, n) in enumerate(zip(sizes, counts)):
+            if size:
+                more = min(max(int((wanted - taken) / size), -copies[i]), n * cap - copies[i])
+                copies[i] += more
+                taken += size * more
+        return group.assign(base=[k // n for k, n in zip(copies, counts)], extra=[k % n for k, n in zip(copies, counts)])[
+            ["key", "size", "base", "extra", "n"]]
     return histogram.groupBy("key").applyInPandas(fold, "key string, size long, base int, extra long, n long")
 
 
