@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import utf8, whole_texts
 
 # The three base kinds, in the order in which spans with the same start are listed.
 ASSIGN_WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
@@ -155,7 +155,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["id", "spans"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
     return source.mapInArrow(run, "id long, spans array<struct<kind string, start long, end long>>")
 
 
@@ -178,4 +178,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = batch.column(at).to_pylist()
             clean = pa.array([t and redacted(t, scan(t)) for t in texts], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), clean)
-    return docs.mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(run, docs.schema)

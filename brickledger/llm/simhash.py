@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .common import batches, components, utf8, words
+from .common import batches, components, utf8, whole_texts, words
 
 BITS = 64
 HASH_SEED = 42
@@ -67,7 +67,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter((fingerprint(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["id", "fp"])
-    source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
     return source.mapInArrow(batches(run), "id long, fp long")
 
 
@@ -296,7 +296,7 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
         made = [np.unique(shingle_hashes(t, width)).astype(np.uint64).view(np.int64) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    source = texts.select("node", utf8("text").alias("text"))
+    source = whole_texts(texts).select("node", utf8("text").alias("text"))
     described = source.mapInArrow(batches(describe), "node string, fp long, samples array<long>")
     described = stored(described.dropDuplicates(["node"]), "described")
     roots = components(links(described, limit))

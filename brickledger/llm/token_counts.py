@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import utf8, whole_texts
 
 # The pre-token pattern of byte-level BPE, as the tokenizer's library states it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -122,5 +122,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     pa.array([tokens.count((t or b"").decode("utf-8", "replace")) for t in texts], pa.int64()),
                 ], ["id", "n_bytes", "n_tokens"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
+    source = whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"))
     return source.mapInArrow(run, "id long, n_bytes long, n_tokens long")

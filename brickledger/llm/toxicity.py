@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .common import utf8
+from .common import utf8, whole_texts
 
 # Common insults and words of contempt, by language.
 LEXICONS = {
@@ -49,7 +49,7 @@ STEM_VOTERS = 40  # all voters fit into the bits of a long
 LEAST_DOCS = 4
 LABEL_RIGHT = (0.999, 0.99)  # P(label | class), clean and toxic
 EM_STEPS = 25
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 def plain_words(text: str) -> list[str]:
@@ -305,19 +305,20 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, id_col: str = "
     """Learn from the rows of ``docs`` that ``is_training`` holds for, and the labels that some of them have.
 
     ``is_training`` is a condition on ``id``.  The label model covers all
-    training rows; stems and classifier are fitted on at most
-    ``LABELLED_ROWS`` labelled ones.  An id with several labels has their
+    training rows; stems and classifier are fitted on ``LABELLED_ROWS``
+    labelled ones, or a tenth more, one of each id.  An id with several labels has their
     majority; null labels and ids are none.  Without labelled rows of both
     kinds the lists alone decide.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).filter(F.coalesce(is_training, F.lit(False)))
+    texts = whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).filter(F.coalesce(is_training, F.lit(False)))
     given = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).dropna().groupBy("id").agg(
         (F.avg("label") >= 0.5).cast("int").alias("label")).filter(is_training)
     parts = max(1, -(-given.count() // LABELLED_ROWS))
     # within the bound and a tenth, and the same rows in every run
     chosen = given.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).limit(LABELLED_ROWS * 11 // 10)
-    sample = stored(texts.join(F.broadcast(chosen), "id").select("label", "text").limit(LABELLED_ROWS * 2), "labelled")
+    # one row per id, so the sample is bounded, and spread over tasks
+    sample = stored(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("label", "text"), "labelled")
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -400,7 +401,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         for batch in source:
             scores = [sent.value.score(t, memo) for t in decoded(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
-    return docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).mapInArrow(run, "id long, score double")
+    return whole_texts(docs).select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text")).mapInArrow(run, "id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -412,4 +413,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, te
         for batch in source:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([sent.value.score(t or "", memo) < threshold for t in texts], pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(run, docs.schema)

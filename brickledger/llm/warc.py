@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import utf8, whole_texts
 
 VERSION = b"WARC/1.1"
 CHUNK_BYTES = 1 << 20  # records are joined to text rows of about this size
@@ -53,7 +53,7 @@ def with_revisits(pages: DataFrame, least_bytes: int, id_col: str, url_col: str,
     counted on the map side first, so a payload that very many rows share
     costs one row per task.  Rows with a null id are responses.
     """
-    rows = pages.select(
+    rows = whole_texts(pages).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("uri"),
         F.coalesce(utf8(payload_col), F.lit(b"")).alias("payload"),
     ).withColumn("sha1", F.sha1("payload"))
