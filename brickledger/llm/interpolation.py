@@ -126,11 +126,12 @@ def unpacked_hashes(data: bytes) -> np.ndarray:
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype(np.uint32).tobytes(), 1)
+    """Counts byte by byte, the low bytes of all first: most others are zero, and so shrink to nothing."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def unpacked_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint32)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def partition_bounds(ascending: np.ndarray, partitions: int) -> np.ndarray:
@@ -281,7 +282,9 @@ def score(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     repeated ids are rows like others.  Without training rows all tokens are
     unknown.  An empty table gives no rows.
 
-    Counts of n-grams saturate at 2**31.
+    Counts of n-grams saturate at 2**31.  ``docs`` is read twice and must come
+    in the same partitions both times, as a stored table does; other input is
+    noticed and refused.
     """
     training = F.coalesce(is_training, F.lit(False))
     held = training & (F.pmod(F.xxhash64("id", F.lit("held-out")), F.lit(HELD_OUT)) == 0)
