@@ -13,6 +13,8 @@ tree is built in the task that searches it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -319,21 +321,49 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
         later = (F.col("weight") < F.col("head_weight")) | ((F.col("weight") == F.col("head_weight")) & (F.col("node") > F.col("head")))
         asked = stored(members.join(heads, "key").filter(later), "asked")
         pairs = asked.select("node", "head").distinct()
-        compared = pairs.join(shingled, "node").join(
-            shingled.select(F.col("node").alias("head"), F.col("shingles").alias("others")), "head")
-        both = F.size(F.array_intersect("shingles", "others"))
-        close = both >= F.lit(similarity) * (F.size("shingles") + F.size("others") - both)
-        verified = stored(compared.filter(close | (F.size("shingles") + F.size("others") == 0)).select("node", "head"), "verified")
+        verified = stored(overlaps(pairs, shingled, similarity).filter(F.col("apart") <= 2 * (1 - similarity) + ROUNDING), "verified")
         found.append(verified)
         # a text goes on in a group if none of the heads is similar; those that were heads themselves have met all others
-        linked = asked.join(verified, ["node", "head"], "left_semi").select("key", "node")
+        linked = asked.join(verified.filter("close"), ["node", "head"], "left_semi").select("key", "node")
         open_ = asked.select("key", "node", "weight").distinct().join(linked, ["key", "node"], "left_anti")
         members = stored(open_.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti"), "members")
         at_once *= 2
-    empty = spark.createDataFrame([], "a string, b string")
-    for verified in found:
-        empty = empty.union(verified.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    return empty.distinct()
+    if not found:
+        return spark.createDataFrame([], "a string, b string")
+    met = stored(reduce(DataFrame.union, found).distinct(), "met")
+    linked = met.filter("close").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return linked.union(links_past_heads(met, shingled, similarity)).distinct()
+
+
+ROUNDING = 1e-9  # distances are sums of quotients; a bound on them is taken this much wider
+
+
+def overlaps(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """``pairs(node, head)`` with ``apart``, one minus their Jaccard similarity, and ``close``; two empty sets are equal."""
+    compared = pairs.join(shingled, "node").join(shingled.select(F.col("node").alias("head"), F.col("shingles").alias("others")), "head")
+    both = F.size(F.array_intersect("shingles", "others"))
+    union = F.size("shingles") + F.size("others") - both
+    apart = F.when(union == 0, 0.0).otherwise(1 - both / union)
+    return compared.select("node", "head", apart.alias("apart"), (both >= F.lit(similarity) * union).alias("close"))
+
+
+def links_past_heads(met: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links between a text and those that left its group before it, for ``met(node, head, apart, close)``.
+
+    Of a pair that shares a group, one left it first as a copy of a head that
+    the other was compared with.  Jaccard distance is a metric, so they can be
+    similar only if the other is no farther from that head than both distances
+    together; ``met`` has all such pairs.  Those whose texts are connected
+    already need no link of their own.
+    """
+    copies = met.filter("close").select(F.col("node").alias("copy"), "head", F.col("apart").alias("copy_apart"))
+    roots = stored(components(copies.select(F.col("copy").alias("a"), F.col("head").alias("b"))), "roots")
+    of_head = roots.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
+    beyond = met.filter("NOT close").select("node", "head", "apart").join(of_head, "head").join(roots, "node", "left")
+    beyond = stored(beyond.filter(~F.col("root").eqNullSafe(F.col("head_root"))).select("node", "head", "apart"), "beyond")
+    in_reach = F.col("apart") <= F.col("copy_apart") + (1 - similarity) + ROUNDING
+    pairs = beyond.join(copies, "head").filter(in_reach).select("node", F.col("copy").alias("head")).distinct()
+    return overlaps(pairs, shingled, similarity).filter("close").select(F.col("node").alias("a"), F.col("head").alias("b"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,

@@ -116,6 +116,30 @@ def test_one_of_each_against_all_pairs(spark, messy, no_docs):
     assert found.count(None) == 1 and simhash.one_of_each(no_docs).count() == 0
 
 
+def kept_of_all_pairs(rows):
+    plain = {d: frozenset(tuple(t.split()[j:j + 5]) for j in range(max(1, len(t.split()) - 4))) for d, t in rows}
+    sets = Sets(plain)
+    for a, b in itertools.combinations(plain, 2):
+        both = len(plain[a] & plain[b])
+        if both >= 0.8 * (len(plain[a]) + len(plain[b]) - both):
+            sets.join(a, b)
+    return {sets.root(d) for d in plain}
+
+
+def test_one_of_each_links_to_texts_that_left_their_group(spark):
+    """Families of a head with copies, one of which is similar to a text that the heads are not similar to."""
+    rows, i = [], 0
+    for family in range(12):
+        base = [f"f{family}_{j}" for j in range(120)]
+        far = edited(base, {119})
+        texts = [base, *([f"first{k}", *base[1:]] for k in range(6)), far, edited(far, {1, 30, 70})]
+        rows += [(i + k, " ".join(t)) for k, t in enumerate(texts)]
+        i += len(texts)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = kept_of_all_pairs(rows)
+    assert len(wanted) == 12 and {r["doc_id"] for r in kept.collect()} == wanted
+
+
 # ----------------------------------------------------------------------- mixing
 
 def mix_rows(df):
