@@ -250,8 +250,10 @@ def sketch_fingerprints(hashes: np.ndarray) -> np.ndarray:
     """SimHash of each of ``SKETCHES`` consistent samples of a shingle set.
 
     A sample is the ``SKETCH_SHINGLES`` shingles that come first in an order of
-    its own, so two sets with a similarity of 0.8 share a given sample with
-    probability 0.33, and miss all of them once in 300,000 pairs.
+    its own, so two large sets with a similarity of 0.8 share a given sample with
+    probability 0.33, and miss all of them once in 300,000 pairs.  Of small sets
+    fewer samples are shared (0.31 at 40 of 50 shingles, none at 4 of 5), so
+    ``rare_shingles`` makes the candidates of those.
     """
     if not len(hashes):
         return np.zeros(SKETCHES, np.uint64)
@@ -266,6 +268,27 @@ def sketch_fingerprints(hashes: np.ndarray) -> np.ndarray:
     return fps ^ _seeds  # equal bits in different samples are no match
 
 
+SMALL_SET = 40  # pairs with a set of at most so many shingles are found for certain
+
+
+def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, shingle)`` such that similar sets of ``sets(node, shingles)`` have one in common, for certain.
+
+    Prefix filtering: a set of n shingles has ``similarity * n`` or more in common
+    with any that is similar, so all but those less one can be left out, and in
+    one order of all shingles both keep the first that they share.  The order is
+    by number of sets, so that a common passage makes no groups; shingles of
+    one set take their places in it but are no keys.
+    """
+    single = stored(sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "small")
+    shared = stored(single.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1"), "shared")
+    met = stored(single.join(small_if_counted(shared), "shingle"), "met")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("sets", "shingle"))
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("node"))
+    kept = F.col("size") - F.ceil(F.col("size") * similarity - ROUNDING) + 1
+    return met.withColumn("place", place + alone).filter(F.col("place") <= kept).select("node", "shingle")
+
+
 BROADCAST_ROWS = 300_000  # of a table of nodes, some 30 MB; larger ones are joined by shuffle
 
 
@@ -277,34 +300,43 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
     """``(a, b)``: verified links between the nodes of ``texts(node, text)``; rows of one node have one text.
 
     Candidates share a sample fingerprint, or whole-text fingerprints that the
-    Gray index links at ``limit`` bits.  The texts of such a group are compared
+    Gray index links at ``limit`` bits, or, if they have few shingles, one of
+    their ``rare_shingles``.  The texts of such a group are compared
     with one of them, the one that is in most and largest groups; those that
     are not similar to it are compared with the next two, then with four, and
     so on, until each is linked or was compared with all.  So copies cost one
     comparison each, however many there are, and no group is gathered.
     """
     spark = texts.sparkSession
+    partner = int(SMALL_SET / similarity + ROUNDING)  # the largest set that is similar to a small one
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        whole, samples = [], []
+        whole, samples, small = [], [], []
         for text in batch.column(1).to_pylist():
             hashes = shingle_hashes(text, width)
+            distinct = np.unique(hashes).astype(np.uint64)
             whole.append(fingerprint(hashes))
-            samples.append(sketch_fingerprints(np.unique(hashes)).view(np.int64))
+            # small sets need no samples; those without a shingle have no other key
+            samples.append([] if 0 < len(distinct) <= SMALL_SET else sketch_fingerprints(distinct).view(np.int64))
+            small.append(distinct.view(np.int64) if len(distinct) <= partner else None)
         return pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64), pa.int64()), pa.array(samples, pa.list_(pa.int64()))], ["node", "fp", "samples"])
+            batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64), pa.int64()), pa.array(samples, pa.list_(pa.int64())),
+            pa.array(small, pa.list_(pa.int64()))], ["node", "fp", "samples", "small"])
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [np.unique(shingle_hashes(t, width)).astype(np.uint64).view(np.int64) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "shingles"])
 
     source = whole_texts(texts).select("node", utf8("text").alias("text"))
-    described = source.mapInArrow(batches(describe), "node string, fp long, samples array<long>")
+    described = source.mapInArrow(batches(describe), "node string, fp long, samples array<long>, small array<long>")
     described = stored(described.dropDuplicates(["node"]), "described")
-    roots = components(links(described, limit))
-    by_index = described.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    sampled = described.filter(F.size("samples") > 0)
+    roots = components(links(sampled, limit))
+    by_index = sampled.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    rare = rare_shingles(described.filter("small IS NOT NULL").select("node", F.col("small").alias("shingles")), similarity)
     groups = described.select("node", F.explode("samples").alias("key")).union(
-        by_index.select("node", F.xxhash64(F.coalesce("root", "fp"), F.lit("whole")).alias("key"))).distinct()
+        by_index.select("node", F.xxhash64(F.coalesce("root", "fp"), F.lit("whole")).alias("key"))).union(
+        rare.select("node", F.xxhash64("shingle", F.lit("rare")).alias("key"))).distinct()
     members = stored(groups, "groups")
     sizes = members.groupBy("key").count().filter("count > 1")
     members = stored(members.join(sizes, "key"), "members")

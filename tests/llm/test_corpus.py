@@ -140,6 +140,26 @@ def test_one_of_each_links_to_texts_that_left_their_group(spark):
     assert len(wanted) == 12 and {r["doc_id"] for r in kept.collect()} == wanted
 
 
+def test_one_of_each_of_small_sets_at_the_very_similarity(spark):
+    """Pairs of 4n of 5n shingles, and of all sizes from 1 to 20 with as few in common as 0.8 allows, and one less."""
+    rows, i = [], 0
+    for size in range(1, 21):
+        for larger in range(size, min(5 * size // 4, 20) + 1):
+            least = -(-4 * (size + larger) // 9)
+            for both in {max(least - 1, 1), least}:
+                for copy in range(3):
+                    name = f"p{size}_{larger}_{both}_{copy}"
+                    first = [f"{name}_{j}" for j in range(size + 4)]
+                    # the last ``both`` shingles of the first text open the second one
+                    second = first[size - both:] + [f"{name}_x{j}" for j in range(larger - both)]
+                    rows += [(i, " ".join(first)), (i + 1, " ".join(second))]
+                    i += 2
+    rows += [(i + k, f"one passage of several words that stands in all of these texts a{k} b{k} c{k} d{k} e{k} f{k} g{k}") for k in range(30)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = kept_of_all_pairs(rows)
+    assert len(wanted) < len(rows) and {r["doc_id"] for r in kept.collect()} == wanted
+
+
 # ----------------------------------------------------------------------- mixing
 
 def mix_rows(df):
