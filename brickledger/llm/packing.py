@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import numbered
 from ..operators.storage import stored
 
-# Lengths of up to 11 binary digits are told apart; longer ones are padded up to their first 11.
+# Lengths of up to 11 binary digits are told apart; longer ones share cells by their first 11.
 # The histogram thus has at most 2048 + 1024 rows per further doubling, whatever the input.
 CELL_DIGITS = 11
 
@@ -69,12 +69,14 @@ def pack(docs: DataFrame, length: Column, budget: int = 16_384, buckets: int = 3
     ``batch`` numbers the batches of a bucket from 0, ``place`` the rows of a
     batch from 0.  A batch holds ``budget // pad_to`` rows, or the one row that
     is longer than the budget; only the last batch of a bucket may hold fewer.
+    ``pad_to`` is the longest row of the bucket.  Padding is the least of all
+    borders up to 2,048, and beyond of those between two cells of lengths.
     Null lengths count as 0.  Null and repeated ids are rows like others, and
     an empty table gives no rows.
     """
     rows = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("length")), "lengths")
-    histogram = rows.groupBy(cell_of(F.col("length")).alias("cell")).agg(F.count("*").alias("n")).orderBy("cell").toPandas()
-    borders, _ = best_borders(histogram["cell"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), buckets)
+    histogram = rows.groupBy(cell_of(F.col("length")).alias("cell")).agg(F.count("*").alias("n"), F.max("length").alias("longest")).orderBy("cell").toPandas()
+    borders, _ = best_borders(histogram["longest"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), buckets)
     edges = F.array(*[F.lit(b).cast("long") for b in borders or [0]])
     bucket = F.size(F.filter(edges, lambda b: b < F.col("length")))
     dealt = rows.withColumn("bucket", bucket).withColumn("order", F.xxhash64("id", "length"))

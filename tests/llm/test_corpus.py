@@ -279,6 +279,16 @@ def test_long_lengths_share_cells(spark):
     assert all(n <= c <= n * 1.001 + 1 for n, c in cells) and [c for n, c in cells if n <= 2048] == [0, 1, 2047, 2048]
 
 
+def test_long_rows_are_padded_to_the_longest_of_their_bucket(spark):
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate((5, 7, 2049, 2049, 5001, 5002, 70_001))], "doc_id long, n long")
+    for buckets in (1, 3, 8):
+        longest, pads = defaultdict(int), {}
+        for r in packing.pack(docs, F.col("n"), budget=6000, buckets=buckets).collect():
+            longest[r["bucket"]] = max(longest[r["bucket"]], r["length"])
+            pads[r["bucket"]] = r["pad_to"]
+        assert pads == longest
+
+
 # --------------------------------------------------------- pipeline and queries
 
 def test_pipeline_keeps_columns_and_handles_messy_rows(spark, messy):
