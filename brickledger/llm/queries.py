@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import new_path
-from . import ann, exact_topk, interpolation, mixing, packing, secrets, simhash, token_counts, toxicity, warc
+from . import ann, exact_topk, interpolation, mixing, packing, secrets, simhash, token_counts, toxicity, warc, whitening
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         F.col("id").alias("doc_id"), F.coalesce(crc_remainder("id", 7) == 2, F.lit(False)).alias("held_out"),
         "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, grid=64, offset=1_000_000)
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))

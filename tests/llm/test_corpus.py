@@ -307,4 +307,4 @@ def test_pipeline_keeps_columns_and_handles_messy_rows(spark, messy):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
