@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import new_path
-from . import ann, exact_topk, interpolation, mixing, packing, secrets, simhash, token_counts, toxicity, warc, whitening
+from . import ann, conversations, exact_topk, interpolation, mixing, packing, secrets, simhash, token_counts, toxicity, warc, whitening
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,15 @@ def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, grid=64, offset=1_000_000)
     return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "conversations")
+    fixed = conversations.repair(conversations.damaged(source))
+    lines = conversations.digests(fixed.rows).withColumnRenamed("conv", "_conv")
+    known = fixed.summary.join(lines, F.col("conv").eqNullSafe(F.col("_conv")))
+    found = source.select("conv_id").distinct().join(known, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
