@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import new_path
-from . import ann, conversations, exact_topk, interpolation, mixing, packing, secrets, simhash, token_counts, toxicity, warc, whitening
+from . import ann, conversations, exact_topk, interpolation, mixing, packing, secrets, simhash, token_counts, toxicity, vector_dedup, warc, whitening
 from .common import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,25 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
                         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_dedup.near_copies(table(spark, sf_dir, "embeddings"), similarity=0.93)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+ORACLES["op13_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+found AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, f.component_id, e.vec_id = f.component_id AS kept
+FROM embeddings e JOIN found f ON f.a = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""
