@@ -116,18 +116,25 @@ class Index:
     def centre(self, at: np.ndarray) -> np.ndarray:
         return np.concatenate([self.centres, self.hubs])[at]
 
-    def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes, and how far what they stand for is from the residual."""
-        codes = np.stack([nearest(residual[:, a:b], book) for book, a, b in zip(self.books, self.cuts, self.cuts[1:])], axis=1).astype(np.uint8)
-        off = sum(((residual[:, a:b] - book[codes[:, s]]) ** 2).sum(1) for s, (book, a, b) in enumerate(zip(self.books, self.cuts, self.cuts[1:])))
-        return codes, np.sqrt(off)
-
-    def squared_distances(self, residual: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric: from exact rows to coded ones, by adding up entries of a table for each row and subspace."""
-        total = np.zeros((len(residual), len(codes)), np.float32)
-        for s, (book, a, b) in enumerate(zip(self.books, self.cuts, self.cuts[1:])):
-            part = residual[:, None, a:b] - book[None]
-            total += (part ** 2).sum(2).astype(np.float32)[:, codes[:, s]]
+    def encode(self, unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the residuals; what does not depend on the asking row of its squared distance to them; their error."""
+        centre = self.centre(at)
+        residual = unit - centre
+        codes = np.stack([nearest(residual[:, a:b], book) for book, a, b in self.parts()], axis=1).astype(np.uint8)
+        coded = np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
+        return codes, (coded * (coded + 2 * centre)).sum(1), np.linalg.norm(residual - coded, axis=1)
+
+    def parts(self):
+        return zip(self.books, self.cuts, self.cuts[1:])
+
+    def squared_distances(self, unit: np.ndarray, centre: np.ndarray, codes: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Asymmetric: from exact rows to coded ones of a list, by adding up entries of a table for each row and subspace.
+
+        The tables hold products with the codebook, which are the same for every list.
+        """
+        total = ((unit - centre) ** 2).sum(1)[:, None].astype(np.float32) + base.astype(np.float32)
+        for s, (book, a, b) in enumerate(self.parts()):
+            total -= (unit[:, a:b] @ (2 * book.T)).astype(np.float32).take(codes[:, s], axis=1)
         return total
 
 
@@ -180,7 +187,7 @@ def compare(index: Index, at: int, visitors: dict, held: dict) -> tuple[np.ndarr
     limit = ((np.sqrt(far) + held["error"]) ** 2 + 1e-4).astype(np.float32)
     for start in range(0, len(nodes), CHUNK):
         part = slice(start, start + CHUNK)
-        maybe = index.squared_distances(v_unit[part] - centre, held["codes"]) <= limit
+        maybe = index.squared_distances(v_unit[part], centre, held["codes"], held["base"]) <= limit
         # of two rows of this list the one with the smaller number asks
         maybe &= (v_home[part] != at)[:, None] | (nodes[part, None] < held["node"])
         columns = np.flatnonzero(maybe.any(0))
@@ -225,13 +232,13 @@ def linked_nodes(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
                 batch = whole.slice(start, 2048)
                 x = unit_of(batch.column("vector"))
                 at, angle = index.value.home(x, batch.column("label").to_numpy())
-                codes, error = index.value.encode(x - index.value.centre(at))
+                codes, base, error = index.value.encode(x, at)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(at.astype(np.int32)), pa.array(angle), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                    [*batch.schema.names, "home", "angle", "codes", "error"])
+                    [*batch.columns, pa.array(at.astype(np.int32)), pa.array(angle), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(base),
+                     pa.array(error)], [*batch.schema.names, "home", "angle", "codes", "base", "error"])
 
-    schema = "node long, label long, vector array<double>, copies long"
-    placed = stored(nodes.select("node", "label", "vector", "copies").mapInArrow(place, f"{schema}, home int, angle double, codes binary, error double"), "placed")
+    schema = f"node long, label long, vector {nodes.schema['vector'].dataType.simpleString()}, copies long"
+    placed = stored(nodes.select("node", "label", "vector", "copies").mapInArrow(place, f"{schema}, home int, angle double, codes binary, base double, error double"), "placed")
     balls = placed.filter(F.col("home") >= coarse).groupBy("home").agg(  # at most SAMPLE_ROWS / DENSE rows
         F.max("angle").alias("angle"), F.sum("copies").alias("copies"), F.min("node").alias("node"))
     found = {r["home"]: r for r in balls.collect()}
@@ -279,7 +286,7 @@ def linked_nodes(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
             f"my_{own}": F.pmod(F.xxhash64("node"), F.col(own)).cast("int"), f"my_{other}": F.explode(F.sequence(F.lit(0), F.col(other) - 1))}).drop("blocks", "groups")
 
     keys = ["label", "at", "my_blocks", "my_groups"]
-    candidates = dealt(placed.select("node", "label", "vector", "copies", "codes", "error", F.col("home").alias("at")), "blocks", "groups")
+    candidates = dealt(placed.select("node", "label", "vector", "copies", "codes", "base", "error", F.col("home").alias("at")), "blocks", "groups")
     visitors = dealt(asked.drop("whole"), "groups", "blocks")
 
     def block(visiting: pa.Table, held: pa.Table) -> pa.Table:
@@ -289,7 +296,7 @@ def linked_nodes(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
             side = {"node": v["node"].to_numpy(), "unit": unit_of(v["vector"].chunk(0)), "copies": v["copies"].to_numpy(), "home": v["home"].to_numpy()}
             codes = np.frombuffer(b"".join(h["codes"].to_pylist()), np.uint8).reshape(h.num_rows, -1)
             other = {"node": h["node"].to_numpy(), "unit": unit_of(h["vector"].chunk(0)), "copies": h["copies"].to_numpy(), "codes": codes,
-                     "error": h["error"].to_numpy()}
+                     "base": h["base"].to_numpy(), "error": h["error"].to_numpy()}
             made = compare(index.value, v["at"][0].as_py(), side, other)
         return pa.table({"node": made[0], "links": made[1], "root": made[2]})
 
@@ -324,10 +331,11 @@ def near_copies(vectors: DataFrame, similarity: float = 0.93, id_col: str = "vec
         raise ValueError("similarity must be from 0.5 to below 1")
     label = F.col(label_col)
     integral = vectors.schema[label_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    as_is = vectors.schema[vector_col].dataType.elementType.typeName() in ("float", "double")
     takes_part = F.col(id_col).isNotNull() & label.isNotNull() & usable(vector_col) & F.coalesce(F.exists(vector_col, lambda x: x != 0), F.lit(False))
     named = vectors.select(
         F.col(id_col).alias("id"), takes_part.alias("takes_part"), (label.cast("long") if integral else F.xxhash64(label)).alias("label"),
-        F.when(takes_part, F.transform(vector_col, lambda x: x.cast("double"))).alias("vector"))
+        F.when(takes_part, F.col(vector_col) if as_is else F.transform(vector_col, lambda x: x.cast("double"))).alias("vector"))
     rows = stored(named.withColumns({
         "key": F.when(F.col("takes_part"), F.concat_ws(":", F.hex(F.xxhash64("label", "vector")), F.hex(F.xxhash64(F.lit(1), "vector", "label")))),
         "row": F.monotonically_increasing_id()}), "rows")

@@ -91,13 +91,13 @@ def test_codes_and_planes_rule_out_nothing_within_reach():
     unit = D.unit_rows(np.array([v for _, v, _ in rows]))
     index = D.fit(unit[:500], np.zeros(500, int), 12, 0.93)
     at = D.nearest(unit, index.centres)
-    codes, error = index.encode(unit - index.centres[at])
+    codes, base, error = index.encode(unit, at)
     close = unit @ unit.T >= 0.93
     for c in range(len(index.centres)):
         held = np.flatnonzero(at == c)
-        far = np.sqrt(index.squared_distances(unit - index.centres[c], codes[held]))
+        far = np.sqrt(np.maximum(index.squared_distances(unit, index.centres[c], codes[held], base[held]), 0))
         assert (far - error[held] <= np.sqrt(2 - 2 * 0.93) + 1e-4)[close[:, held]].all()
-    assert (np.sqrt(index.squared_distances(unit - index.centres[0], codes[at == 0])) - error[at == 0] > np.sqrt(0.14)).mean() > 0.3
+    assert (np.sqrt(index.squared_distances(unit, index.centres[0], codes[at == 0], base[at == 0])) - error[at == 0] > np.sqrt(0.14)).mean() > 0.3
 
 
 def test_registered_query_against_all_pairs(spark, tmp_path):
