@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import brickledger as b
 from brickledger.functions.dealer import clean_sender, is_lid, phone_of
 from brickledger.operators.chats import contact_label, phone_number
+from brickledger.operators.storage import new_path
 from brickledger.sinks.transcripts import json_lines, text_lines
 
 from .inputs import CHAT_WITH, chat_tables, table
@@ -50,31 +51,52 @@ def shown(messages):
     )
 
 
-def recent(fallback: str) -> str:
-    return f"""{CHAT_WITH}
-    SELECT m.chat_row_id AS chat_id, m._id AS message_id, m.timestamp AS timestamp_ms,
-      coalesce(p.raw_string, s.raw_string, {fallback}'Unknown') AS sender, m.text_data AS text
-    {SENT}
-    WHERE j.server = 'g.us' AND c.sort_timestamp >= {SINCE} AND m.timestamp >= {SINCE} AND m.message_type = 0
-      AND m.text_data IS NOT NULL AND m.text_data <> ''"""
+# Identities by arithmetic on a conversation, without a join: what the tables above say of each row
+PHONE = "CAST(15551000000 + conv_id % 40 AS VARCHAR) || '@s.whatsapp.net'"
+OPAQUE = f"CASE WHEN conv_id % 40 < 20 THEN {PHONE} ELSE CAST(70000000000000 + conv_id % 40 AS VARCHAR) || '@lid' END"
+CHAT_RAW = """CASE WHEN conv_id % 2 = 0 THEN CAST(120363000000 + conv_id AS VARCHAR) || '@g.us'
+  WHEN conv_id % 5 = 0 THEN 'user' || CAST(conv_id AS VARCHAR) || '@s.whatsapp.net'
+  ELSE CAST(15550000000 + conv_id AS VARCHAR) || '@s.whatsapp.net' END"""
+KIND = "CASE turn % 7 WHEN 4 THEN 1 WHEN 5 THEN 64 WHEN 6 THEN NULL ELSE 0 END"
+
+
+def sent_by(otherwise: str) -> str:
+    return f"CASE role WHEN 'user' THEN {PHONE} WHEN 'assistant' THEN {OPAQUE} ELSE {otherwise} END"
+
+
+def recent(otherwise: str) -> str:
+    # a chat with a message since then is active since then
+    return f"""
+    SELECT conv_id AS chat_id, conv_id * 1000 + turn AS message_id, turn * 60000 + conv_id * 1000 AS timestamp_ms,
+      {sent_by(otherwise)} AS sender, text
+    FROM conversations WHERE conv_id % 2 = 0 AND turn * 60000 + conv_id * 1000 >= {SINCE} AND turn % 7 < 4 AND text <> ''"""
 
 
 @check("s1_chat_tables", f"""{CHAT_WITH}
-    SELECT 'chat' AS name, count(*) AS n FROM chat UNION ALL SELECT 'message', count(*) FROM message
-    UNION ALL SELECT 'jid', count(*) FROM jid UNION ALL SELECT 'jid_map', count(*) FROM jid_map""")
+    SELECT 'chat' AS name, _id AS id, coalesce(subject, '-') || '|' || sort_timestamp || '|' || coalesce(CAST(archived AS VARCHAR), '-') AS fields FROM chat
+    UNION ALL SELECT 'message', _id, coalesce(text_data, '-') || '|' || timestamp || '|' || coalesce(CAST(sender_jid_row_id AS VARCHAR), '-') FROM message
+    UNION ALL SELECT 'jid', _id, raw_string || '|' || server FROM jid
+    UNION ALL SELECT 'jid_map', lid_row_id, CAST(jid_row_id AS VARCHAR) FROM jid_map""")
 def s1(spark, sf):
-    t = chat_tables(spark, sf)
-    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
-              for name, df in [("chat", t.chat), ("message", t.message), ("jid", t.jid), ("jid_map", t.jid_map)]]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    path = new_path(spark, "chats")
+    for name, df in vars(chat_tables(spark, sf)).items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    t = b.read_chat_tables(spark, path)
+
+    def fields(df, name, key, *columns):
+        return df.select(F.lit(name).alias("name"), F.col(key).alias("id"),
+                         F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("fields"))
+    return fields(t.chat, "chat", "_id", "subject", "sort_timestamp", "archived").union(
+        fields(t.message, "message", "_id", "text_data", "timestamp", "sender_jid_row_id")).union(
+        fields(t.jid, "jid", "_id", "raw_string", "server")).union(fields(t.jid_map, "jid_map", "lid_row_id", "jid_row_id"))
 
 
-@check("s3_recent_group_messages", recent("j.raw_string, "))
+@check("s3_recent_group_messages", recent(CHAT_RAW))
 def s3(spark, sf):
     return b.recent_group_messages(chat_tables(spark, sf), SINCE)
 
 
-@check("s4_inventory_messages", recent(""))
+@check("s4_inventory_messages", recent("'Unknown'"))
 def s4(spark, sf):
     return b.inventory_messages(chat_tables(spark, sf), SINCE)
 
@@ -104,7 +126,15 @@ def c3(spark, sf):
     return shown(b.chat_messages(chat_tables(spark, sf), limit=200, offset=50))
 
 
-@check("c4_all_chat_messages", f"{CHAT_WITH}, {READ} SELECT {COLUMNS} FROM read_messages")
+@check("c4_all_chat_messages", f"""
+    SELECT *, CASE WHEN is_from_me THEN 'You' WHEN sender_raw LIKE 'user%' THEN sender_raw ELSE '+' || split_part(sender_raw, '@', 1) END
+        AS sender_label
+    FROM (SELECT conv_id AS chat_id, conv_id * 1000 + turn AS id,
+        CASE WHEN turn % 5 = 0 THEN CAST(conv_id * 1000 + turn AS VARCHAR) ELSE 'K' || CAST(conv_id * 1000 + turn AS VARCHAR) END AS message_key_id,
+        turn * 60000 + conv_id * 1000 AS timestamp_ms, turn % 4 = 3 AS is_from_me, CASE WHEN turn % 7 <> 5 THEN text END AS text,
+        CASE {KIND} WHEN 0 THEN 'Text' WHEN 1 THEN 'Photo' WHEN 64 THEN 'Poll' ELSE 'Attachment' END AS message_type,
+        CASE {KIND} WHEN 0 THEN NULL WHEN 1 THEN '[Photo]' WHEN 64 THEN '[Poll]' ELSE '[Attachment]' END AS metadata_summary,
+        CASE WHEN turn % 4 = 3 THEN 'me' ELSE {sent_by(CHAT_RAW)} END AS sender_raw FROM conversations)""")
 def c4(spark, sf):
     return shown(b.all_chat_messages(chat_tables(spark, sf)))
 
@@ -153,9 +183,10 @@ def c9(spark, sf):
     return b.latest_timestamp(chat_tables(spark, sf).message)
 
 
-@check("j4_mapped_senders", f"""{CHAT_WITH}
-    SELECT s._id, coalesce(p.raw_string, s.raw_string) AS raw_string FROM jid s
-    LEFT JOIN jid_map jm ON s._id = jm.lid_row_id LEFT JOIN jid p ON jm.jid_row_id = p._id""")
+@check("j4_mapped_senders", f"""
+    SELECT DISTINCT conv_id AS _id, {CHAT_RAW} AS raw_string FROM conversations
+    UNION ALL SELECT DISTINCT 1000000000 + conv_id % 40, {PHONE} FROM conversations
+    UNION ALL SELECT DISTINCT 2000000000 + conv_id % 40, {OPAQUE} FROM conversations""")
 def j4(spark, sf):
     return chat_tables(spark, sf).senders()
 
