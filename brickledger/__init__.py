@@ -9,8 +9,10 @@ from .operators.edits import (
     add_society, apply_edits, apply_society_status, delete_listing, demote_society, new_listing, promote_society,
     update_listing,
 )
+from .operators.levels import Levels, Snapshot, snapshot, vacuum
 from .operators.storage import scratch
 from .operators.managed import in_listings, rows_for_project
+from .operators.managed_table import edit_managed, managed, read_managed, write_managed
 from .operators.summaries import (
     curated_summaries, filter_out_projects, filter_projects, inventory_kpis, out_summaries, project_summaries, totals,
 )
@@ -26,6 +28,6 @@ from .sources.chat_tables import (
     read_chat_tables, recent_group_messages,
 )
 from .sources.custom_projects import read_registry, write_registry
-from .streaming.inventory_stream import compact, earliest_posts_stream, read_inventory, stream_inventory
+from .streaming.inventory_stream import compact, earliest_posts_stream, inventory_levels, read_inventory, stream_inventory
 
 __all__ = [name for name in dir() if not name.startswith("_")]

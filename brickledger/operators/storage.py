@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Folders to delete when a scope of ``scratch`` ends; the innermost scope is last.
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Folders to delete when a scope of ``scratch`` ends, the innermost last; a stream's batches have their own."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,8 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str = "stored") -> str:
     """A path below the shared folder that nothing has used yet; a scope of ``scratch`` deletes it at its end."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
@@ -59,6 +66,41 @@ def remove(spark: SparkSession, path: str) -> None:
     _file_system(spark, path).delete(_hadoop_path(spark, path), True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, folder = _file_system(spark, path), _hadoop_path(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    stream = _file_system(spark, path).open(_hadoop_path(spark, path))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, content: str) -> bool:
+    """Write a small file that appears whole or not at all; false, and no change, if there is one already."""
+    jvm, staged = spark.sparkContext._jvm, f"{path}.{uuid.uuid4().hex}"
+    stream = _file_system(spark, path).create(_hadoop_path(spark, staged), True)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    # the default file system if the path has no scheme
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        _file_system(spark, path).getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(_hadoop_path(spark, staged), _hadoop_path(spark, path), no_options)
+        return True
+    except Exception as error:
+        remove(spark, staged)
+        if "FileAlreadyExistsException" not in str(error):
+            raise
+        return False
+
+
 def publish(spark: SparkSession, staged: str, path: str) -> None:
     """Put the finished folder ``staged`` in the place of ``path``; until then what was there stays."""
     fs = _file_system(spark, path)
@@ -92,9 +134,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     Use results inside the block, or write them first: a DataFrame that reads
     a deleted table can no longer be evaluated.
     """
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             remove(spark, path)

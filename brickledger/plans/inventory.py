@@ -69,7 +69,7 @@ def compact_parse_cache(spark, cache_path: str) -> None:
     """Rewrite the cache with one entry per text and few files per prefix; run it while nothing else writes."""
     with replacing(spark, cache_path) as staged:
         once = spark.read.schema(PARSE_CACHE).parquet(cache_path).filter(F.col("listings").isNotNull()).dropDuplicates(["version", "digest"])
-        once.repartition("version", "prefix").write.partitionBy("version", "prefix").parquet(staged)
+        once.hint("rebalance", "version", "prefix").write.partitionBy("version", "prefix").parquet(staged)
 
 
 def refresh_parse_cache(
@@ -89,7 +89,8 @@ def refresh_parse_cache(
     # a group here holds the listings of one text, never more
     parsed = rows.groupBy("digest").agg(F.sort_array(F.collect_list(listing)).alias("listings"))
     entries = parsed.withColumns({"version": F.lit(version), "prefix": cache_prefix()})
-    entries.repartition("prefix").write.mode("append").partitionBy("version", "prefix").parquet(cache_path)
+    # few files for each prefix, but as many tasks as the entries need
+    entries.hint("rebalance", "prefix").write.mode("append").partitionBy("version", "prefix").parquet(cache_path)
     return read_parse_cache(spark, cache_path, version, texts)
 
 

@@ -1,7 +1,8 @@
 """Incremental inventory from a stream of messages.
 
 Messages may come in any order and as late as they like: the earliest post of
-an ad wins whenever it arrives.
+an ad wins whenever it arrives.  Batches become runs of a levelled table, which
+may be read and compacted while the stream goes on.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import earliest_per, flag_superseded, with_repost_key
-from ..operators.storage import replacing, stored
+from ..operators.levels import FAN, Levels, Snapshot, vacuum
+from ..operators.storage import replacing, scratch, stored
 from ..plans.extraction import templates
 from ..plans.inventory import build_listings, post_rows
 from ..registry import Registry
@@ -38,34 +40,60 @@ def stream_inventory(
     registry: Registry,
     cache_path: str | None = None,
     available_now: bool = True,
+    fan: int = FAN,
 ) -> StreamingQuery:
-    """Append the ads of every micro-batch to a table at ``out_path``.
+    """Append the ads of every micro-batch to a levelled table at ``out_path``.
 
-    Each batch is reduced to its earliest posts and written to a folder of its
-    own, so a repeated batch overwrites itself.  ``read_inventory`` merges the
-    batches.  With ``cache_path`` texts of earlier batches are not parsed again.
+    Each batch is reduced to its earliest posts and written as a run of its
+    own; a repeated batch changes nothing.  ``fan`` runs of a level merge into
+    one of the next, so ``read_inventory`` opens a logarithmic number of them.
+    With ``cache_path`` texts of earlier batches are not parsed again.
     """
+    inventory_levels(source.sparkSession, out_path, fan).open()
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        build_listings(batch, registry, cache_path).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        spark = batch.sparkSession
+        table = inventory_levels(spark, out_path, fan)
+        with scratch(spark):
+            table.append(build_listings(batch, registry, cache_path), batch_id)
+        table.settle()
+        vacuum(spark, out_path)
 
     writer = source.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def merged_listings(spark: SparkSession, out_path: str) -> DataFrame:
-    """The earliest post of every ad over all batches."""
-    return earliest_per(spark.read.parquet(out_path).drop("batch"), ["dedup_key"], ["ts", *POST_ORDER])
+def inventory_levels(spark: SparkSession, out_path: str, fan: int = FAN) -> Levels:
+    """The streamed ads as a levelled table: of all posts of an ad the earliest remains."""
+    return Levels(spark, out_path, "dedup_key", lambda rows: earliest_per(rows, ["dedup_key"], ["ts", *POST_ORDER]), fan)
+
+
+def merged_listings(spark: SparkSession, out_path: str, at: Snapshot | None = None) -> DataFrame:
+    """The earliest post of every ad, of a snapshot or of everything streamed so far."""
+    return inventory_levels(spark, out_path).rows(at)
 
 
-def read_inventory(spark: SparkSession, out_path: str) -> DataFrame:
-    """The flagged inventory of everything streamed so far."""
-    return flag_superseded(stored(merged_listings(spark, out_path)))
+def read_inventory(spark: SparkSession, out_path: str, at: Snapshot | None = None) -> DataFrame:
+    """The flagged inventory, of a snapshot or of everything streamed so far.
+
+    Runs that have been merged stay until ``vacuum``, so a snapshot can be read
+    while the stream and ``compact`` go on.
+    """
+    return flag_superseded(stored(merged_listings(spark, out_path, at)))
 
 
-def compact(spark: SparkSession, out_path: str, target_path: str | None = None) -> None:
-    """Fold all batches into one folder, of a new table or in the place of the old; run it while the stream stands still.
+def compact(spark: SparkSession, out_path: str, target_path: str | None = None, keep_old: bool = False) -> None:
+    """Fold all runs into one, or into a new table at ``target_path``.
 
-    A batch that is written once more after that only adds posts which are there already.
+    It may run beside the stream: batches that come meanwhile stay runs of
+    their own, and until it ends, or if it is killed, the old snapshot stands.
+    Unless ``keep_old`` the merged runs are deleted at the end, which ends reads
+    of earlier snapshots.
     """
-    with replacing(spark, target_path or out_path) as staged:
-        merged_listings(spark, out_path).write.parquet(f"{staged}/batch=-1")
+    if target_path and target_path != out_path:
+        with replacing(spark, target_path) as staged:
+            merged_listings(spark, out_path).write.parquet(f"{staged}/batch=-1")
+        return
+    inventory_levels(spark, out_path).compact()
+    if not keep_old:
+        vacuum(spark, out_path, keep=1)

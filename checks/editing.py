@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 import brickledger as b
-from brickledger.operators.storage import stored
+from brickledger.operators.storage import new_path, stored
 
 from .inputs import KEPT_WITH, ads, ads_with
 from .inventory import inventory, listings
@@ -28,14 +28,15 @@ def m1(spark, sf):
     return b.apply_edits(rows, later.unionByName(first)).select("dedup_key", "ts", "society", "dealer", "price")
 
 
-@check("m1_flags_after_edits", f"""{KEPT_WITH},
+EDITED = f"""{KEPT_WITH},
     edited AS (SELECT dedup_key, ts, chat_id, message_id, CASE WHEN society = 'SOBHA CITY' AND NOT is_duplicate THEN 'GODREJ ICON' ELSE society
         END AS society, CASE WHEN society = 'M3M CAPITAL' AND NOT is_duplicate THEN 'Somebody Else' ELSE dealer END AS dealer FROM flagged
       UNION ALL SELECT 'manual', epoch_ms(TIMESTAMP '2024-05-02'), 9223372036854775807, epoch_ms(TIMESTAMP '2024-05-02'), 'GODREJ ICON', 'Asha Verma')
     SELECT society, dealer, ts, message_id, row_number() OVER (PARTITION BY society, dealer ORDER BY ts DESC, chat_id DESC, message_id DESC) <> 1
-      AS is_duplicate FROM edited""")
-def m1_flags(spark, sf):
-    rows = inventory(spark, sf)
+      AS is_duplicate FROM edited"""
+
+
+def edits_of(spark, rows):
     newest = rows.filter(~F.col("is_duplicate"))
     moved = b.update_listing(newest.filter("society = 'SOBHA CITY'").withColumn("society", F.lit("GODREJ ICON")), FIRST)
     handed = b.update_listing(newest.filter("society = 'M3M CAPITAL'").withColumn("dealer", F.lit("Somebody Else")), FIRST)
@@ -43,8 +44,24 @@ def m1_flags(spark, sf):
         "society string, status string, sec string, area string, acco string, floor string, flat_no string, dealer string, phone string, "
         "price string, full_message string")
     added = b.new_listing(typed, REGISTRY, LATER)
-    edited = b.apply_edits(rows, moved.unionByName(handed).unionByName(added))
-    return edited.select("society", "dealer", "ts", "message_id", "is_duplicate")
+    return moved.unionByName(handed).unionByName(added)
+
+
+@check("m1_flags_after_edits", EDITED)
+def m1_flags(spark, sf):
+    rows = inventory(spark, sf)
+    return b.apply_edits(rows, edits_of(spark, rows)).select("society", "dealer", "ts", "message_id", "is_duplicate")
+
+
+@check("m1_edits_by_bucket", EDITED)
+def m1_buckets(spark, sf):
+    path = new_path(spark, "managed")
+    b.write_managed(inventory(spark, sf), path)
+    edits = stored(edits_of(spark, b.read_managed(spark, path)))
+    # one after the other, into the same table
+    for op in ("update", "add"):
+        b.edit_managed(spark, path, edits.filter(F.col("op") == op))
+    return b.read_managed(spark, path).select("society", "dealer", "ts", "message_id", "is_duplicate")
 
 
 @check("m2_delete_listing", f"{KEPT_WITH} SELECT dedup_key, society FROM kept WHERE status <> 'OUT'")
@@ -85,7 +102,8 @@ def m5(spark, sf):
 
 
 @check("m6_add_society", f"""{KEPT_WITH}
-    SELECT count(*) AS listings FROM kept WHERE society = 'Orchid Residency Sector 12'""")
+    SELECT dedup_key, society, 'IN' AS status, count(*) OVER () AS listings FROM kept WHERE society = 'Orchid Residency Sector 12'""")
 def m6(spark, sf):
-    _, _, moved = b.add_society(listings(spark, sf), REGISTRY, "ORCHID RESIDENCY SECTOR 12", ("Orchid 12",), LATER)
-    return moved
+    rows, registry, moved = b.add_society(listings(spark, sf), REGISTRY, "ORCHID RESIDENCY SECTOR 12", ("Orchid 12",), LATER)
+    own = rows.filter(registry.is_selected(F.col("society")) & ~REGISTRY.is_selected(F.col("society")))
+    return own.select("dedup_key", "society", "status").crossJoin(F.broadcast(moved))

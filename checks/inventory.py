@@ -277,6 +277,20 @@ def w2(spark, sf):
     )
 
 
+@check("w2_levels_before_and_after", f"""{KEPT_WITH}
+    SELECT state, dedup_key, ts, message_id, is_duplicate FROM flagged, (VALUES ('merging'), ('compacted')) AS s(state)""")
+def w2_levels(spark, sf):
+    folder = new_path(spark, "stream")
+    # two runs of a level merge, beside the stream
+    b.stream_inventory(_stream(spark, sf), f"{folder}/out", f"{folder}/checkpoint", REGISTRY, f"{folder}/cache", fan=2).awaitTermination()
+    merging = b.snapshot(spark, f"{folder}/out")
+    b.compact(spark, f"{folder}/out", keep_old=True)
+    states = [("merging", merging), ("compacted", b.snapshot(spark, f"{folder}/out"))]
+    parts = [b.read_inventory(spark, f"{folder}/out", at).select(F.lit(state).alias("state"), "dedup_key", "ts", "message_id", "is_duplicate")
+             for state, at in states]
+    return parts[0].unionByName(parts[1])
+
+
 @check("w3_cache_across_batches", f"""{ads_with()}
     SELECT sha256(text) AS digest, CAST(1 AS BIGINT) AS times_parsed, 4 AS batches FROM ads GROUP BY text""")
 def w3(spark, sf):
