@@ -84,7 +84,8 @@ def refresh_parse_cache(
     new = texts.select("digest", "text")
     if known is not None:
         new = new.join(known.select("digest"), "digest", "left_anti")
-    rows = X.templates(new, registry, keep_empty=True)
+    # stored, so that the long plan of the rules is analysed and optimised once
+    rows = stored(X.templates(new, registry, keep_empty=True), "templates")
     listing = F.when(F.col("full_message").isNotNull(), F.struct("part_no", *TEMPLATE_FIELDS))
     # a group here holds the listings of one text, never more
     parsed = rows.groupBy("digest").agg(F.sort_array(F.collect_list(listing)).alias("listings"))
