@@ -11,11 +11,12 @@ from .operators.edits import (
 )
 from .operators.levels import Levels, Snapshot, snapshot, vacuum
 from .operators.storage import scratch
-from .operators.managed import in_listings, rows_for_project
+from .operators.managed import in_listings, index_inventory, rows_for_project
 from .operators.managed_table import edit_managed, managed, read_managed, write_managed
 from .operators.summaries import (
     curated_summaries, filter_out_projects, filter_projects, inventory_kpis, out_summaries, project_summaries, totals,
 )
+from .operators.text_index import TextIndex
 from .operators.windows import latest_timestamp, recent_listings, window_cutoff
 from .plans.extraction import display_form, extract_listings, parse_texts, to_inventory_rows
 from .plans.inventory import batch_inventory, build_inventory, build_listings, compact_parse_cache, extract_once, run_counters

@@ -12,6 +12,7 @@ from ..functions.strings import is_blank
 from ..sources.chat_tables import ChatTables, with_sender
 from .ranking import numbered
 from .search import like_pattern
+from .text_index import TextIndex
 
 
 def user_part(raw_jid: Column) -> Column:
@@ -160,12 +161,15 @@ def all_chat_messages(tables: ChatTables, chat_id: int | None = None) -> DataFra
     return chat_messages(tables, chat_id)
 
 
-def search_messages(tables: ChatTables, q: str, chat_id: int | None = None, limit: int | None = 50) -> DataFrame:
+def search_messages(
+    tables: ChatTables, q: str, chat_id: int | None = None, limit: int | None = 50, index: TextIndex | None = None
+) -> DataFrame:
     """The newest messages whose text holds ``q``, without regard to case; all of them if ``limit`` is ``None``.
 
-    The newest rows are picked before identities are joined.
+    The newest rows are picked before identities are joined.  With an
+    ``index`` of the messages only the blocks that may hold ``q`` are read.
     """
-    found = tables.message.filter(F.col("text_data").ilike(like_pattern(q)))
+    found = index.search(q) if index else tables.message.filter(F.col("text_data").ilike(like_pattern(q)))
     if chat_id is not None:
         found = found.filter(F.col("chat_row_id") == chat_id)
     newest = found if limit is None else page_of(found, [F.col("timestamp").desc(), F.col("_id").desc()], limit)

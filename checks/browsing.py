@@ -145,6 +145,16 @@ def c5(spark, sf):
     return shown(b.search_messages(chat_tables(spark, sf), " TH%E "))
 
 
+@check("c5_indexed_search", f"""{CHAT_WITH}, {READ}
+    SELECT {COLUMNS} FROM read_messages WHERE text ILIKE '%er th_ %re%' ORDER BY timestamp_ms DESC, id DESC LIMIT 500""")
+def c5_indexed(spark, sf):
+    tables = chat_tables(spark, sf)
+    index = b.TextIndex(spark, new_path(spark, "index"))
+    for batch in range(2):  # two batches of messages
+        index.add(tables.message.filter(F.col("chat_row_id") % 2 == batch), batch, order="timestamp")
+    return shown(b.search_messages(tables, " er Th_ %re", limit=500, index=index))
+
+
 @check("c6_count_messages", "SELECT conv_id AS chat_id, count(*) AS message_count FROM conversations GROUP BY 1")
 def c6(spark, sf):
     return b.count_messages(chat_tables(spark, sf))

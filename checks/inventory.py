@@ -158,6 +158,15 @@ def c15(spark, sf):
     return found.select("ts", "message_id", "society", "dealer", "price", "is_duplicate")
 
 
+@check("c15_indexed_listings", f"""{KEPT_WITH}
+    SELECT ts, message_id, society, dealer, price, is_duplicate FROM flagged
+    WHERE status = 'IN' AND concat_ws(chr(10), {FIELDS}) ILIKE '%icon%sector 1_%menon%'""")
+def c15_indexed(spark, sf):
+    index = b.index_inventory(inventory(spark, sf), new_path(spark, "index"))
+    found = b.in_listings(None, search="ICON%sector 1_%Menon", index=index)
+    return found.select("ts", "message_id", "society", "dealer", "price", "is_duplicate")
+
+
 @check("c16_rows_for_project", f"""{KEPT_WITH}
     SELECT ts, message_id, dealer, phone, is_duplicate FROM flagged WHERE society = 'M3M CAPITAL'""")
 def c16(spark, sf):
