@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import patterns as P
+from .functions.phrases import ODD_CASE, WORDS, Phrase, every_one, folded, is_odd, looked_up
 from .functions.projects import NAME_RULES, PROJECT_NAMES, SPELLINGS, TEXT_RULES
 from .functions.strings import first_filled, found, let
 from .functions.unicode import decode_references, plain_letters
@@ -72,15 +73,36 @@ def _first_hit(c: Column, rules: list[tuple[str, str]]) -> Column:
     return F.when(found(c, P.any_of(*[pattern for pattern, _ in rules])), ordered)
 
 
-def _first_named(c: Column, rules: list[tuple[str, str]]) -> Column:
-    """As ``_first_hit`` for any number of rules: they are one constant array, so the plan does not grow with them."""
-    if not rules:
+def _words_of(name: str) -> list[str]:
+    """Words of a name as they are looked up; none if its letters have no plain lower case."""
+    low = name.upper().lower()
+    if len(low) != len(name) or re.search(ODD_CASE, name):
+        return []
+    return re.findall("[a-z0-9]+|(?:(?![a-z0-9_])[^\\W])+", "".join(ch if ch.isascii() or unicodedata.category(ch)[0] == "L"
+                      or unicodedata.category(ch) == "Nd" else " " for ch in low))
+
+
+def _first_named(c: Column, names: list[tuple[str, str]]) -> Column:
+    """Project of the first of ``(name, project)`` found in a text, words apart and in any case, else null.
+
+    Names are looked up at each word of the text, and those that are met there
+    are tested by their pattern.  Names without a word are tested in turn, and
+    so are all of them on texts with letters that match others than their
+    lower case.
+    """
+    if not names:
         return F.lit(None).cast("string")
-    listed = F.from_json(
-        F.lit(json.dumps([{"pattern": P.ci(pattern), "project": project} for pattern, project in rules])),
-        "array<struct<pattern: string, project: string>>")
-    hits = F.filter(listed, lambda rule: F.rlike(c, rule["pattern"]))
-    return F.when(found(c, P.any_of(*[pattern for pattern, _ in rules])), F.get(hits, 0)["project"])
+    every = [Phrase(i, tuple(_words_of(name)), P.ci(_phrase(name)), project) for i, (name, project) in enumerate(names)]
+    known, others = [p for p in every if p.pieces], [p for p in every if not p.pieces]
+
+    def accept(pattern: Column) -> Column:
+        return F.rlike(c, pattern)
+
+    met = looked_up(F.regexp_extract_all(folded(c), F.lit(WORDS), F.lit(0)), known, accept)
+    first = F.array_min(F.filter(F.array(met, every_one(others, accept)), lambda e: e.isNotNull())) if others else met
+    # one scan for all patterns tells whether an odd text holds any
+    in_turn = F.when(c.rlike(P.any_of(*[p.test for p in every])), every_one(every, accept))
+    return F.when(is_odd(c), in_turn).otherwise(first)["project"]
 
 
 @dataclass(frozen=True)
@@ -128,17 +150,16 @@ class Registry:
 
     # -- rules as columns ---------------------------------------------------
 
-    def custom_rules(self) -> list[tuple[str, str]]:
-        """Text patterns of the custom projects and their aliases."""
-        return [(_phrase(n), p.name) for p in self.custom for n in (p.name, *p.aliases)]
+    def custom_names(self) -> list[tuple[str, str]]:
+        """Names and aliases of the custom projects, with the project of each."""
+        return [(n, p.name) for p in self.custom for n in (p.name, *p.aliases)]
 
     def canonical_in_text(self, c: Column) -> Column:
         """Registered project named anywhere in a text, else an empty string.
 
         Custom projects come before the built-in ones.
         """
-        own = self.custom_rules()
-        return first_filled(_first_named(c, own), _first_hit(c, TEXT_RULES))
+        return first_filled(_first_named(c, self.custom_names()), _first_hit(c, TEXT_RULES))
 
     def canonical_plain(self, c: Column) -> Column:
         """Registered project of a name already through ``plain_letters``."""
@@ -157,14 +178,14 @@ class Registry:
     def _canonical_normalised(self, name: Column) -> Column:
         padded = F.concat(F.lit(" "), name, F.lit(" "))
         # the rules are one constant array: the plan does not grow with them
-        rules = F.from_json(F.lit(json.dumps(self.name_rules())), "array<struct<project: string, texts: array<string>>>")
+        rules = F.from_json(F.lit(json.dumps([{"project": p, "texts": t} for p, t in NAME_RULES])), "array<struct<project: string, texts: array<string>>>")
         hits = F.filter(rules, lambda rule: F.forall(rule["texts"], lambda text: F.contains(padded, text)))
-        return F.when(name == "", "").otherwise(F.coalesce(F.get(hits, 0)["project"], F.lit("")))
-
-    def name_rules(self) -> list[dict]:
-        """Texts that a normalised name of each project holds, custom projects first."""
-        own = [
-            (p.name, [spelling]) for p in self.custom
-            for spelling in dict.fromkeys(_normalise_constant(n) for n in (p.name, *p.aliases)) if spelling
-        ]
-        return [{"project": project, "texts": texts} for project, texts in own + NAME_RULES]
+        # custom names are looked up at each letter
+        own = looked_up(F.split(name, ""), [Phrase(i, tuple(spelling), spelling, project) for i, (project, spelling) in enumerate(self.name_spellings())],
+                        lambda spelling: F.contains(name, spelling))["project"]
+        return F.when(name == "", "").otherwise(F.coalesce(own, F.get(hits, 0)["project"], F.lit("")))
+
+    def name_spellings(self) -> list[tuple[str, str]]:
+        """Projects with what a normalised name of a custom one holds, in order."""
+        return [(p.name, spelling) for p in self.custom
+                for spelling in dict.fromkeys(_normalise_constant(n) for n in (p.name, *p.aliases)) if spelling]
