@@ -20,7 +20,7 @@ from .operators.text_index import TextIndex
 from .operators.windows import latest_timestamp, recent_listings, window_cutoff
 from .plans.extraction import display_form, extract_listings, parse_texts, to_inventory_rows
 from .plans.inventory import batch_inventory, build_inventory, build_listings, compact_parse_cache, extract_once, run_counters
-from .plans.views import register_functions, register_views
+from .plans.views import register_chat_functions, register_functions, register_inventory_functions, register_views
 from .registry import CustomProject, Registry, normalize_project_name
 from .sinks.inventory_csv import write_inventory_csv
 from .sinks.transcripts import export_json, export_text

@@ -71,6 +71,16 @@ def page_of(rows: DataFrame, order: list[Column], limit: int | None, offset: int
     return placed.filter(F.col("_place") > offset).drop("_all", "_place").orderBy(*order)
 
 
+def sorted_page(page: DataFrame, *order: Column) -> DataFrame:
+    """Rows that were cut from a sorted page and joined since, in order.
+
+    The optimizer can take a page and joins that it re-plans at run time for a
+    single row, and drops the sort of several (seen in Spark 4.1).  Behind a
+    generator it knows no number of rows and keeps it.
+    """
+    return page.select("*", F.explode(F.array(F.lit(0))).alias("_once")).orderBy(*order).drop("_once")
+
+
 def list_chats(
     tables: ChatTables, query: str | None = None, only_groups: bool = False, limit: int | None = 100,
     offset: int = 0
@@ -153,7 +163,7 @@ def chat_messages(
     shown = _with_identities(message, tables).select(*_message_columns())
     if chat_id is None and limit is None and not offset:
         return shown
-    return shown.orderBy("timestamp_ms", "id")
+    return sorted_page(shown, F.col("timestamp_ms"), F.col("id"))
 
 
 def all_chat_messages(tables: ChatTables, chat_id: int | None = None) -> DataFrame:
@@ -173,9 +183,8 @@ def search_messages(
     if chat_id is not None:
         found = found.filter(F.col("chat_row_id") == chat_id)
     newest = found if limit is None else page_of(found, [F.col("timestamp").desc(), F.col("_id").desc()], limit)
-    return _with_identities(newest, tables).select(*_message_columns()).orderBy(
-        F.col("timestamp_ms").desc(), F.col("id").desc()
-    )
+    shown = _with_identities(newest, tables).select(*_message_columns())
+    return sorted_page(shown, F.col("timestamp_ms").desc(), F.col("id").desc())
 
 
 def count_messages(tables: ChatTables) -> DataFrame:

@@ -263,3 +263,29 @@ def k7(spark, sf):
         F.coalesce(of(0, head, "$.exportTimestamp"), of(1, body, "$.timestampMs")).cast("long").alias("time"),
         of(1, body, "$.sender.rawJid").alias("sender"),
     )
+
+
+@check("sql_chat_messages", f"{CHAT_WITH}, {READ} SELECT {COLUMNS} FROM read_messages WHERE chat_id = 6")
+def sql_messages(spark, sf):
+    b.register_chat_functions(chat_tables(spark, sf), "check_")
+    return shown(spark.sql("SELECT * FROM check_chat_messages(6)"))
+
+
+@check("sql_search_messages", f"""{CHAT_WITH}, {READ}
+    SELECT {COLUMNS} FROM read_messages WHERE text ILIKE '%TH%E%' ORDER BY timestamp_ms DESC, id DESC LIMIT 50""")
+def sql_search(spark, sf):
+    b.register_chat_functions(chat_tables(spark, sf), "check_")
+    return shown(spark.sql("SELECT * FROM check_search_messages(' TH%E ') ORDER BY timestamp_ms DESC, id DESC LIMIT 50"))
+
+
+@check("sql_list_chats", f"""{CHAT_WITH} {CHATS}
+    WHERE j.server = 'g.us' AND (c.subject ILIKE '%CHAT NO 1%' OR j.raw_string ILIKE '%CHAT NO 1%')""")
+def sql_chats(spark, sf):
+    b.register_chat_functions(chat_tables(spark, sf), "check_")
+    return spark.sql("SELECT * FROM check_list_chats(q => ' CHAT NO 1 ', only_groups => true)")
+
+
+@check("sql_recent_group_messages", recent(CHAT_RAW))
+def sql_recent(spark, sf):
+    b.register_chat_functions(chat_tables(spark, sf), "check_")
+    return spark.sql(f"SELECT * FROM check_recent_group_messages({SINCE})")

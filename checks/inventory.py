@@ -167,6 +167,14 @@ def c15_indexed(spark, sf):
     return found.select("ts", "message_id", "society", "dealer", "price", "is_duplicate")
 
 
+@check("sql_in_listings", f"""{KEPT_WITH}
+    SELECT ts, message_id, society, dealer, price, is_duplicate FROM flagged
+    WHERE status = 'IN' AND society = 'SOBHA CITY' AND concat_ws(chr(10), {FIELDS}) ILIKE '%3 bhk%'""")
+def sql_in_listings(spark, sf):
+    b.register_inventory_functions(inventory(spark, sf), "check_")
+    return spark.sql("SELECT ts, message_id, society, dealer, price, is_duplicate FROM check_in_listings('3 BHK', ' SOBHA CITY ')")
+
+
 @check("c16_rows_for_project", f"""{KEPT_WITH}
     SELECT ts, message_id, dealer, phone, is_duplicate FROM flagged WHERE society = 'M3M CAPITAL'""")
 def c16(spark, sf):
