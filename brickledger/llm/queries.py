@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.storage import new_path
 from . import ann, conversations, exact_topk, interpolation, mixing, packing, secrets, simhash, token_counts, toxicity, vector_dedup, warc, whitening
 from .common import word_count
+from .conversation_sql import repair_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,6 +138,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+ORACLES["op12_conversation_repair"] = repair_sql()
+
+
 @query
 def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_dedup.near_copies(table(spark, sf_dir, "embeddings"), similarity=0.93)

@@ -3,12 +3,14 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brickledger.llm import conversations as C
-from brickledger.llm.queries import QUERIES
+from brickledger.llm.queries import ORACLES, QUERIES
+from checks.compare import difference
 
 SF = "/root/testdata/sf0.001"
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -81,6 +83,12 @@ def plain(rows):
     return {conv: plain_repair(each) for conv, each in by_conv.items()}
 
 
+def connect_to(sf):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet{'' if sf == SF else '/*.parquet'}')")
+    return db
+
+
 def repaired(df):
     fixed = C.repair(df)
     found = {r["conv"]: r.asDict() for r in fixed.summary.collect()}
@@ -161,4 +169,5 @@ def test_registered_query_against_brute_force(spark, sf, tmp_path):
     assert got.dtypes == [("conv_id", "bigint")] + [(n, "bigint") for n in list(nothing)[:6]] + [("audit", "string"), ("repaired_sha256", "string")]
     found = {r["conv_id"]: {k: r[k] for k in nothing} for r in got.collect()}
     assert found == {conv: wanted.get(conv, nothing) for conv, *_ in source}
+    assert difference(got, connect_to(sf), ORACLES["op12_conversation_repair"]) is None
     assert got.filter(F.col("audit") == "").count() == sum(not w for w in (wanted.get(c) for c in {c for c, *_ in source}))
