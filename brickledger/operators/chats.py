@@ -15,6 +15,9 @@ from .search import like_pattern
 from .text_index import TextIndex
 
 
+MOST_TOP_K = 100_000  # rows that a page keeps in a task to skip all but its own
+
+
 def user_part(raw_jid: Column) -> Column:
     return F.substring_index(raw_jid, "@", 1)
 
@@ -60,15 +63,17 @@ def type_label(message_type: Column) -> Column:
 def page_of(rows: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
     """Rows in ``order`` from ``offset`` on, at most ``limit`` of them; all that remain if it is ``None``.
 
-    A page of stated size is a top-k.  Without one the rows are numbered by
-    range, so that skipping some does not bring all the others into one task.
+    A page of stated size near the start is a top-k.  Farther on, or without a
+    size, the rows are numbered by range, so that skipping some does not bring
+    all the others into one task.
     """
-    if limit is not None:
+    if limit is not None and offset + limit <= MOST_TOP_K:
         return rows.orderBy(*order).offset(offset).limit(limit)
-    if not offset:
+    if not offset and limit is None:
         return rows.orderBy(*order)
     placed = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], order, "_place")
-    return placed.filter(F.col("_place") > offset).drop("_all", "_place").orderBy(*order)
+    end = F.lit(True) if limit is None else F.col("_place") <= offset + limit
+    return placed.filter((F.col("_place") > offset) & end).drop("_all", "_place").orderBy(*order)
 
 
 def sorted_page(page: DataFrame, *order: Column) -> DataFrame:

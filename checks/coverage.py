@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import brickledger as b
 from brickledger.functions import text as T
+from brickledger.operators.ranking import numbered
 from brickledger.operators.storage import new_path, stored
 from brickledger.operators.dedup import keep_earliest
 from brickledger.plans.views import register_functions, register_views
@@ -54,8 +55,8 @@ def d8(spark, sf):
 
 def placed(df: DataFrame, *columns: str) -> DataFrame:
     """Columns of ``df`` with the place of each row in the order that ``df`` has."""
-    kept = stored(df.select(*columns).withColumn("_at", F.monotonically_increasing_id()))
-    return kept.withColumn("place", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+    kept = stored(df.select(*columns).withColumns({"_at": F.monotonically_increasing_id(), "_all": F.lit(0)}))
+    return numbered(kept, ["_all"], ["_at"], "place").select(*columns, F.col("place").cast("int").alias("place"))
 
 
 @check("o1_order_of_posts", f"""{KEPT_WITH}

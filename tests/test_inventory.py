@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brickledger as b
+from brickledger.operators import chats
 from brickledger.operators.dedup import earliest_per
 from brickledger.operators.ranking import numbered, running_number
 from brickledger.operators.skew import heavy_keys, spread_join
@@ -216,6 +217,18 @@ def test_pages_without_an_end(spark):
     assert "SinglePartition" not in plan
 
 
+def test_pages_far_on(spark, monkeypatch):
+    tables = chat_tables(spark, SF)
+    near = [[r.id for r in b.chat_messages(tables, limit=7, offset=40).collect()], [r.id for r in b.list_chats(tables, limit=5, offset=11).collect()]]
+    monkeypatch.setattr(chats, "MOST_TOP_K", 20)
+    plan = b.chat_messages(tables, limit=7, offset=40)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan
+    far = [[r.id for r in b.chat_messages(tables, limit=7, offset=40).collect()], [r.id for r in b.list_chats(tables, limit=5, offset=16).collect()]]
+    assert far[0] == near[0] and len(near[0]) == 7
+    monkeypatch.undo()
+    assert far[1] == [r.id for r in b.list_chats(tables, limit=5, offset=16).collect()]
+
+
 def test_schema_check(spark):
     good = {"Chat": spark.range(1), "JID": spark.range(1), "message": spark.createDataFrame([], "Text_Data string, chat_row_id long, timestamp long")}
     assert b.inspect_schema(good).is_supported
