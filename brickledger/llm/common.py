@@ -40,6 +40,12 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def map_rows(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``function`` on batches of all columns of ``docs``, known by their place: names may hold dots or be equal."""
+    plain = whole_texts(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(batches(function), plain.schema).toDF(*docs.columns)
+
+
 def word_count(column: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, whole_texts
+from .common import map_rows, utf8, whole_texts
 
 # The three base kinds, in the order in which spans with the same start are listed.
 ASSIGN_WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
@@ -170,12 +170,21 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with all secrets in the text replaced by ``[kind]``; texts without any, and null texts, stay as they are."""
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = scanner().spans
-        for batch in source:
-            at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).to_pylist()
-            clean = pa.array([t and redacted(t, scan(t)) for t in texts], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), clean)
-    return whole_texts(docs).mapInArrow(run, docs.schema)
+    """``docs`` with all secrets in the text replaced by ``[kind]``; texts without any, and null texts, stay as they are.
+
+    In a text with secrets, bytes that are not UTF-8 become the replacement
+    character.  Other columns may have any name; repeated rows stay repeated,
+    and an empty table stays empty.
+    """
+    at = docs.columns.index(text_col)
+
+    def clean(raw: bytes | None) -> bytes | None:
+        text = (raw or b"").decode("utf-8", "replace")
+        spans = scanner().spans(text)
+        return redacted(text, spans).encode() if spans else raw
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        field = batch.schema.field(at)
+        made = pa.array([clean(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+        return batch.set_column(at, field, made.view(field.type) if field.type == pa.string() else made.cast(field.type))
+    return map_rows(docs, run)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .common import utf8, whole_texts
+from .common import map_rows, utf8, whole_texts
 
 # Common insults and words of contempt, by language.
 LEXICONS = {
@@ -405,12 +405,17 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.classifier)
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(sent.value.known)
-        for batch in source:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([sent.value.score(t or "", memo) < threshold for t in texts], pa.bool_()))
-    return whole_texts(docs).mapInArrow(run, docs.schema)
+    A null text is scored as an empty one, bytes that are not UTF-8 as the
+    replacement character.  Repeated rows score alike; an empty table stays empty.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model.classifier)
+    at = docs.columns.index(text_col)
+    memos: list[Memo] = []  # one in a worker
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        memo = memos[0] if memos else memos.append(Memo(sent.value.known)) or memos[0]
+        texts = decoded(batch.column(at).cast(pa.binary()))
+        return batch.filter(pa.array([sent.value.score(t, memo) < threshold for t in texts], pa.bool_()))
+    return map_rows(docs, run)

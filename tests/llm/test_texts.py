@@ -278,3 +278,18 @@ def test_weights_of_a_bucket_follow_the_better_estimate():
     assert w[5, 0] > 0.95 and w[9, 1] > 0.95 and w[0, 0] == 0 and w.sum(axis=1) == pytest.approx(1)
     one, two = interpolation.np.array([4.0, 2.0]), interpolation.np.array([1.0, 2.0])
     assert [x.tolist() for x in interpolation.estimates(one, two, 8, 100)] == [[0.125, 0.5], [0.04, 0.02], [4, 3]]
+
+
+def test_texts_that_are_no_utf8_and_names_with_dots(spark, messy):
+    raw = "concat(unhex('ff'), ' password: hunter2hunter2 ', unhex('fe80'))"
+    docs = messy.limit(3).withColumn("text", F.expr(f"cast({raw} AS string)")).withColumn("a.b", F.lit(1)).unionByName(
+        messy.limit(2).withColumn("text", F.expr("cast(unhex('ff41fe') AS string)")).withColumn("a.b", F.lit(2)))
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and clean.schema == docs.schema
+    found = sorted((r["a.b"], bytes(r["raw"])) for r in clean.select("`a.b`", F.col("text").cast("binary").alias("raw")).collect())
+    assert [f[0] for f in found] == [1, 1, 1, 2, 2] and found[-1][1] == b"\xff\x41\xfe"
+    assert all(b"[assign]" in f[1] and "�".encode() in f[1] and b"hunter2" not in f[1] for f in found[:3])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    model = toxicity.fit(messy, labels, F.lit(True))
+    kept = toxicity.keep_clean(docs, model, 1.1)
+    assert kept.columns == docs.columns and kept.count() == 5
