@@ -13,8 +13,6 @@ tree is built in the task that searches it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.storage import stored
+from ..operators.storage import new_path, remove, scratch, stored
 from .common import batches, components, utf8, whole_texts, words
 
 BITS = 64
@@ -280,9 +278,9 @@ def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     by number of sets, so that a common passage makes no groups; shingles of
     one set take their places in it but are no keys.
     """
-    single = stored(sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "small")
+    single = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     shared = stored(single.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1"), "shared")
-    met = stored(single.join(small_if_counted(shared), "shingle"), "met")
+    met = single.join(small_if_counted(shared), "shingle")
     place = F.row_number().over(Window.partitionBy("node").orderBy("sets", "shingle"))
     alone = F.col("size") - F.count("*").over(Window.partitionBy("node"))
     kept = F.col("size") - F.ceil(F.col("size") * similarity - ROUNDING) + 1
@@ -296,18 +294,13 @@ def small_if_counted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -> DataFrame:
-    """``(a, b)``: verified links between the nodes of ``texts(node, text)``; rows of one node have one text.
+def texts_with_company(source: DataFrame, width: int, similarity: float, limit: int) -> DataFrame:
+    """``(node)`` of the texts of ``source(node, text)`` that may have a near copy.
 
-    Candidates share a sample fingerprint, or whole-text fingerprints that the
-    Gray index links at ``limit`` bits, or, if they have few shingles, one of
-    their ``rare_shingles``.  The texts of such a group are compared
-    with one of them, the one that is in most and largest groups; those that
-    are not similar to it are compared with the next two, then with four, and
-    so on, until each is linked or was compared with all.  So copies cost one
-    comparison each, however many there are, and no group is gathered.
+    These share a sample fingerprint with another text, or a whole-text
+    fingerprint that the Gray index links at ``limit`` bits, or they are small
+    enough to be similar to a set of ``SMALL_SET`` shingles, or have none.
     """
-    spark = texts.sparkSession
     partner = int(SMALL_SET / similarity + ROUNDING)  # the largest set that is similar to a small one
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -316,57 +309,82 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
             hashes = shingle_hashes(text, width)
             distinct = np.unique(hashes).astype(np.uint64)
             whole.append(fingerprint(hashes))
-            # small sets need no samples; those without a shingle have no other key
-            samples.append([] if 0 < len(distinct) <= SMALL_SET else sketch_fingerprints(distinct).view(np.int64))
-            small.append(distinct.view(np.int64) if len(distinct) <= partner else None)
+            small.append(len(distinct) <= partner)
+            samples.append(sketch_fingerprints(distinct).view(np.int64) if len(distinct) > SMALL_SET else [])
         return pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64), pa.int64()), pa.array(samples, pa.list_(pa.int64())),
-            pa.array(small, pa.list_(pa.int64()))], ["node", "fp", "samples", "small"])
+            pa.array(small, pa.bool_())], ["node", "fp", "samples", "small"])
+
+    described = source.mapInArrow(batches(describe), "node string, fp long, samples array<long>, small boolean")
+    described = stored(described.dropDuplicates(["node"]), "described")
+    sampled = described.filter(F.size("samples") > 0)
+    roots = components(links(sampled, limit)).select(F.col("node").alias("fp"), "root")
+    by_index = sampled.join(roots, "fp", "left").select("node", F.xxhash64(F.coalesce("root", "fp"), F.lit("whole")).alias("key"))
+    keys = sampled.select("node", F.explode("samples").alias("key")).union(by_index)
+    shared = stored(keys.groupBy("key").count().filter("count > 1").select("key"), "shared")
+    found = keys.join(small_if_counted(shared), "key", "left_semi").select("node")
+    return found.union(described.filter("small").select("node")).distinct()
+
+
+def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -> DataFrame:
+    """``(a, b)``: verified links between the nodes of ``texts(node, text)``; rows of one node have one text.
+
+    Fingerprints decide which texts may have a near copy; candidate pairs are
+    those of them that have one of their ``rare_shingles`` in common.  The texts of
+    such a group are compared with one of them, the one that is in most and
+    largest groups; those that are not similar to it are compared with the next
+    two, then with four, and so on, until each is linked or was compared with
+    all.  So copies cost one comparison each, however many there are, and no
+    group is gathered.  Texts that share a passage but are not similar have no
+    rare shingle in common, and so no group.
+    """
+    spark = texts.sparkSession
+    source = whole_texts(texts).select("node", utf8("text").alias("text"))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [np.unique(shingle_hashes(t, width)).astype(np.uint64).view(np.int64) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    source = whole_texts(texts).select("node", utf8("text").alias("text"))
-    described = source.mapInArrow(batches(describe), "node string, fp long, samples array<long>, small array<long>")
-    described = stored(described.dropDuplicates(["node"]), "described")
-    sampled = described.filter(F.size("samples") > 0)
-    roots = components(links(sampled, limit))
-    by_index = sampled.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    rare = rare_shingles(described.filter("small IS NOT NULL").select("node", F.col("small").alias("shingles")), similarity)
-    groups = described.select("node", F.explode("samples").alias("key")).union(
-        by_index.select("node", F.xxhash64(F.coalesce("root", "fp"), F.lit("whole")).alias("key"))).union(
-        rare.select("node", F.xxhash64("shingle", F.lit("rare")).alias("key"))).distinct()
-    members = stored(groups, "groups")
-    sizes = members.groupBy("key").count().filter("count > 1")
-    members = stored(members.join(sizes, "key"), "members")
-    weight = members.groupBy("node").agg(F.sum("count").alias("weight"))
-    members = stored(members.drop("count").join(weight, "node"), "members")
-    candidates = small_if_counted(members.select("node").distinct())
-    shingled = source.join(candidates, "node", "left_semi").mapInArrow(batches(sets), "node string, shingles array<long>")
-    shingled = stored(shingled.dropDuplicates(["node"]), "shingles")
-    found, at_once = [], 1
-    while not members.isEmpty():
+    path = new_path(spark, "shingles")
+    with scratch(spark):
+        candidates = small_if_counted(stored(texts_with_company(source, width, similarity, limit), "candidates"))
+        shingled = source.join(candidates, "node", "left_semi").mapInArrow(batches(sets), "node string, shingles array<long>")
+        shingled.dropDuplicates(["node"]).write.parquet(path)
+    shingled = spark.read.schema("node string, shingles array<long>").parquet(path)
+    empty = shingled.filter(F.size("shingles") == 0).select("node", F.lit(0).cast("long").alias("key"))
+    verified, rounds = new_path(spark, "verified"), new_path(spark, "rounds")
+    with scratch(spark):
+        groups = stored(rare_shingles(shingled, similarity).withColumnRenamed("shingle", "key").union(empty), "groups")
+        sizes = groups.groupBy("key").count().filter("count > 1")
+        sized = stored(groups.join(sizes, "key"), "sized")
+        weight = sized.groupBy("node").agg(F.sum("count").alias("weight"))
+        sized.drop("count").join(weight, "node").write.parquet(f"{rounds}/0")
+    done = 0
+    while not (members := spark.read.schema("node string, key long, weight long").parquet(f"{rounds}/{done}")).isEmpty():
         order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-        heads = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= at_once)
+        heads = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 1 << done)
         heads = heads.select("key", F.col("node").alias("head"), F.col("weight").alias("head_weight"))
         later = (F.col("weight") < F.col("head_weight")) | ((F.col("weight") == F.col("head_weight")) & (F.col("node") > F.col("head")))
-        asked = stored(members.join(heads, "key").filter(later), "asked")
-        pairs = asked.select("node", "head").distinct()
-        verified = stored(overlaps(pairs, shingled, similarity).filter(F.col("apart") <= 2 * (1 - similarity) + ROUNDING), "verified")
-        found.append(verified)
-        # a text goes on in a group if none of the heads is similar; those that were heads themselves have met all others
-        linked = asked.join(verified.filter("close"), ["node", "head"], "left_semi").select("key", "node")
-        open_ = asked.select("key", "node", "weight").distinct().join(linked, ["key", "node"], "left_anti")
-        members = stored(open_.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti"), "members")
-        at_once *= 2
-    if not found:
+        with scratch(spark):
+            asked = stored(members.join(heads, "key").filter(later), "asked")
+            met = overlaps(asked.select("node", "head").distinct(), shingled, similarity)
+            met.filter(F.col("apart") <= 2 * (1 - similarity) + ROUNDING).write.parquet(f"{verified}/{done}")
+            close = spark.read.schema(VERIFIED).parquet(f"{verified}/{done}").filter("close")
+            # a text goes on in a group if none of the heads is similar; those that were heads themselves have met all others
+            linked = asked.join(close, ["node", "head"], "left_semi").select("key", "node")
+            open_ = asked.select("key", "node", "weight").distinct().join(linked, ["key", "node"], "left_anti")
+            open_ = open_.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
+            open_.select("node", "key", "weight").write.parquet(f"{rounds}/{done + 1}")
+        remove(spark, f"{rounds}/{done}")
+        done += 1
+    if not done:
         return spark.createDataFrame([], "a string, b string")
-    met = stored(reduce(DataFrame.union, found).distinct(), "met")
+    met = stored(spark.read.schema(VERIFIED).parquet(*(f"{verified}/{i}" for i in range(done))).distinct(), "met")
     linked = met.filter("close").select(F.col("node").alias("a"), F.col("head").alias("b"))
     return linked.union(links_past_heads(met, shingled, similarity)).distinct()
 
 
+VERIFIED = "node string, head string, apart double, close boolean"
 ROUNDING = 1e-9  # distances are sums of quotients; a bound on them is taken this much wider
 
 
@@ -399,24 +417,32 @@ def links_past_heads(met: DataFrame, shingled: DataFrame, similarity: float) ->
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8,
-                limit: int = 3) -> DataFrame:
+                limit: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest id, and all rows without any.
 
     Two texts are near copies if their sets of ``width``-word shingles have a
     Jaccard similarity of ``similarity`` or more; groups are what such links
     connect.  Null ids come after all others.  Rows of equal text are copies,
-    so of repeated rows, and of all empty and null texts, one stays.  Columns
-    and their values are those of ``docs``.
+    so of repeated rows, and of all empty and null texts, one stays.  Whole
+    texts are compared, however long.  An empty table gives no rows.  Columns
+    and their values are those of ``docs``.  Tables in between are deleted
+    as soon as they are not needed.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.md5(F.coalesce(utf8(text_col), F.lit(b""))).alias("node"))
-    counted = rows.groupBy("node", "id").agg(F.count("*").alias("n"))
-    first = F.struct(F.col("id").isNull(), "id")
-    nodes = stored(counted.groupBy("node").agg(F.min_by(F.struct("id", "n"), first).alias("best")).select("node", "best.*"), "nodes")
-    texts = docs.select(F.md5(F.coalesce(utf8(text_col), F.lit(b""))).alias("node"), F.col(text_col).alias("text"))
-    roots = components(similar_links(texts, width, similarity, limit))
-    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = grouped.groupBy("root").agg(F.min_by(F.struct("node", "id", "n"), F.struct(F.col("id").isNull(), "id", "node")).alias("kept"))
-    kept = stored(kept.select(F.col("kept.node").alias("node"), F.col("kept.id").alias("kept_id"), "kept.n"), "kept")
+    spark = docs.sparkSession
+    node = F.md5(F.coalesce(utf8(text_col), F.lit(b""))).alias("node")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), node)
+    path = new_path(spark, "kept")
+    with scratch(spark):
+        counted = docs.select(F.col(id_col).alias("id"), node).groupBy("node", "id").agg(F.count("*").alias("n"))
+        first = F.struct(F.col("id").isNull(), "id")
+        nodes = counted.groupBy("node").agg(F.min_by(F.struct("id", "n"), first).alias("best")).select("node", "best.*")
+        texts = docs.select(node, F.col(text_col).alias("text"))
+        roots = components(similar_links(texts, width, similarity, limit))
+        grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        kept = grouped.groupBy("root").agg(F.min_by(F.struct("node", "id", "n"), F.struct(F.col("id").isNull(), "id", "node")).alias("kept"))
+        kept = kept.select(F.col("kept.node").alias("node"), F.col("kept.id").alias("kept_id"), "kept.n")
+        kept.write.parquet(path)
+    kept = spark.read.schema(kept.schema).parquet(path)
     chosen = rows.join(small_if_counted(kept), "node").filter(F.col("id").eqNullSafe(F.col("kept_id")))
     if kept.filter("n > 1").isEmpty():
         return chosen.select("row.*")
