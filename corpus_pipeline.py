@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brickledger.llm import mixing, packing, secrets, simhash, toxicity
 from brickledger.llm.common import word_count
-from brickledger.operators.storage import stored
+from brickledger.operators.storage import new_path, remove, scratch
 
 TOXIC_FROM = 0.7
 MIX_WEIGHTS = (5.0, 2.0, 1.0)
@@ -56,7 +56,14 @@ ORACLE_SQL = None  # classifier, fingerprints and dynamic program have no SQL fo
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's own tables, and the documents it has read, are deleted when it has ended."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        if read:
+            remove(spark, read)
+        docs, read = spark.read.schema(kept.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
