@@ -38,7 +38,8 @@ LEXICONS = {
 }
 LEET = str.maketrans("013457@$!*", "oieastasi*")
 PATTERN_VOTERS = ["disguised", "stretched", "shouted", "repeated", "dense", "addressed", "quiet"]
-ADDRESSED = re.compile(r"\b(?:you|du|tu|vous|eres|ihr)\b(?:\W+\w+){0,3}?\W+$", re.IGNORECASE)
+ADDRESS = frozenset("you du tu vous eres ihr".split())
+ADDRESS_REACH = 4  # a listed word is addressed if one of so many words before it is an address
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 DENSE = 0.004  # share of a text's words from which a stem counts as present: stems are part of harmless words too
 EDGES = ".,;:!?()[]{}\"'«»“”‘’…"
@@ -85,8 +86,8 @@ class Voters:
         self.stems = {s: self.bit[s] for s in stems}
         self.memo = Memo(self.votes_of)
 
-    def votes_of(self, word: str) -> tuple[int, bool, tuple[int, ...]]:
-        """Votes of one word, whether it stands in a list in whatever guise, and the votes of its stems."""
+    def votes_of(self, word: str) -> tuple[int, bool, tuple[int, ...], bool]:
+        """Votes of one word, whether it stands in a list in whatever guise, the votes of its stems, and whether it is an address."""
         low = word.lower()
         votes = self.lists.get(low, 0)
         listed = votes > 0
@@ -96,20 +97,23 @@ class Voters:
             votes, listed = votes | self.bit["stretched"], True
         if listed and len(word) > 3 and word.isupper():
             votes |= self.bit["shouted"]
-        return votes, listed, tuple(self.stems[name] for name in features_of(low) if name in self.stems)
+        return votes, listed, tuple(self.stems[name] for name in features_of(low) if name in self.stems), low in ADDRESS
 
     def votes(self, text: str) -> int:
         found = plain_words(text)
         votes = listed = 0
-        hits, stems = [], Counter()
-        for word in found:
-            own, known, begun = self.memo[word]
+        stems, address = Counter(), -ADDRESS_REACH - 1
+        for at, word in enumerate(found):
+            own, known, begun, addresses = self.memo[word]
             votes |= own
             if begun:
                 stems.update(begun)
             if known:
                 listed += 1
-                hits.append(word)
+                if at - address <= ADDRESS_REACH:
+                    votes |= self.bit["addressed"]
+            if addresses:
+                address = at
         for bit, n in stems.items():
             if n >= DENSE * len(found):
                 votes |= bit
@@ -117,8 +121,6 @@ class Voters:
             votes |= self.bit["repeated"]
         if listed and listed >= 0.02 * len(found):
             votes |= self.bit["dense"]
-        if any(ADDRESSED.search(text[max(0, (at := text.find(w)) - 60):at]) for w in hits[:20]):
-            votes |= self.bit["addressed"]
         return votes or self.bit["quiet"]
 
 

@@ -222,6 +222,8 @@ def test_voters_see_disguises():
     named = lambda text: {n for n in voters.names if voters.votes(text) & voters.bit[n]}
     assert "disguised" in named("such an 1d10t") and "stretched" in named("what a mooooron") and "shouted" in named("an IDIOT")
     assert named("a calm text") == {"quiet"} and "addressed" in named("you are a stupid one")
+    assert "addressed" in named("idiot river " * 25 + "you are a stupid one")
+    assert "addressed" in named("the idiot said: you idiot") and "addressed" not in named("you all went to the old river where an idiot stood")
 
 
 def test_label_model_finds_good_and_paired_voters(spark):
