@@ -335,8 +335,8 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
     largest groups; those that are not similar to it are compared with the next
     two, then with four, and so on, until each is linked or was compared with
     all.  So copies cost one comparison each, however many there are, and no
-    group is gathered.  Texts that share a passage but are not similar have no
-    rare shingle in common, and so no group.
+    group is gathered.  Texts of a group that are not similar
+    to each other cost the square of their number.
     """
     spark = texts.sparkSession
     source = whole_texts(texts).select("node", utf8("text").alias("text"))
