@@ -270,13 +270,17 @@ SMALL_SET = 40  # pairs with a set of at most so many shingles are found for cer
 
 
 def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """``(node, shingle)`` such that similar sets of ``sets(node, shingles)`` have one in common, for certain.
+    """``(node, shingle, size, reach)`` such that similar sets of ``sets(node, shingles)`` have a shingle in common, for certain.
 
     Prefix filtering: a set of n shingles has ``similarity * n`` or more in common
     with any that is similar, so all but those less one can be left out, and in
     one order of all shingles both keep the first that they share.  The order is
     by number of sets, so that a common passage makes no groups; shingles of
     one set take their places in it but are no keys.
+
+    ``reach`` is the largest ``size`` of a similar set of which this is the first
+    shared shingle: nothing before it is shared, so they have at most what
+    follows in common, and need ``similarity`` of their union.
     """
     single = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     shared = stored(single.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1"), "shared")
@@ -284,7 +288,21 @@ def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("node").orderBy("sets", "shingle"))
     alone = F.col("size") - F.count("*").over(Window.partitionBy("node"))
     kept = F.col("size") - F.ceil(F.col("size") * similarity - ROUNDING) + 1
-    return met.withColumn("place", place + alone).filter(F.col("place") <= kept).select("node", "shingle")
+    both = (F.col("size") - F.col("place") + 1) * ((1 + similarity) / similarity + ROUNDING)
+    placed = met.withColumn("place", place + alone).filter(F.col("place") <= kept)
+    return placed.select("node", "shingle", "size", F.floor(both - F.col("size")).alias("reach"))
+
+
+def with_partners(members: DataFrame) -> DataFrame:
+    """Rows of ``members(key, size, reach, ...)`` that can be similar to another of their group by first sharing its key.
+
+    Of two that can, the smaller reaches its own size, and the larger reaches
+    the smaller.  So the copies of a text that have too many shingles of their
+    own to be similar to each other leave its groups, without a comparison.
+    """
+    least = members.filter("reach >= size").groupBy("key").agg(F.min("size").alias("least"))
+    near = stored(members.join(least, "key").filter("reach >= least").select(members.columns), "near")
+    return near.join(near.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1"), "key")
 
 
 BROADCAST_ROWS = 300_000  # of a table of nodes, some 30 MB; larger ones are joined by shuffle
@@ -335,8 +353,9 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
     largest groups; those that are not similar to it are compared with the next
     two, then with four, and so on, until each is linked or was compared with
     all.  So copies cost one comparison each, however many there are, and no
-    group is gathered.  Texts of a group that are not similar
-    to each other cost the square of their number.
+    group is gathered.  Texts that by their sizes and the places of the shingle
+    cannot be similar to any other of the group leave it before each round; what
+    is left of a group without being similar costs the square of its number.
     """
     spark = texts.sparkSession
     source = whole_texts(texts).select("node", utf8("text").alias("text"))
@@ -351,16 +370,16 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
         shingled = source.join(candidates, "node", "left_semi").mapInArrow(batches(sets), "node string, shingles array<long>")
         shingled.dropDuplicates(["node"]).write.parquet(path)
     shingled = spark.read.schema("node string, shingles array<long>").parquet(path)
-    empty = shingled.filter(F.size("shingles") == 0).select("node", F.lit(0).cast("long").alias("key"))
+    none = F.lit(0).cast("long")
+    empty = shingled.filter(F.size("shingles") == 0).select("node", none.alias("key"), none.cast("int").alias("size"), none.alias("reach"))
     verified, rounds = new_path(spark, "verified"), new_path(spark, "rounds")
     with scratch(spark):
         groups = stored(rare_shingles(shingled, similarity).withColumnRenamed("shingle", "key").union(empty), "groups")
-        sizes = groups.groupBy("key").count().filter("count > 1")
-        sized = stored(groups.join(sizes, "key"), "sized")
+        sized = stored(with_partners(groups), "sized")
         weight = sized.groupBy("node").agg(F.sum("count").alias("weight"))
-        sized.drop("count").join(weight, "node").write.parquet(f"{rounds}/0")
+        sized.join(weight, "node").select(MEMBER).write.parquet(f"{rounds}/0")
     done = 0
-    while not (members := spark.read.schema("node string, key long, weight long").parquet(f"{rounds}/{done}")).isEmpty():
+    while not (members := spark.read.schema(MEMBERS).parquet(f"{rounds}/{done}")).isEmpty():
         order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
         heads = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 1 << done)
         heads = heads.select("key", F.col("node").alias("head"), F.col("weight").alias("head_weight"))
@@ -372,9 +391,9 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
             close = spark.read.schema(VERIFIED).parquet(f"{verified}/{done}").filter("close")
             # a text goes on in a group if none of the heads is similar; those that were heads themselves have met all others
             linked = asked.join(close, ["node", "head"], "left_semi").select("key", "node")
-            open_ = asked.select("key", "node", "weight").distinct().join(linked, ["key", "node"], "left_anti")
+            open_ = asked.select(MEMBER).distinct().join(linked, ["key", "node"], "left_anti")
             open_ = open_.join(heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
-            open_.select("node", "key", "weight").write.parquet(f"{rounds}/{done + 1}")
+            with_partners(stored(open_.select(MEMBER), "open")).select(MEMBER).write.parquet(f"{rounds}/{done + 1}")
         remove(spark, f"{rounds}/{done}")
         done += 1
     if not done:
@@ -384,6 +403,8 @@ def similar_links(texts: DataFrame, width: int, similarity: float, limit: int) -
     return linked.union(links_past_heads(met, shingled, similarity)).distinct()
 
 
+MEMBER = ["node", "key", "size", "reach", "weight"]
+MEMBERS = "node string, key long, size int, reach long, weight long"
 VERIFIED = "node string, head string, apart double, close boolean"
 ROUNDING = 1e-9  # distances are sums of quotients; a bound on them is taken this much wider
 

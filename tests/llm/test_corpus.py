@@ -140,6 +140,23 @@ def test_one_of_each_links_to_texts_that_left_their_group(spark):
     assert len(wanted) == 12 and {r["doc_id"] for r in kept.collect()} == wanted
 
 
+def test_unlike_copies_of_one_text_are_not_compared_with_each_other(spark, monkeypatch):
+    """Copies with four changed words are farther from the base and from each other than 0.8 allows; no pair of them is asked for."""
+    base = [f"b{j}" for j in range(150)]
+    rows = [(0, " ".join(base)), (1, " ".join(edited(base, {75})))]
+    rows += [(2 + k, " ".join(f"c{k}_{j}" if j in (10 + k % 20, 50 + k % 17, 90 + k % 13, 130 + k % 11) else w for j, w in enumerate(base)))
+             for k in range(200)]
+    asked, plain = [], simhash.overlaps
+
+    def counted(pairs, shingled, similarity):
+        asked.append(pairs.count())
+        return plain(pairs, shingled, similarity)
+    monkeypatch.setattr(simhash, "overlaps", counted)
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == kept_of_all_pairs(rows) and 1 not in kept and len(kept) > 150
+    assert sum(asked) < len(rows)
+
+
 def test_one_of_each_of_small_sets_at_the_very_similarity(spark):
     """Pairs of 4n of 5n shingles, and of all sizes from 1 to 20 with as few in common as 0.8 allows, and one less."""
     rows, i = [], 0
