@@ -134,8 +134,8 @@ class Damaged(Exception):
     pass
 
 
-def parse_record(data: bytes, start: int, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the record at ``start``; ``whole``: nothing but its end may follow."""
+def parse_record(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and end of the record at ``start``."""
     if not data.startswith(b"WARC/1.", start):
         raise Damaged("no version line")
     head_end = data.find(b"\r\n\r\n", start)
@@ -151,7 +151,7 @@ def parse_record(data: bytes, start: int, whole: bool) -> tuple[dict[str, str],
     if not length.isascii() or not length.isdigit():
         raise Damaged("no content length")
     end = head_end + 4 + int(length)
-    if end > len(data) or data[end:end + 4] != PLAIN_END or whole and end + 4 != len(data):
+    if end > len(data) or data[end:end + 4] != PLAIN_END:
         raise Damaged("block does not end where its length says")
     block = data[head_end + 4:end]
     named = headers.get("warc-block-digest", "")
@@ -172,31 +172,65 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return payload
 
 
-def next_gzip(view: memoryview, start: int) -> tuple[Found | None, int]:
-    """The record of the gzip member at ``start`` (none for an empty member) and the end of the member.
+def inflate(view: memoryview, start: int) -> tuple[bytes, int, str | None]:
+    """Content of the gzip member at ``start``, its end, and what is wrong with it; content before a damage is whole.
 
-    It is fed window by window, so that a member costs its own length and not the archive's.
+    It is fed window by window, so that a member costs its own length and not
+    the archive's; a window that fails is fed again in smaller steps.
     """
-    opened, parts, at = zlib.decompressobj(31), [], start
-    try:
-        while not opened.eof and at < len(view):
-            parts.append(opened.decompress(view[at:at + WINDOW]))
-            at += WINDOW
-    except zlib.error as error:
-        raise Damaged(f"member: {error}") from None
-    if not opened.eof:
-        raise Damaged("member is cut off")
-    end = min(at, len(view)) - len(opened.unused_data)
-    content = b"".join(parts)
-    if not content:
-        return None, end
-    headers, block, _ = parse_record(content, 0, whole=True)
-    return Found(start, end - start, headers, payload_of(headers, block)), end
-
-
-def next_plain(data: bytes, start: int) -> tuple[Found | None, int]:
-    headers, block, end = parse_record(data, start, whole=False)
-    return Found(start, end - start, headers, payload_of(headers, block)), end
+    opened, parts, at, step = zlib.decompressobj(31), [], start, WINDOW
+    while not opened.eof and at < len(view):
+        before = opened.copy()
+        try:
+            parts.append(opened.decompress(view[at:at + step]))
+            at += step
+        except zlib.error as error:
+            if step == 1:
+                return b"".join(parts), at, f"member: {error}"
+            opened, step = before, step // 256
+    return b"".join(parts), min(at, len(view)) - len(opened.unused_data), None if opened.eof else "member is cut off"
+
+
+def records_of(content: bytes, sound: bool) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """The records in the content of a member that pass their checks, and the first failure.
+
+    A damaged member has no check of its own content, so its records need a block digest.
+    """
+    passed, problem, at = [], None, 0
+    while at < len(content):
+        try:
+            headers, block, end = parse_record(content, at)
+            if not sound and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damaged("record without a digest in a damaged member")
+            passed.append((headers, payload_of(headers, block)))
+            at = end
+        except Damaged as error:
+            problem = problem or str(error)
+            later = content.find(b"WARC/1.", at + 1)
+            at = later if later >= 0 else len(content)
+    return passed, problem
+
+
+def next_gzip(view: memoryview, start: int) -> tuple[list[Found], int, str | None]:
+    """Records of the gzip member at ``start`` (none of an empty one), where to go on, and what was wrong with the member.
+
+    The first record has the length of the member, the others none; if
+    something was wrong, none has, since the member's bytes are a gap.
+    """
+    content, end, damage = inflate(view, start)
+    passed, problem = records_of(content, damage is None)
+    problem = damage or problem
+    if problem and not passed:
+        raise Damaged(problem)
+    made = [Found(start, 0, headers, payload) for headers, payload in passed]
+    if made and not problem:
+        made[0].length = end - start
+    return made, end if damage is None else start + 1, problem
+
+
+def next_plain(data: bytes, start: int) -> tuple[list[Found], int, str | None]:
+    headers, block, end = parse_record(data, start)
+    return [Found(start, end - start, headers, payload_of(headers, block))], end, None
 
 
 def candidates(data: bytes, start: int) -> Iterator[tuple[int, bool]]:
@@ -215,31 +249,40 @@ def salvage(data: bytes) -> Iterator[Found]:
     """All records of an archive that pass their checks, and the gaps between them, in order.
 
     After a check has failed, the search goes on one byte behind the place
-    that failed, to the next member or version line whose record passes.  The
-    bytes passed over are one gap, with the first failure as its problem.
+    that failed, to the next member or version line with a record that passes.
+    The bytes passed over are one gap, with the first failure as its problem.
+    A member may hold any number of records.  Of a damaged one those before the
+    damage are read, of a sound one those around a bad record; its bytes are
+    a gap all the same.
     """
     view, at = memoryview(data), 0
     while at < len(data):
-        is_member = data.startswith(GZIP_START, at)
         try:
-            found, end = next_gzip(view, at) if is_member else next_plain(data, at)
+            found, end, problem = next_gzip(view, at) if data.startswith(GZIP_START, at) else next_plain(data, at)
         except Damaged as error:
-            found, place, end = next_valid(view, data, at + 1)
+            place = next_valid(view, data, at + 1)
             yield Found(at, place - at, {}, b"", str(error))
-        if found is not None:
-            yield found
+            at = place
+            continue
+        yield from found
+        if problem:
+            # the end of a damaged member is not known; its stored blocks may show records again that have been read
+            place = end if end > at + 1 else next_valid(view, data, end, {f.headers.get("warc-record-id") for f in found})
+            yield Found(at, place - at, {}, b"", problem)
+            end = place
         at = end
 
 
-def next_valid(view: memoryview, data: bytes, start: int) -> tuple[Found | None, int, int]:
-    """The first record from ``start`` on that passes its checks, its place and its end; both are the file's end if none does."""
+def next_valid(view: memoryview, data: bytes, start: int, known: set | frozenset = frozenset()) -> int:
+    """The first place from ``start`` on with a record, not of ``known`` ids, that passes its checks, or an empty member; else the file's end."""
     for place, is_member in candidates(data, start):
         try:
-            found, end = next_gzip(view, place) if is_member else next_plain(data, place)
+            found, _, _ = next_gzip(view, place) if is_member else next_plain(data, place)
         except Damaged:
             continue
-        return found, place, end
-    return None, len(data), len(data)
+        if not found or any(f.headers.get("warc-record-id") not in known for f in found):
+            return place
+    return len(data)
 
 
 def number(text: str | None) -> int | None:
@@ -251,7 +294,8 @@ def number(text: str | None) -> int | None:
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every record below ``path``, and a row of type ``gap`` for each run of bytes that was given up.
 
-    Gzip members and plain records may be mixed.  ``problem`` is null but for
+    Gzip members and plain records may be mixed, and a member may hold several
+    records, the first of which has its length.  ``problem`` is null but for
     gaps, which name the archive, offset and length that are quarantined.
     ``payload_bytes`` of a revisit is the length of the full payload.
     Archives are read whole, one per task at a time.
