@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.storage import new_path, stored
 
 QUERY_BLOCK = 1024  # rows of queries that are broadcast and scored at once
+LIMIT = 1 << 63  # of scores and weights
 BATCH = 2048  # candidates whose scores a task holds at once: 16 MB with a full block
 
 
@@ -28,10 +29,16 @@ def usable(vector: str) -> Column:
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, factor: int) -> DataFrame:
-    """``(id, weights)`` with ``floor(factor * x)`` of each component; rows without an id or a usable vector go."""
+    """``(id, weights)`` with ``floor(factor * x)`` of each component; rows without an id or a usable vector go.
+
+    A component that is no 64-bit integer then is an error.
+    """
+    def weight(x: Column) -> Column:
+        wide = F.abs(x.cast("double") * factor) >= float(LIMIT)
+        return F.when(wide, F.raise_error(F.lit("a scaled component is no 64-bit integer"))).otherwise(F.floor(x.cast("double") * factor)).cast("long")
     return vectors.filter(F.col(id_col).isNotNull() & usable(vector_col)).select(
         F.col(id_col).cast("long").alias("id"),
-        F.transform(vector_col, lambda x: F.floor(x.cast("double") * factor).cast("long")).alias("weights"))
+        F.transform(vector_col, weight).alias("weights"))
 
 
 def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,19 +68,34 @@ def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple
     return query[place < k], ids[place < k], score[place < k]
 
 
+def largest(lists: dict) -> dict[int, float]:
+    return {term: float(np.abs(weight).max()) for term, (_, weight) in lists.items()}
+
+
 def score_batch(batch: pa.RecordBatch, query_ids: np.ndarray, query_lists: dict, k: int):
-    """Top k of one batch for every query of the block, as (query number, id, score)."""
+    """Top k of one batch for every query of the block, as (query number, id, score).
+
+    Where a sum could pass 64 bits it is made of Python's integers, and a score that does pass them is an error.
+    """
     ids, *entries = flat(batch)
     lists = postings(*entries)
-    scores = np.zeros((len(query_ids), len(ids)), np.int64)
+    most, most_asked = largest(lists), largest(query_lists)
+    wide = sum(m * most_asked[term] for term, m in most.items() if term in most_asked) >= LIMIT / 2
+    scores = np.zeros((len(query_ids), len(ids)), object if wide else np.int64)
     for term, (q, q_weight) in query_lists.items():
         if term in lists:
             row, weight = lists[term]
-            if len(row) == len(ids) and len(q) == len(query_ids):
+            if wide:
+                scores[np.ix_(q, row)] += q_weight.astype(object)[:, None] * weight.astype(object)
+            elif len(row) == len(ids) and len(q) == len(query_ids):
                 scores += q_weight[:, None] * weight
             else:
                 scores[np.ix_(q, row)] += q_weight[:, None] * weight
     allowed = query_ids[:, None] != ids
+    if wide:
+        if (np.abs(scores[allowed]) >= LIMIT).any():
+            raise OverflowError("a score is no 64-bit integer")
+        scores = np.where(allowed, scores, 0).astype(np.int64)
     scores[~allowed] = np.iinfo(np.int64).min
     if len(ids) > k:
         allowed &= scores >= np.partition(scores, len(ids) - k, axis=1)[:, [len(ids) - k]]
@@ -101,7 +123,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, factor: int = 256, i
           vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` best of all other rows for every row that ``is_query`` holds for.
 
-    Scores are exact integers.  Components that one of two vectors lacks count
+    Scores are exact integers; weights and scores beyond 64 bits are an error,
+    never another number.  Equal scores go by the smaller id.  Components that one of two vectors lacks count
     as zero, so vectors of any length (also none) compare.  Rows with a null
     id, a null vector or a null or non-finite component take no part.  Rows
     with the query's own id are never its results; a query id that is

@@ -60,6 +60,16 @@ def test_exact_top_k_over_several_blocks(spark, monkeypatch):
     assert found == brute(rows, lambda a, b: int(np.floor(256 * a) @ np.floor(256 * b)), True, k=3)
 
 
+def test_wide_scores_are_exact_or_an_error(spark):
+    big = float(2 ** 32)
+    rows = [(0, [big, big, 0.0]), (5, [big, -big, 1.0]), (6, [0.0, 1.0, 1.0]), (7, [1.0, 0.0, -1.0])]
+    found = lists(exact_topk.top_k(table(spark, rows), F.col("id") % 5 == 0, k=3))
+    assert found == {0: [(1, 6, 2 ** 48), (2, 7, 2 ** 48), (3, 5, 0)], 5: [(1, 7, 2 ** 48 - 2 ** 16), (2, 0, 0), (3, 6, 2 ** 16 - 2 ** 48)]}
+    for bad in ([big, big, 0.0], [1e30, 0.0, 0.0], [-3e38]):
+        with pytest.raises(Exception, match="64-bit"):
+            exact_topk.top_k(table(spark, [*rows, (8, bad)]), F.col("id") % 5 == 0).collect()
+
+
 def test_few_and_no_vectors(spark):
     two = table(spark, [(0, [1, 0]), (1, [0, 1])])
     assert lists(exact_topk.top_k(two, F.col("id") % 5 == 0)) == {0: [(1, 1, 0)]}
