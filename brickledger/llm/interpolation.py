@@ -126,12 +126,17 @@ def unpacked_hashes(data: bytes) -> np.ndarray:
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    """Counts byte by byte, the low bytes of all first: most others are zero, and so shrink to nothing."""
-    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Counts byte by byte, the low bytes of all first, and as many bytes of each as the largest needs."""
+    octets = counts.astype("<u8").view(np.uint8).reshape(-1, 8)
+    width = max(1, -(-int(counts.max()).bit_length() // 8)) if len(counts) else 1
+    return bytes([width]) + zlib.compress(octets[:, :width].T.tobytes(), 1)
 
 
 def unpacked_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    by_byte = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    octets = np.zeros((by_byte.shape[1], 8), np.uint8)
+    octets[:, :data[0]] = by_byte.T
+    return octets.view("<u8").ravel()
 
 
 def partition_bounds(ascending: np.ndarray, partitions: int) -> np.ndarray:
@@ -184,7 +189,7 @@ def add_up(table: pa.Table) -> pa.Table:
             owned += np.bincount(np.searchsorted(starts, seen, side="right") - 1, minlength=len(block))
         for i in range(len(block)):
             at = place[starts[i]:starts[i + 1]]
-            answers[i] += [packed_counts(np.minimum(t[at], 2 ** 31)) for t in totals]
+            answers[i] += [packed_counts(t[at]) for t in totals]
     return pa.table({
         "block": pa.array(block, pa.int64()), "part": pa.array(table.column("part").to_pylist(), pa.int32()),
         "owned": pa.array(owned), "data": pa.array([packed(a) for a in answers], pa.binary())})
@@ -215,7 +220,7 @@ def counted(shipped: pa.Table, answers: pa.Table, partitions: int) -> pa.Table:
         for key in keys:
             distinct, place = np.unique(key, return_inverse=True)
             places.append((place, partition_bounds(distinct, partitions)))
-            totals.append(np.zeros((2, len(distinct)), np.uint32))
+            totals.append(np.zeros((2, len(distinct)), np.uint64))
         for p, answer in zip(parts, datas):
             found = [unpacked_counts(c) for c in unpacked(answer, ANSWERED * LEVELS)]
             for level, (_, bounds) in enumerate(places):
