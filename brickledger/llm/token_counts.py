@@ -9,6 +9,7 @@ the rest, filled by the tokenizer.  Pre-tokens are never shuffled.
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,8 +22,11 @@ from .common import utf8, whole_texts
 
 # The pre-token pattern of byte-level BPE, as the tokenizer's library states it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Characters that every Unicode version files alike.  Texts with others are cut and counted by the library itself.
+# Characters that every Unicode version files alike.  Pieces with others are cut and counted by the library itself.
 UNUSUAL = regex.compile(r"[^\t-\r\x20-\x7e\xa1-ɏЀ-ӿ‐-‧€]")
+# Whatever the characters around, a pre-token begins at a single space between two of these, and nothing before it matters behind it.
+PIECE_START = re.compile(r"(?<=[\x21-\x7e\xa1-ɏЀ-ӿ‐-‧€])(?= [\x21-\x7e\xa1-ɏЀ-ӿ‐-‧€])")
+CACHED_CHARS = 64  # longer pre-tokens hardly come again, and are not kept
 FREQUENT = 65_536  # entries of the broadcast table: a few MB
 SAMPLE_ROWS = 2_000  # rows that the frequent pre-tokens are taken from; they only decide what is cached where
 CACHE_ENTRIES = 400_000  # of a worker's cache, which is emptied when full
@@ -47,8 +51,13 @@ class Tokens:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if UNUSUAL.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return self.length(text)
+        if not UNUSUAL.search(text):
+            return self.looked_up(text)
+        return sum(self.lengths[p] if UNUSUAL.search(p) else self.looked_up(p) for p in PIECE_START.split(text))
+
+    def looked_up(self, text: str) -> int:
         return sum(map(self.lengths.__getitem__, self.pattern.findall(text)))
 
 
@@ -65,7 +74,9 @@ class Lengths(dict):
         if n is None:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
-            n = self.cache[pre_token] = self.measure(pre_token)
+            n = self.measure(pre_token)
+            if len(pre_token) <= CACHED_CHARS:
+                self.cache[pre_token] = n
         return n
 
 
@@ -81,7 +92,7 @@ def worker(path: str, key: object, table: dict[str, int]) -> Tokens:
 
 
 def frequent_lengths(spark: SparkSession, docs: DataFrame, path: str, text_col: str) -> dict[str, int]:
-    """Lengths of the ``FREQUENT`` commonest pre-tokens of ``SAMPLE_ROWS`` rows."""
+    """Lengths of the ``FREQUENT`` commonest pre-tokens of some ``SAMPLE_ROWS`` rows, counted where they lie."""
     rows = docs.count()
     if not rows:
         return {}
@@ -91,13 +102,14 @@ def frequent_lengths(spark: SparkSession, docs: DataFrame, path: str, text_col:
         for batch in source:
             for text in batch.column(0).to_pylist():
                 seen.update(pattern.findall((text or b"").decode("utf-8", "replace")))
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen.most_common(FREQUENT)], pa.string())], ["pre_token"])
+        common = [(w, n) for w, n in seen.most_common(FREQUENT) if len(w) <= CACHED_CHARS]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in common], pa.string()), pa.array([n for _, n in common], pa.int64())], ["pre_token", "n"])
 
-    share = min(1.0, 1.2 * SAMPLE_ROWS / rows)
-    sample = docs.select(utf8(text_col).alias("text")).sample(False, share, seed=7).limit(SAMPLE_ROWS)
-    common = [r[0] for r in sample.mapInArrow(most_common, "pre_token string").collect()]
+    sample = whole_texts(docs).select(utf8(text_col).alias("text")).sample(False, min(1.0, SAMPLE_ROWS / rows), seed=7)
+    counted = sample.mapInArrow(most_common, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
+    common = counted.orderBy(F.desc("n"), "pre_token").limit(FREQUENT).collect()
     tokens = Tokens(path, {})
-    return {w: tokens.length(w) for w in common}
+    return {r["pre_token"]: tokens.length(r["pre_token"]) for r in common}
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +117,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Equal to the library's count without added special tokens; special strings
     inside a text count as the library takes them by default.  Null and empty
-    texts have no bytes and no tokens.  Ids may be null or repeated.
+    texts have no bytes and no tokens.  Ids may be null or repeated, rows too;
+    an empty table gives no rows.  A character that Unicode versions may file
+    unlike sends only the piece around it to the library, from one space to the next.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(frequent_lengths(spark, docs, tokenizer_path, text_col))

@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +42,17 @@ def test_token_counts_of_any_text(text):
     assert tokens.count(text) == len(tokens.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def test_only_the_piece_with_a_rare_character_goes_to_the_library(monkeypatch):
+    tokens = token_counts.Tokens(PATH, {})
+    text = "plain words here " * 50 + "one 漢字 two\n 😀 three ́x  ٣ it's" + " more plain words" * 50
+    wanted, sent, library = len(tokens.tokenizer.encode(text, add_special_tokens=False).ids), [], tokens.lengths.measure
+    tokens.lengths.measure = lambda piece: sent.append(piece) or library(piece)
+    assert tokens.count(text) == wanted
+    assert sum(map(len, sent)) < 100
+    long = "漢" * 500
+    assert tokens.count(long) == len(tokens.tokenizer.encode(long, add_special_tokens=False).ids) and long not in tokens.lengths.cache
+
+
 def _tokens(made=[]):
     made or made.append(token_counts.Tokens(PATH, {" a": 1}))
     return made[0]
@@ -171,6 +184,36 @@ def test_salvage(compressed):
     assert [f.problem is not None for f in warc.salvage(b"\x00" * 50)] == [True] and list(warc.salvage(b"")) == []
 
 
+def several(n, at=0):
+    return b"".join(warc.record(at + i, None, b"x%d" % (at + i) * 3000, hashlib.sha1(b"x%d" % (at + i) * 3000).hexdigest(), None, "d") + warc.PLAIN_END
+                    for i in range(n))
+
+
+def test_members_of_several_records(spark, tmp_path):
+    first, whole, last = several(3), several(3, 10), warc.member(several(1, 20))
+    assert ids(warc.salvage(warc.member(whole) + last)) == [10, 11, 12, 20]
+    bad = whole.replace(b"x11" * 3000, b"y11" * 3000)
+    cut = warc.member(first)
+    cases = {
+        "sound": (warc.member(first) + last, [0, 1, 2, 20], []),
+        "bad record inside": (warc.member(bad) + last, [10, 12, 20], [(0, len(warc.member(bad)))]),
+        "damaged at its end": (cut[:-30] + b"?" * 22 + cut[-8:] + last, [0, 1, 20], [(0, len(cut))]),
+        "trailer": (cut[:-8] + bytes(8) + last, [0, 1, 2, 20], [(0, len(cut))]),
+        "cut off": (last + cut[:-30], [20, 0, 1], [(len(last), len(cut) - 30)]),
+    }
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = stored.compress(first) + stored.flush()
+    cases["stored, trailer"] = (stored[:-8] + bytes(8) + last, [0, 1, 2, 20], [(0, len(stored))])
+    for name, (data, wanted, gaps) in cases.items():
+        found = list(warc.salvage(data))
+        assert (ids(found), [(f.offset, f.length) for f in found if f.problem]) == (wanted, gaps), name
+        assert sum(f.length for f in found) == len(data), name
+    (tmp_path / "a.warc.gz").write_bytes(cases["bad record inside"][0])
+    read = warc.read(spark, str(tmp_path))
+    assert sorted(r["page_id"] for r in read.filter(~warc.is_gap()).collect()) == [10, 12, 20]
+    assert [(r["offset"], r["length"]) for r in warc.gaps(read).collect()] == [(0, len(warc.member(bad)))]
+
+
 def test_plain_gzip_reads_what_the_writer_made(spark):
     data, _ = archive(True, 2)
     assert gzip.decompress(data + warc.EMPTY_MEMBER).count(b"WARC/1.1") == 2
@@ -260,6 +303,19 @@ def test_base_scores_and_counts(spark, messy, no_docs):
     assert interpolation.score(messy, F.lit(False)).filter("n_known > 0").count() == 0
 
 
+def test_counts_beyond_32_bits():
+    counts = np.array([0, 1, 255, 256, 2 ** 31, 2 ** 32 + 7, 2 ** 50], np.uint64)
+    for some in (counts, counts[:3], counts[:0]):
+        assert np.array_equal(interpolation.unpacked_counts(interpolation.packed_counts(some)), some)
+    key, none = np.array([5], np.uint64), np.array([0])
+    sent = [interpolation.packed([interpolation.packed_hashes(key), interpolation.packed_counts(np.array([2 ** 31])), interpolation.packed_counts(none)]
+                                 * interpolation.LEVELS) for _ in range(3)]
+    made = interpolation.add_up(pa.table({"block": [0, 1, 2], "part": [0, 0, 0], "data": sent}))
+    for data in made.column("data").to_pylist():
+        parts = [interpolation.unpacked_counts(p).tolist() for p in interpolation.unpacked(data, interpolation.ANSWERED * interpolation.LEVELS)]
+        assert parts == [[3 * 2 ** 31], [0]] * interpolation.LEVELS
+
+
 def test_probabilities_add_up(spark):
     import itertools
     docs = [(i, " ".join("abc"[(i * 3 + j * j) % 3] for j in range(i % 9))) for i in range(80)]
