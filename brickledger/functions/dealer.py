@@ -101,10 +101,11 @@ def name_candidates(clean: Column) -> Column:
 
 def best_name(bare: Column, plain: Column, registry) -> Column:
     """First acceptable candidate in display form, else an empty string."""
-    checked = F.zip_with(bare, plain, lambda b, p: F.when(_acceptable(b, p, registry), b))
-    return F.coalesce(
-        format_dealer_name(F.get(F.filter(checked, lambda name: name.isNotNull()), 0)), F.lit("")
-    )
+    pairs = F.zip_with(bare, plain, lambda b, p: F.struct(b.alias("bare"), p.alias("plain")))
+    # none is tested after the first that is accepted
+    first = F.aggregate(pairs, F.lit(None).cast("string"), lambda name, x: F.coalesce(
+        name, F.when(_acceptable(x["bare"], x["plain"], registry), x["bare"])))
+    return F.coalesce(format_dealer_name(first), F.lit(""))
 
 
 def bare_candidates(clean: Column) -> Column:

@@ -19,12 +19,15 @@ def _amounts(line: Column, pattern: str, after: str, comma: str, starts: Column)
     consumed and the matches stay those of ``pattern`` alone.
     """
     watched = f"{pattern}(?=({after})?)"
+    none = F.array().cast("array<struct<value: double, per_area: boolean, at: int>>")
     pairs = F.zip_with(all_groups(line, watched, 1), all_groups(line, watched, 2), lambda value, unit: F.struct(
         F.regexp_replace(value, ",", comma).cast("double").alias("value"), (unit != "").alias("per_area")
     ))
-    return F.zip_with(pairs, starts, lambda pair, at: F.struct(
+    amounts = F.zip_with(pairs, starts, lambda pair, at: F.struct(
         pair["value"].alias("value"), pair["per_area"].alias("per_area"), at.alias("at")
     ))
+    # most lines hold one kind of amount; the others are not read for it
+    return F.when(found(line, pattern), amounts).otherwise(none)
 
 
 def _nearest(positions: Column, at: Column) -> Column:

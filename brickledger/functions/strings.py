@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .scans import quick
 
 
 def strip(c: Column) -> Column:
@@ -42,7 +43,7 @@ def first_filled(*columns: Column) -> Column:
 
 
 def found(c: Column, pattern: str) -> Column:
-    return c.rlike(P.ci(pattern))
+    return c.rlike(P.ci(quick(pattern)))
 
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:

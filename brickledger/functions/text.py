@@ -149,7 +149,8 @@ def sectors(c: Column) -> Column:
 def location(c: Column) -> Column:
     """The first two sectors and the first locality, joined by commas."""
     named = F.transform(F.slice(sectors(c), 1, 2), lambda s: F.concat(F.lit("Sector "), s))
-    locality = title_words(first_group(c, P.LOCALITY, 0))
+    # a scan alone costs far less than the search for the place named first
+    locality = title_words(F.when(found(c, P.LOCALITY), first_group(c, P.LOCALITY, 0)).otherwise(""))
     return F.array_join(F.array_distinct(
         F.concat(named, F.filter(F.array(locality), lambda part: part != ""))
     ), ", ")

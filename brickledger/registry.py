@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .functions import patterns as P
 from .functions.phrases import ODD_CASE, WORDS, Phrase, every_one, folded, is_odd, looked_up
 from .functions.projects import NAME_RULES, PROJECT_NAMES, SPELLINGS, TEXT_RULES
+from .functions.scans import quick
 from .functions.strings import first_filled, found, let
 from .functions.unicode import decode_references, plain_letters
 
@@ -39,7 +40,7 @@ def normalise_plain(c: Column) -> Column:
     name = F.replace(F.upper(c), F.lit("&"), F.lit(" AND "))
     known = P.any_of(*[pattern for pattern, _ in SPELLINGS])
     return let(F.trim(F.regexp_replace(name, "[^A-Z0-9]+", " ")), lambda words: F.when(
-        words.rlike(known), reduce(lambda n, rule: F.regexp_replace(n, rule[0], rule[1]), SPELLINGS, words)
+        words.rlike(quick(known)), reduce(lambda n, rule: F.regexp_replace(n, rule[0], rule[1]), SPELLINGS, words)
     ).otherwise(words))
 
 
@@ -180,10 +181,13 @@ class Registry:
         # the rules are one constant array: the plan does not grow with them
         rules = F.from_json(F.lit(json.dumps([{"project": p, "texts": t} for p, t in NAME_RULES])), "array<struct<project: string, texts: array<string>>>")
         hits = F.filter(rules, lambda rule: F.forall(rule["texts"], lambda text: F.contains(padded, text)))
+        # one scan rejects the names that hold the first text of no rule
+        known = quick(P.any_of(*[re.escape(texts[0]).replace("\\ ", " ") for _, texts in NAME_RULES]))
         # custom names are looked up at each letter
         own = looked_up(F.split(name, ""), [Phrase(i, tuple(spelling), spelling, project) for i, (project, spelling) in enumerate(self.name_spellings())],
                         lambda spelling: F.contains(name, spelling))["project"]
-        return F.when(name == "", "").otherwise(F.coalesce(own, F.get(hits, 0)["project"], F.lit("")))
+        return F.when(name == "", "").otherwise(F.coalesce(
+            own, F.when(padded.rlike(known), F.get(hits, 0)["project"]), F.lit("")))
 
     def name_spellings(self) -> list[tuple[str, str]]:
         """Projects with what a normalised name of a custom one holds, in order."""
