@@ -140,15 +140,15 @@ def build_listings(messages: DataFrame, registry: Registry, cache_path: str | No
 
     Dealer and key follow from text and sender, so of equal texts by one
     sender only the earliest post can remain.  They are reduced to it before
-    any listing is parsed: each text is parsed once per sender, and nothing
-    has to be joined back.  With ``cache_path`` each text is parsed once in
+    any rule runs, the gate included: each text is read once per sender, and
+    nothing has to be joined back.  With ``cache_path`` each text is parsed once in
     all, over all runs.
     """
     if cache_path is not None:
         return keep_earliest(post_rows(extract_once(messages, registry, cache_path)))
-    gated = X.listing_texts(messages).withColumn("digest", digest(F.col("body")))
-    first_posts = earliest_per(gated, ["digest", "sender"], ["timestamp_ms", "chat_id", "message_id"]).drop("digest")
-    parsed = X.parse_bodies(first_posts, registry).withColumn(
+    posts = messages.withColumn("digest", digest(F.col("text")))
+    first_posts = earliest_per(posts, ["digest", "sender"], ["timestamp_ms", "chat_id", "message_id"]).drop("digest")
+    parsed = X.parse_texts(first_posts, registry).withColumn(
         "posted_by", first_filled(F.col("name_in_part"), F.col("name_in_message"))
     )
     return keep_earliest(post_rows(X.to_inventory_rows(parsed, registry)))
