@@ -26,8 +26,13 @@ def earliest_posts_stream(messages: DataFrame, registry: Registry) -> DataFrame:
     State holds a row per ad for good: without a watermark nothing is evicted,
     since any later message may still be the earlier post.  For an inventory
     that outgrows the state store use ``stream_inventory``.
+
+    A batch may be a single file, which one task reads; its messages are dealt
+    out, since the rules cost far more than the reading.
     """
-    posts = with_repost_key(post_rows(templates(messages, registry)), "dealer", "full_message")
+    tasks = messages.sparkSession.sparkContext.defaultParallelism
+    dealt = messages.repartition(tasks, *POST_ORDER[:2], "text")
+    posts = with_repost_key(post_rows(templates(dealt, registry)), "dealer", "full_message")
     fields = [c for c in posts.columns if c != "dedup_key"]
     first = F.min_by(F.struct(*fields), F.struct("ts", *POST_ORDER)).alias("first")
     return posts.groupBy("dedup_key").agg(first).select("dedup_key", "first.*")

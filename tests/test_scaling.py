@@ -10,3 +10,12 @@ def test_posts_are_reduced_before_the_gate(spark):
     # the plan is read from its end: the first window stands nearer to the source than the first Python function
     assert plan.rindex("row_number()") > plan.rindex("ArrowEvalPython")
     assert [r.message_id for r in b.build_listings(messages, b.Registry()).collect()] == [0]
+
+
+def test_a_batch_of_one_file_is_dealt_out_before_the_rules(spark, tmp_path):
+    rows = [(1, i, 1000 + i, "919000000001", "Sobha City\n3 BHK\nAsking 2 cr") for i in range(40)]
+    schema = "chat_id long, message_id long, timestamp_ms long, sender string, text string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    plan = b.earliest_posts_stream(stream, b.Registry())._jdf.queryExecution().analyzed().toString()
+    assert plan.rindex("RepartitionByExpression") > plan.rindex("_nfkc(")
