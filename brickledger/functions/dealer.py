@@ -11,7 +11,7 @@ from .strings import (
     capitalise, digits_only, first_filled, first_group, found, is_blank, last_ten, let, strip,
 )
 from .text import fold_text, strip_format
-from .unicode import plain_letters, plain_letters_each
+from .unicode import needs_plain, plain_letters, plain_letters_each
 
 _TEXTS = "array<string>"
 
@@ -24,7 +24,8 @@ def format_dealer_name(c: Column) -> Column:
 
 
 def _bare_name(c: Column) -> Column:
-    return strip(F.regexp_replace(strip(c), P.NAME_MARKS, ""))
+    return let(strip(c), lambda name: F.when(
+        name.rlike(P.NAME_MARKS), strip(F.regexp_replace(name, P.NAME_MARKS, ""))).otherwise(name))
 
 
 def _acceptable(bare: Column, plain: Column, registry) -> Column:
@@ -47,23 +48,27 @@ def clean_for_names(c: Column) -> Column:
     return strip_format(fold_text(c))
 
 
-def name_candidates(clean: Column) -> Column:
+def _signed(clean: Column) -> Column:
+    return F.array(*[strip(first_group(clean, p)) for p in P.SIGNATURES])
+
+
+def name_candidates(clean: Column, signatures: Column | None = None) -> Column:
     """Possible dealer names in order of preference, as an array of strings.
 
     First the words after a signature phrase; then, for every line with a
     phone, the words before it, after it and on the two lines above; last an
     agency line.  ``clean`` is the result of ``clean_for_names``.
     """
-    signatures = F.array(*[strip(first_group(clean, p)) for p in P.SIGNATURES])
+    signatures = _signed(clean) if signatures is None else signatures
 
     lines = F.filter(F.transform(F.split(clean, "\n", -1), strip), lambda line: line != "")
-    # one struct per line: the text around its first phone, and the lines above
-    around = let(lines, lambda ls: F.transform(ls, lambda line, i: F.struct(
+    # one struct per line with a phone: the text around the first, and the lines above
+    around = let(lines, lambda ls: F.transform(ls, lambda line, i: F.when(line.rlike(P.PHONE), F.struct(
         F.split(line, P.PHONE, 2).alias("sides"),
         F.reverse(F.slice(ls, F.greatest(i - (P.LINES_ABOVE_PHONE - 1), F.lit(1)),
                           F.least(i, F.lit(P.LINES_ABOVE_PHONE)))).alias("above"),
-    )))
-    with_phone = F.filter(around, lambda x: F.size(x["sides"]) > 1)
+    ))))
+    with_phone = F.filter(around, lambda x: x.isNotNull())
 
     def unsigned(c: Column) -> Column:
         return strip(F.regexp_replace(c, P.CALL_SIGNS, " "))
@@ -92,11 +97,14 @@ def name_candidates(clean: Column) -> Column:
         x["above"],
     )))
     none = F.array().cast(_TEXTS)
-    agency = F.array(strip(first_group(clean, P.AGENCY_LINE)))
+    # a scan for the words alone costs far less than the search for the line
+    agency = F.array(F.when(found(clean, P.AGENCY_KINDS), strip(first_group(clean, P.AGENCY_LINE))))
     candidates = F.concat(signatures, F.when(clean.rlike(P.PHONE), beside_phones).otherwise(none), agency)
-    return F.when(
-        clean.isNotNull(), F.filter(candidates, lambda name: F.length(name) >= P.NAME_LENGTHS[0])
-    )
+    return F.when(clean.isNotNull(), _long_enough(candidates))
+
+
+def _long_enough(names: Column) -> Column:
+    return F.filter(names, lambda name: F.length(name) >= P.NAME_LENGTHS[0])
 
 
 def best_name(bare: Column, plain: Column, registry) -> Column:
@@ -108,8 +116,17 @@ def best_name(bare: Column, plain: Column, registry) -> Column:
     return F.coalesce(format_dealer_name(first), F.lit(""))
 
 
-def bare_candidates(clean: Column) -> Column:
-    return F.transform(name_candidates(clean), _bare_name)
+def bare_candidates(clean: Column, registry) -> Column:
+    """Candidates without marks; the first alone if it is sure to be accepted, since none after it is looked at then."""
+    def sure(bare: Column) -> Column:
+        return ~needs_plain(bare) & _acceptable(bare, bare, registry)
+
+    def listed(signatures: Column) -> Column:
+        every = F.transform(name_candidates(clean, signatures), _bare_name)
+        return let(_bare_name(F.get(_long_enough(signatures), 0)), lambda first: F.when(
+            sure(first), F.array(first)).otherwise(every))
+
+    return F.when(clean.isNotNull(), let(_signed(clean), listed))
 
 
 def with_dealer_name(df: DataFrame, text: str, name: str, registry) -> DataFrame:
@@ -120,7 +137,7 @@ def with_dealer_name(df: DataFrame, text: str, name: str, registry) -> DataFrame
     """
     return (
         computed_once(df, _clean=clean_for_names(F.col(text)))
-        .withColumn("_bare", bare_candidates(F.col("_clean")))
+        .withColumn("_bare", bare_candidates(F.col("_clean"), registry))
         .withColumn("_plain", plain_letters_each(F.col("_bare")))
         .withColumn(name, best_name(F.col("_bare"), F.col("_plain"), registry))
         .drop("_clean", "_bare", "_plain")

@@ -12,7 +12,7 @@ _DOUBLES = "array<double>"
 _STRINGS = "array<string>"
 
 
-def _amounts(line: Column, pattern: str, after: str, comma: str, starts: Column) -> Column:
+def _amounts(line: Column, pattern: str, seen: str, after: str, comma: str, starts: Column) -> Column:
     """Every amount in ``line``: value, the area unit that follows, and offset.
 
     The unit is captured inside a look-ahead, so it is seen without being
@@ -27,7 +27,7 @@ def _amounts(line: Column, pattern: str, after: str, comma: str, starts: Column)
         pair["value"].alias("value"), pair["per_area"].alias("per_area"), at.alias("at")
     ))
     # most lines hold one kind of amount; the others are not read for it
-    return F.when(found(line, pattern), amounts).otherwise(none)
+    return F.when(found(line, seen), amounts).otherwise(none)
 
 
 def _nearest(positions: Column, at: Column) -> Column:
@@ -48,8 +48,7 @@ def money(text: Column, deal: Column | None = None) -> Column:
     no_offsets = F.array().cast("array<int>")
     rent_deal = F.lit(False) if deal is None else F.coalesce(deal == "Rent", F.lit(False))
 
-    amount = P.any_of(P.CRORE, P.LAKH, P.THOUSAND, P.PLAIN_AMOUNT)
-    with_amounts = F.filter(F.split(text, "\n", -1), lambda line: found(line, amount))
+    with_amounts = F.filter(F.split(text, "\n", -1), lambda line: found(line, P.AMOUNT_SEEN))
 
     # Each stage below is a transform of its own: a lambda variable is computed
     # once, whereas a repeated expression would be computed at every use.
@@ -72,11 +71,11 @@ def money(text: Column, deal: Column | None = None) -> Column:
             offsets(P.RENT_WORDS).alias("rent_at"),
             offsets(P.SALE_WORDS).alias("sale_at"),
             (~x["rent_word"] & found(line, P.AREA_UNIT_BEFORE_AT)).alias("rate_line"),
-            _amounts(line, P.CRORE, P.AREA_UNIT_AFTER, ".", no_offsets).alias("crore"),
-            _amounts(line, P.LAKH, P.AREA_UNIT_AFTER, ".", offsets(P.LAKH)).alias("lakh"),
-            _amounts(line, P.THOUSAND, P.AREA_UNIT_AFTER, ".", offsets(P.THOUSAND)).alias("thousand"),
+            _amounts(line, P.CRORE, P.CRORE_SEEN, P.AREA_UNIT_AFTER, ".", no_offsets).alias("crore"),
+            _amounts(line, P.LAKH, P.LAKH_SEEN, P.AREA_UNIT_AFTER, ".", offsets(P.LAKH)).alias("lakh"),
+            _amounts(line, P.THOUSAND, P.THOUSAND_SEEN, P.AREA_UNIT_AFTER, ".", offsets(P.THOUSAND)).alias("thousand"),
             _amounts(
-                line, P.PLAIN_AMOUNT, P.any_of(P.AREA_UNIT_AFTER, P.AREA_UNIT_AFTER_PLAIN), "",
+                line, P.PLAIN_AMOUNT, P.PLAIN_AMOUNT, P.any_of(P.AREA_UNIT_AFTER, P.AREA_UNIT_AFTER_PLAIN), "",
                 offsets(P.PLAIN_AMOUNT),
             ).alias("plain"),
         )

@@ -27,6 +27,7 @@ WHITESPACE = (
 )
 LEFT_TO_RIGHT_MARK = "\u200e"
 EMOJI = r"[\p{So}\p{Cn}←-⇿⌀-➿⬀-⯿️‍•■-◿]"
+FORMAT_MARKS = r"[*_~`\x00\x80-\x{10ffff}]"  # no other character is changed by strip_format
 LINE_EDGE = " :•*-–—>·|."
 TITLE_EDGE = " :,-|"
 CALL_SIGNS = r"[📞☎️📱📲🤙:–—\-]"
@@ -34,20 +35,28 @@ CALL_SIGNS = r"[📞☎️📱📲🤙:–—\-]"
 # --------------------------------------------------------------------------
 # Numbers in a listing
 # --------------------------------------------------------------------------
-SIZE = (
-    r"(\d{2,6}(?:[.,]\d{1,3})?)\s*(sq\.?\s*(?:yd|yds|yard|yards|gaj)|sq\s*yrd|sqyd|sqyrd|yds?\b|gaj\b|"
+SIZE_UNIT = (
+    r"(sq\.?\s*(?:yd|yds|yard|yards|gaj)|sq\s*yrd|sqyd|sqyrd|yds?\b|gaj\b|"
     r"sq\.?\s*(?:ft|feet)|sqft|sqf\b|sqt\b|\bsf\b|s\.?f\.?t)"
 )
+SIZE = r"(\d{2,6}(?:[.,]\d{1,3})?)\s*" + SIZE_UNIT
 SIZE_IN_YARDS = r"yd|yard|yrd|gaj"
-BHK = (
-    r"(\d(?:\.\d)?(?:\s*(?:&|,|/|\+|and|to)\s*\d(?:\.\d)?)*)\s*(?:\+\s*\d\s*)?\s*"
-    r"(?:bhk|b\.h\.k|bed\s*rooms?|bedrooms?|\bbed\b|br\b)"
-)
+ROOMS = r"(?:bhk|b\.h\.k|bed\s*rooms?|bedrooms?|\bbed\b|br\b)"
+BHK = r"(\d(?:\.\d)?(?:\s*(?:&|,|/|\+|and|to)\s*\d(?:\.\d)?)*)\s*(?:\+\s*\d\s*)?\s*" + ROOMS
 BHK_NUMBER = r"\d(?:\.\d)?"
-CRORE = r"(\d{1,4}(?:[.,]\d{1,3})?)\s*(?:cr\b|crore?s?\b)"
-LAKH = r"(\d{1,4}(?:[.,]\d{1,3})?)\s*(?:lacs?\b|lakhs?\b|l\b)"
+CRORES = r"(?:cr\b|crore?s?\b)"
+LAKHS = r"(?:lacs?\b|lakhs?\b|l\b)"
+CRORE = r"(\d{1,4}(?:[.,]\d{1,3})?)\s*" + CRORES
+LAKH = r"(\d{1,4}(?:[.,]\d{1,3})?)\s*" + LAKHS
 THOUSAND = r"(\d{1,3}(?:\.\d{1,2})?)\s*k\b"
 PLAIN_AMOUNT = r"(?<![\d.])(\d[\d,]{3,8})(?:/-)?(?![\d.])"
+# Found in the same texts, from the last digits on; for tests only
+SIZE_SEEN = r"\d\d(?:[.,]\d{1,3})?\s*" + SIZE_UNIT
+BHK_SEEN = r"\d\s*" + ROOMS
+CRORE_SEEN = r"\d\s*" + CRORES
+LAKH_SEEN = r"\d\s*" + LAKHS
+THOUSAND_SEEN = r"\d\s*k\b"
+AMOUNT_SEEN = any_of(rf"\d\s*(?:{CRORES}|{LAKHS}|k\b)", PLAIN_AMOUNT)
 SECTOR = r"\b(?:sector|sec)\s*[-–:. ]?\s*(\d{1,3}\s*[A-Da-d]?)\b"
 PHONE = r"(?:\+?91[\-\s]?)?\b([6-9]\d{4}[\s\-]?\d{5})\b"
 RATE_PER_AREA = r"(\d{3,6})\s*(?:/-)?\s*(?:per|/|p)\s*sq\.?\s*(?:ft|feet|yd|yard)"
@@ -200,9 +209,12 @@ NOT_A_DEALER = (
     r"call|calling|contact|phone|mobile|mob|tele|tel|whatsapp|chat|"
     r"jai|shree|shyam|mata|radhe|krishna|ram|om|ganesh|allah|god|bless|good\s*morning|welcome|mandate)\b"
 )
+AGENCY_KINDS = (
+    r"Properties|Realtors|Real\s*Estate|Realstate|"
+    r"Associates?|Consultants?|Realty|Homes?|Enterprises?|Interiors?|Infratech|Buildtech|Promoters"
+)
 AGENCY_LINE = (
-    r"(?:^|[\n\r])[🏠🏢🏬]?\s*([A-Za-z][A-Za-z0-9 \t&.',-]{1,35}?\s+(?:Properties|Realtors|Real\s*Estate|Realstate|"
-    r"Associates?|Consultants?|Realty|Homes?|Enterprises?|Interiors?|Infratech|Buildtech|Promoters))"
+    r"(?:^|[\n\r])[🏠🏢🏬]?\s*([A-Za-z][A-Za-z0-9 \t&.',-]{1,35}?\s+(?:" + AGENCY_KINDS + r"))"
     r"\s*[🏠🏢🏬]?(?=$|[\n\r])"
 )
 NAME_END = r"(?=\s*(?:[+0-9,\n\r|•/]|📞|☎|📱|📲|🤙|$))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,9 +49,13 @@ def _score(line: Column, letters: Column, index: Column) -> Column:
 
 def best_title_line(c: Column) -> Column:
     """The line that looks most like a project title; the earlier one on a tie."""
-    def tidy(line: Column, index: Column) -> Column:
-        text = F.regexp_replace(strip_edges(strip_format(line), P.LINE_EDGE), r"\s{2,}", " ")
-        return F.struct(text.alias("line"), index.alias("index"))
+    def tidy(marked: Column) -> Callable[[Column, Column], Column]:
+        def of(line: Column, index: Column) -> Column:
+            bare = F.when(marked, strip_format(line)).otherwise(line)
+            text = F.regexp_replace(strip_edges(bare, P.LINE_EDGE), r"\s{2,}", " ")
+            return F.struct(text.alias("line"), index.alias("index"))
+
+        return of
 
     def shorten(x: Column) -> Column:
         return F.struct(_shorten(x["line"]).alias("line"), x["index"].alias("index"))
@@ -68,7 +74,8 @@ def best_title_line(c: Column) -> Column:
             & ~found(line, P.GENERIC_UNIT)
         )
 
-    tidied = F.filter(F.transform(F.split(c, "\n", -1), tidy), lambda x: F.length(x["line"]) > 3)
+    lines = let(c.rlike(P.FORMAT_MARKS), lambda marked: F.transform(F.split(c, "\n", -1), tidy(marked)))
+    tidied = F.filter(lines, lambda x: F.length(x["line"]) > 3)
     short = F.filter(F.transform(tidied, shorten), lambda x: x["line"].isNotNull())
     titles = F.filter(F.transform(short, count), is_title)
     scored = F.transform(titles, lambda x: F.struct(

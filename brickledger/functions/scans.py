@@ -13,6 +13,7 @@ from functools import lru_cache
 
 FEWEST = 3  # alternatives worth sorting
 QUANTIFIER = "?*+{"
+LETTERS_A_LOOK = 5  # first letters tried one after the other
 
 
 def _end_of(pattern: str, at: int) -> int:
@@ -62,13 +63,16 @@ def _is_word(char: str) -> bool:
 def _first(part: str) -> frozenset[str] | None:
     """Members of a class that holds every character ``part`` can begin with, or None if that is not plain to see."""
     part = part.removeprefix(r"\b")
+    while part.startswith("(?<!"):  # looks back, so what follows is still the first character
+        part = part[_end_of(part, 0):]
     if (inside := _plain_group(part)) is not None:
         found = [_first(a) for a in alternatives(inside)]
         return None if None in found else frozenset().union(*found)
     end = _end_of(part, 0) if part else 0
-    if not part or (part[end:end + 1] and part[end] in "?*{"):
+    if not part or (part[end:end + 1] and part[end] in "?*") or part[end:end + 2] == "{0":
         return None
-    return frozenset([part[:end]]) if part[:end] == r"\d" or _is_word(part[0]) else None
+    plain = part[:end] == r"\d" or _is_word(part[0]) or re.fullmatch(r"/|\\[^A-Za-z0-9]", part[:end])
+    return frozenset([part[:end]]) if plain else None
 
 
 def _sorted_by_first(parts: list[str]) -> tuple[str, str]:
@@ -80,7 +84,10 @@ def _sorted_by_first(parts: list[str]) -> tuple[str, str]:
             by_letter.setdefault(part[0], []).append(part[1:])
         else:
             whole.append(part)
-    words = [letter + (rest[0] if len(rest) == 1 else f"(?:{'|'.join(rest)})") for letter, rest in by_letter.items()]
+    words = [letter + (rest[0] if len(rest) == 1 else f"(?:{'|'.join(rest)})") for letter, rest in sorted(by_letter.items())]
+    if len(words) > LETTERS_A_LOOK:
+        runs = [words[i:i + LETTERS_A_LOOK] for i in range(0, len(words), LETTERS_A_LOOK)]
+        words = [f"(?=[{''.join(word[0] for word in run)}])(?:{'|'.join(run)})" for run in runs]
     firsts = sorted(set(by_letter).union(*[_first(part) for part in whole]))
     return f"(?=[{''.join(firsts)}])", f"(?:{'|'.join(words + whole)})"
 
@@ -109,4 +116,8 @@ def quick(pattern: str) -> str:
         else:
             kinds[border].append(part[len(border):])
     found = [look + border + words for border in (r"\b", "") if kinds[border] for look, words in [_sorted_by_first(kinds[border])]]
+    if len(found) == 2 and not kinds["other"]:
+        # a place where neither kind can begin is left after one look
+        firsts = frozenset().union(*[_first(part) for border in (r"\b", "") for part in kinds[border]])
+        return f"(?=[{''.join(sorted(firsts))}])(?:{'|'.join(found)})"
     return "|".join(found + kinds["other"])

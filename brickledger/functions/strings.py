@@ -20,6 +20,11 @@ def strip_edges(c: Column, edges: str) -> Column:
     return F.trim(c, F.lit(edges))
 
 
+def without(c: Column, marks: str) -> Column:
+    """``c`` without the characters of a class; a text that holds none is not copied."""
+    return F.regexp_replace(c, marks, "")
+
+
 def is_blank(c: Column) -> Column:
     return strip(c) == ""
 

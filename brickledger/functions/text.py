@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from . import patterns as P
 from .strings import (
     all_groups, between, digits_only, first_group, fmt_number, found, is_blank, last_ten, let, none_if_empty, title_words,
+    without,
 )
 from .unicode import nfkc
 
 
 def fold_text(c: Column) -> Column:
     """Drop carriage returns and direction marks, then fold fancy letters."""
-    return nfkc(F.translate(c, "\r" + P.LEFT_TO_RIGHT_MARK, ""))
+    return nfkc(without(c, rf"[\r{P.LEFT_TO_RIGHT_MARK}]"))
 
 
 def strip_format(c: Column) -> Column:
     """Drop chat mark-up and NUL, put a space for every symbol or emoji."""
     # no ASCII character is in the emoji class
-    spaced = let(F.translate(c, "*_~`", ""), lambda plain: F.when(
+    spaced = let(without(c, "[*_~`]"), lambda plain: F.when(
         F.octet_length(plain) == F.length(plain), plain
     ).otherwise(F.regexp_replace(plain, P.EMOJI, " ")))
-    return F.translate(spaced, "\x00", "")
+    return without(spaced, r"\x00")
 
 
 def is_noise(c: Column) -> Column:
@@ -34,7 +35,7 @@ def is_noise(c: Column) -> Column:
 
 def has_listing(c: Column) -> Column:
     """A size, a bedroom count, a crore price or a property word is present."""
-    return found(c, P.any_of(P.BHK, P.SIZE, P.CRORE, P.LISTING_BODY))
+    return found(c, P.any_of(P.BHK_SEEN, P.SIZE_SEEN, P.CRORE_SEEN, P.LISTING_BODY))
 
 
 def chunks(body: Column) -> Column:
@@ -45,7 +46,7 @@ def chunks(body: Column) -> Column:
     count.  One ad, or none, gives the whole body.
     """
     blocks = F.filter(F.split(body, P.BLOCK_BREAK, -1), lambda b: ~is_blank(b))
-    complete = P.any_of(P.CRORE, P.LAKH, P.SIZE, P.BHK)
+    complete = P.any_of(P.CRORE_SEEN, P.LAKH_SEEN, P.SIZE_SEEN, P.BHK_SEEN)
     # A value can reach over a block border only through such characters, so
     # the tail of the buffer is all that must be read again with a new block.
     reach = P.ci(r"[0-9\s.,&/+andto]*\z")
@@ -53,7 +54,7 @@ def chunks(body: Column) -> Column:
     def opens(block: Column) -> Column:
         head = F.substring_index(block, "\n", 1)
         return found(head, P.any_of(P.PROJECT_HINTS, P.SECTOR)) | ~found(
-            block, P.any_of(P.BHK, P.SIZE, P.CRORE, P.BLOCK_SIGNAL)
+            block, P.any_of(P.BHK_SEEN, P.SIZE_SEEN, P.CRORE_SEEN, P.BLOCK_SIGNAL)
         )
 
     def state(done: Column, text: Column, ready: Column, tail: Column) -> Column:
@@ -99,7 +100,9 @@ def deal_type(c: Column) -> Column:
 def property_type(c: Column) -> Column:
     """The first property kind named, or an empty string."""
     kinds = [F.when(found(c, pattern), F.lit(label)) for label, pattern in P.PROPERTY_TYPES]
-    return F.when(c.isNotNull(), F.coalesce(*kinds, F.lit("")))
+    # one scan for all but the last, which most texts are
+    other = F.when(found(c, P.any_of(*[pattern for _, pattern in P.PROPERTY_TYPES[:-1]])), F.coalesce(*kinds[:-1]))
+    return F.when(c.isNotNull(), F.coalesce(other, kinds[-1], F.lit("")))
 
 
 def bhk(c: Column) -> Column:
@@ -120,9 +123,10 @@ def bhk_label(counts: Column) -> Column:
 
 def sizes(c: Column) -> Column:
     """Distinct areas in order of mention, as ``"1500 sq.ft"`` or ``"200 sq.yd"``."""
-    pairs = F.zip_with(all_groups(c, P.SIZE, 1), all_groups(c, P.SIZE, 2), lambda value, unit: F.struct(
-        F.regexp_replace(value, ",", "").cast("double").alias("value"),
-        F.when(found(unit, P.SIZE_IN_YARDS), " sq.yd").otherwise(" sq.ft").alias("unit"),
+    # the number is what stands before the blanks and letters of the unit
+    pairs = F.transform(all_groups(c, P.SIZE, 0), lambda size: F.struct(
+        without(F.regexp_extract(size, r"^[\d.,]+", 0), ",").cast("double").alias("value"),
+        F.when(found(size, P.SIZE_IN_YARDS), " sq.yd").otherwise(" sq.ft").alias("unit"),
     ))
     kept = F.filter(pairs, lambda p: between(p["value"], P.SIZE_RANGE))
     return F.array_distinct(F.transform(kept, lambda p: F.concat(fmt_number(p["value"]), p["unit"])))

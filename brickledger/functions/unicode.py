@@ -8,6 +8,7 @@ the JVM side.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -58,18 +59,29 @@ def _plain(values: pa.Array) -> pa.Array:
     return _plain_letters(values)
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _plain_each(lists: pa.Array) -> pa.Array:
+def _plain_lists(lists: pa.Array) -> pa.Array:
     ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).cast(pa.int32())
     offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
     return pa.ListArray.from_arrays(offsets, _plain_letters(lists.flatten()), mask=pc.is_null(lists))
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _plain_each(lists: pa.Array) -> pa.Array:
+    return _plain_lists(lists)
+
+
+# Spark asks for the size of a batch at every row, and the writer of lists then goes over all null rows before it:
+# lists travel as JSON texts, whose writer does not.
+@F.arrow_udf(ArrayType(StringType()))
+def _plain_each_json(texts: pa.Array) -> pa.Array:
+    return _plain_lists(pa.array([None if t is None else json.loads(t) for t in texts.to_pylist()], pa.list_(pa.string())))
+
+
 def _not_ascii(c: Column) -> Column:
     return F.octet_length(c) != F.length(c)
 
 
-def _needs_plain(c: Column) -> Column:
+def needs_plain(c: Column) -> Column:
     return _not_ascii(c) | c.contains("&#")
 
 
@@ -80,12 +92,12 @@ def nfkc(c: Column) -> Column:
 
 def plain_letters(c: Column) -> Column:
     """HTML references decoded, accents and other marks dropped."""
-    return F.coalesce(_plain(F.when(_needs_plain(c), c)), c)
+    return F.coalesce(_plain(F.when(needs_plain(c), c)), c)
 
 
 def plain_letters_each(c: Column) -> Column:
     """``plain_letters`` for every element of an array column."""
-    return F.coalesce(_plain_each(F.when(F.exists(c, _needs_plain), c)), c)
+    return F.coalesce(_plain_each_json(F.to_json(F.when(F.exists(c, needs_plain), c))), c)
 
 
 SQL_FUNCTIONS = {"nfkc": _nfkc, "plain_letters": _plain, "plain_letters_each": _plain_each}

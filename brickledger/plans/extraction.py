@@ -101,7 +101,7 @@ def _descriptions(registry: Registry) -> dict[str, Column]:
         "location": first_filled(T.location(clean), whole_location),
         "phones": _of_part(F.array_distinct(phones_whole), F.array_union(T.phones(clean), phones_whole)),
         "full_message": F.when(clean.isNotNull(), F.translate(stripped, "\x00", "")),
-        "candidates": F.transform(F.array(clean, other_parts), lambda text: D.bare_candidates(text)),
+        "candidates": F.transform(F.array(clean, other_parts), lambda text: D.bare_candidates(text, registry)),
     }
 
 

@@ -24,6 +24,8 @@ from .functions.scans import quick
 from .functions.strings import first_filled, found, let
 from .functions.unicode import decode_references, plain_letters
 
+RULES_A_SCAN = 8  # tested one by one after a scan for all of them
+
 
 @dataclass(frozen=True)
 class CustomProject:
@@ -70,8 +72,15 @@ def _first_hit(c: Column, rules: list[tuple[str, str]]) -> Column:
     """
     if not rules:
         return F.lit(None).cast("string")
-    ordered = reduce(lambda case, rule: case.when(found(c, rule[0]), rule[1]), rules, F)
-    return F.when(found(c, P.any_of(*[pattern for pattern, _ in rules])), ordered)
+    def some(part: list[tuple[str, str]]) -> Column:
+        return found(c, P.any_of(*[pattern for pattern, _ in part]))
+
+    def in_order(part: list[tuple[str, str]]) -> Column:
+        return reduce(lambda case, rule: case.when(found(c, rule[0]), rule[1]), part, F)
+
+    # the first few that hold a hit also hold the first hit
+    parts = [rules[i:i + RULES_A_SCAN] for i in range(0, len(rules), RULES_A_SCAN)]
+    return F.when(some(rules), reduce(lambda case, part: case.when(some(part), in_order(part)), parts, F))
 
 
 def _words_of(name: str) -> list[str]:
