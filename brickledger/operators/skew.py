@@ -1,4 +1,4 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Work that stays even: joins when one key holds a large share of the rows, and rows that cost far more than their bytes."""
 
 from __future__ import annotations
 
@@ -10,6 +10,19 @@ ROWS_PER_TASK = 1_000_000
 # Most heavy keys sent to every executor.  Their number is at most
 # rows / ROWS_PER_TASK, so this covers 2e11 rows.
 MAX_HEAVY_KEYS = 200_000
+# Tasks for each core where a row costs far more than moving it.
+TASKS_PER_CORE = 4
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over several tasks for each core, by ``keys`` that hardly repeat.
+
+    Adaptive execution joins the tasks after a shuffle up to a number of
+    bytes.  Where each row takes long that leaves few long tasks, and one more
+    than there are cores makes a stage take twice the time.  A number of tasks
+    that is asked for stays.  Reduce the rows first, since all of them move.
+    """
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def heavy_keys(counts: DataFrame, key: str, n: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions.project import project
 from ..functions.strings import first_filled, fmt_number, fmt_rent, is_blank, let, safe_take, strip
 from ..functions.unicode import plain_letters, plain_letters_each
 from ..operators.ranking import running_number
-from ..operators.skew import ROWS_PER_TASK, heavy_keys, spread_join
+from ..operators.skew import ROWS_PER_TASK, dealt, heavy_keys, spread_join
 from ..operators.staging import built_once, computed_once
 from ..operators.storage import stored
 from ..registry import Registry
@@ -208,7 +208,7 @@ def extract_listings(
     texts = computed_once(
         listing_texts(messages), digest=F.sha2("body", 256), repost_key=F.md5(repost_key(F.col("body"), repost_key_limit)))
     gated = stored(texts.select("chat_id", "message_id", "timestamp_ms", "sender", "digest", "repost_key", "body"), "gated")
-    parsed = parse_bodies(gated.select("digest", "body").dropDuplicates(["digest"]), registry)
+    parsed = parse_bodies(dealt(gated.select("digest", "body").dropDuplicates(["digest"]), "digest"), registry)
     posts = gated.drop("body")
     if count_posts:
         posts = running_number(posts, F.col("repost_key"), "chat_id", "message_id", "times_posted")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dealer as D
 from ..functions.strings import first_filled
 from ..operators.dedup import consolidate, earliest_per, flag_superseded, keep_earliest
-from ..operators.skew import ROWS_PER_TASK, heavy_keys, spread_join
+from ..operators.skew import ROWS_PER_TASK, dealt, heavy_keys, spread_join
 from ..operators.staging import built_once, computed_once
 from ..operators.storage import replacing, stored
 from ..operators.windows import recent_listings
@@ -85,7 +85,7 @@ def refresh_parse_cache(
     if known is not None:
         new = new.join(known.select("digest"), "digest", "left_anti")
     # stored, so that the long plan of the rules is analysed and optimised once
-    rows = stored(X.templates(new, registry, keep_empty=True), "templates")
+    rows = stored(X.templates(dealt(new, "digest"), registry, keep_empty=True), "templates")
     listing = F.when(F.col("full_message").isNotNull(), F.struct("part_no", *TEMPLATE_FIELDS))
     # a group here holds the listings of one text, never more
     parsed = rows.groupBy("digest").agg(F.sort_array(F.collect_list(listing)).alias("listings"))
@@ -112,7 +112,7 @@ def extract_once(
     )
     texts = stored(distinct_texts(messages))
     if cache_path is None:
-        parsed = X.templates(texts.select("digest", "text"), registry)
+        parsed = X.templates(dealt(texts.select("digest", "text"), "digest"), registry)
     else:
         parsed = refresh_parse_cache(texts, registry, cache_path, version).select("digest", F.inline("listings"))
     heavy = heavy_keys(texts, "digest", "n_posts", rows_per_task)
@@ -147,8 +147,8 @@ def build_listings(messages: DataFrame, registry: Registry, cache_path: str | No
     if cache_path is not None:
         return keep_earliest(post_rows(extract_once(messages, registry, cache_path)))
     posts = messages.withColumn("digest", digest(F.col("text")))
-    first_posts = earliest_per(posts, ["digest", "sender"], ["timestamp_ms", "chat_id", "message_id"]).drop("digest")
-    parsed = X.parse_texts(first_posts, registry).withColumn(
+    first_posts = earliest_per(posts, ["digest", "sender"], ["timestamp_ms", "chat_id", "message_id"])
+    parsed = X.parse_texts(dealt(first_posts, "digest", "sender").drop("digest"), registry).withColumn(
         "posted_by", first_filled(F.col("name_in_part"), F.col("name_in_message"))
     )
     return keep_earliest(post_rows(X.to_inventory_rows(parsed, registry)))
@@ -188,7 +188,7 @@ def batch_inventory(
 
 def run_counters(messages: DataFrame, registry: Registry) -> DataFrame:
     """Messages processed, listings extracted, texts parsed and texts reused."""
-    texts = distinct_texts(messages).select("text", "n_posts")
+    texts = dealt(distinct_texts(messages), "digest").select("text", "n_posts")
     rows = X.templates(texts, registry, keep_empty=True)
     first_row = F.coalesce(F.col("part_no"), F.lit(0)) == 0
     posts = F.col("n_posts")

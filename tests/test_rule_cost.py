@@ -1,5 +1,7 @@
 """Shorter ways through the rules give what the long ones give."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from brickledger.functions import text as T
 from brickledger.functions.project import best_title_line
 from brickledger.functions.strings import found
 from brickledger.functions.unicode import plain_letters_each
+from brickledger.plans.inventory import run_counters
 
 AMOUNTS = ["", "2.5 cr", "2,50cr", "12345.5 crore", "cr", "5 c r", "x1 crores", "90 lac", "9 l", "9 lx", "45k", "45 km", "4,5 K", "12,500", "1234567890",
            "3 bhk", "3+1 BHK", "3 & 4 bhk", "bhk 3", "2.5 b.h.k", "4 bed room", "4bedx", "3 + 1  br", "3 broad", "5 sqft", "50 sq. yd", "1,5 sqft", "12.5 sf",
@@ -80,3 +83,20 @@ def test_marks_are_taken_out_as_before(spark):
     assert rows[3].f == "ab" and rows[6].f is None
     titles = column(spark, ["*Sobha* City\n3 bhk", "Sobha City\n3 bhk"]).select(best_title_line(text).alias("t")).collect()
     assert [r.t for r in titles] == ["Sobha City"] * 2
+
+
+@pytest.mark.parametrize("build", [
+    b.build_listings, lambda m, r: b.extract_listings(m, r, count_posts=False), b.extract_once, run_counters,
+    lambda m, r: b.build_listings(m, r, "/nowhere/cache")], ids=["listings", "extracted", "once", "counters", "cached"])
+def test_rules_run_in_several_tasks_for_each_core(spark, build, monkeypatch, tmp_path):
+    kept = []
+    # what is stored on the way is looked at too
+    for module in (b.plans.inventory, b.plans.extraction):
+        monkeypatch.setattr(module, "stored", lambda df, label="", kept=kept: kept.append(df) or df)
+    monkeypatch.setattr(b.plans.inventory, "refresh_parse_cache", lambda texts, registry, path, version, run=b.plans.inventory.refresh_parse_cache: run(
+        texts, registry, str(tmp_path / "cache"), version))
+    posts = spark.createDataFrame([(i % 3, i, i, "91900000000", f"{i} bhk flat, 900 sqft, asking 2 cr") for i in range(9)],
+                                  "chat_id long, message_id long, timestamp_ms long, sender string, text string")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [build(posts, b.Registry()), *kept]]
+    tasks = [int(n) for plan in plans for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert tasks and set(tasks) == {4 * spark.sparkContext.defaultParallelism}
