@@ -33,7 +33,7 @@ def _acceptable(bare: Column, plain: Column, registry) -> Column:
     return (
         F.length(bare).between(*P.NAME_LENGTHS)
         & ~bare.rlike(r"\p{Nd}")
-        & (F.length(F.regexp_replace(bare, r"\P{L}", "")) >= P.NAME_LETTERS)
+        & (F.length(F.regexp_replace(bare, r"\P{L}+", "")) >= P.NAME_LETTERS)
         & ~found(bare, P.NOT_A_DEALER)
         & (~found(bare, P.PROJECT_HINTS) | found(bare, P.AGENCY_WORDS))
         & ~registry.is_selected_plain(plain)
@@ -148,7 +148,7 @@ def with_dealer_name(df: DataFrame, text: str, name: str, registry) -> DataFrame
 
 def is_lid(c: Column) -> Column:
     """An opaque linked identity: never shown as a name or phone."""
-    digits = F.regexp_replace(c, r"\P{Nd}", "")
+    digits = F.regexp_replace(c, r"\P{Nd}+", "")
     return F.coalesce(
         ~is_blank(c) & (
             F.lower(c).contains(P.LID_MARK)

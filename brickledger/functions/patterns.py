@@ -39,16 +39,17 @@ SIZE_UNIT = (
     r"(sq\.?\s*(?:yd|yds|yard|yards|gaj)|sq\s*yrd|sqyd|sqyrd|yds?\b|gaj\b|"
     r"sq\.?\s*(?:ft|feet)|sqft|sqf\b|sqt\b|\bsf\b|s\.?f\.?t)"
 )
-SIZE = r"(\d{2,6}(?:[.,]\d{1,3})?)\s*" + SIZE_UNIT
+# Digits and blanks are not given back, since no unit begins with them; a look at the next character spares its search.
+SIZE = r"(\d{2,6}+(?:[.,]\d{1,3}+)?+)\s*+(?=[syg])" + SIZE_UNIT
 SIZE_IN_YARDS = r"yd|yard|yrd|gaj"
 ROOMS = r"(?:bhk|b\.h\.k|bed\s*rooms?|bedrooms?|\bbed\b|br\b)"
-BHK = r"(\d(?:\.\d)?(?:\s*(?:&|,|/|\+|and|to)\s*\d(?:\.\d)?)*)\s*(?:\+\s*\d\s*)?\s*" + ROOMS
+BHK = r"(\d(?=[.\s&,/+atb])(?:\.\d)?(?:\s*(?:&|,|/|\+|and|to)\s*\d(?:\.\d)?)*)\s*(?:\+\s*\d\s*)?\s*" + ROOMS
 BHK_NUMBER = r"\d(?:\.\d)?"
 CRORES = r"(?:cr\b|crore?s?\b)"
 LAKHS = r"(?:lacs?\b|lakhs?\b|l\b)"
-CRORE = r"(\d{1,4}(?:[.,]\d{1,3})?)\s*" + CRORES
-LAKH = r"(\d{1,4}(?:[.,]\d{1,3})?)\s*" + LAKHS
-THOUSAND = r"(\d{1,3}(?:\.\d{1,2})?)\s*k\b"
+CRORE = r"(\d{1,4}+(?:[.,]\d{1,3}+)?+)\s*+" + CRORES
+LAKH = r"(\d{1,4}+(?:[.,]\d{1,3}+)?+)\s*+" + LAKHS
+THOUSAND = r"(\d{1,3}+(?:\.\d{1,2}+)?+)\s*+k\b"
 PLAIN_AMOUNT = r"(?<![\d.])(\d[\d,]{3,8})(?:/-)?(?![\d.])"
 # Found in the same texts, from the last digits on; for tests only
 SIZE_SEEN = r"\d\d(?:[.,]\d{1,3})?\s*" + SIZE_UNIT
@@ -58,7 +59,7 @@ LAKH_SEEN = r"\d\s*" + LAKHS
 THOUSAND_SEEN = r"\d\s*k\b"
 AMOUNT_SEEN = any_of(rf"\d\s*(?:{CRORES}|{LAKHS}|k\b)", PLAIN_AMOUNT)
 SECTOR = r"\b(?:sector|sec)\s*[-–:. ]?\s*(\d{1,3}\s*[A-Da-d]?)\b"
-PHONE = r"(?:\+?91[\-\s]?)?\b([6-9]\d{4}[\s\-]?\d{5})\b"
+PHONE = r"(?=[+6-9])(?:\+?91[\-\s]?)?\b([6-9]\d{4}[\s\-]?\d{5})\b"
 RATE_PER_AREA = r"(\d{3,6})\s*(?:/-)?\s*(?:per|/|p)\s*sq\.?\s*(?:ft|feet|yd|yard)"
 RATE_AFTER_AT = r"@\s*(\d{4,6})\s*(?:/-|/)?(?![\d.])"
 RATE_AFTER_AT_IN_PRICE = r"@\s*(\d{4,6})(?:\s*/-)?"

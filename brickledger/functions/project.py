@@ -61,7 +61,7 @@ def best_title_line(c: Column) -> Column:
         return F.struct(_shorten(x["line"]).alias("line"), x["index"].alias("index"))
 
     def count(x: Column) -> Column:
-        letters = F.length(F.regexp_replace(x["line"], "[^A-Za-z]", ""))
+        letters = F.length(F.regexp_replace(x["line"], "[^A-Za-z]+", ""))
         return F.struct(x["line"].alias("line"), x["index"].alias("index"), letters.alias("letters"))
 
     def is_title(x: Column) -> Column:

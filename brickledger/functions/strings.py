@@ -64,7 +64,7 @@ def between(c: Column, bounds: tuple) -> Column:
 
 
 def digits_only(c: Column) -> Column:
-    return F.regexp_replace(c, r"\D", "")
+    return F.regexp_replace(c, r"\D+", "")
 
 
 def last_ten(c: Column) -> Column:

@@ -99,3 +99,29 @@ def test_rules_run_in_several_tasks_for_each_core(spark, build, monkeypatch, tmp
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in [build(posts, b.Registry()), *kept]]
     tasks = [int(n) for plan in plans for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert tasks and set(tasks) == {4 * spark.sparkContext.defaultParallelism}
+
+
+# the patterns as the rules state them, before digits and blanks were kept and looks added
+STATED = {
+    "SIZE": r"(\d{2,6}(?:[.,]\d{1,3})?)\s*" + P.SIZE_UNIT,
+    "BHK": r"(\d(?:\.\d)?(?:\s*(?:&|,|/|\+|and|to)\s*\d(?:\.\d)?)*)\s*(?:\+\s*\d\s*)?\s*" + P.ROOMS,
+    "CRORE": r"(\d{1,4}(?:[.,]\d{1,3})?)\s*" + P.CRORES,
+    "LAKH": r"(\d{1,4}(?:[.,]\d{1,3})?)\s*" + P.LAKHS,
+    "THOUSAND": r"(\d{1,3}(?:\.\d{1,2})?)\s*k\b",
+    "PHONE": r"(?:\+?91[\-\s]?)?\b([6-9]\d{4}[\s\-]?\d{5})\b",
+}
+LONG = ["+91 98765 43210", "919876543210", "98765-43210 sqft", "12,3456 sqft", "1234567 ſqft", "12.5.5 Sq Ft", "3+1.5 x 2 bhk", "3 4bhk", "3.bhk", "3 to 4 BED",
+        "12.345678 cr", "9,87654 lacs", "12.345k", "1234k", "1.2K", "5 K", "x98765 43210", "+98765 43210", "12 sqft", "4 bhk"]
+
+
+@pytest.mark.parametrize("name", STATED)
+def test_quick_patterns_match_what_the_stated_ones_match(spark, name):
+    texts = AMOUNTS + LONG + [f"{a}{between}{c}" for a in AMOUNTS + LONG for c in LONG for between in (" ", "")]
+
+    def groups(pattern):
+        prefix = "" if name == "PHONE" else "(?iu)"
+        return F.struct(*[F.regexp_extract_all("text", F.lit(prefix + pattern), F.lit(i)).alias(f"g{i}") for i in (0, 1)])
+
+    quick_one = getattr(P, name)
+    assert quick_one != STATED[name]
+    assert column(spark, texts).filter(groups(quick_one) != groups(STATED[name])).collect() == []
