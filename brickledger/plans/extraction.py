@@ -192,6 +192,18 @@ def repost_key(body: Column, limit: int | None = None) -> Column:
     return key if limit is None else safe_take(key, limit)
 
 
+def text_digest(text: Column) -> Column:
+    """Identity of a text: SHA-256 of its UTF-8 bytes, as hex."""
+    return F.sha2(text, 256)
+
+
+def distinct_texts(messages: DataFrame) -> DataFrame:
+    """``(digest, text, n_posts)``: every text once, reduced before the shuffle."""
+    return messages.groupBy(text_digest(F.col("text")).alias("digest")).agg(
+        F.first("text").alias("text"), F.count("*").alias("n_posts")
+    )
+
+
 def extract_listings(
     messages: DataFrame, registry: Registry, count_posts: bool = True, repost_key_limit: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
@@ -201,20 +213,25 @@ def extract_listings(
     Dates and times are those of the session time zone.  Without
     ``count_posts`` the running count is left at 1.
 
-    The gate runs once, over messages that are then stored by digest.  Each
-    distinct text is parsed once; posts are numbered and joined to what was
-    found in their text by ids and digests alone.
+    Messages are reduced to their distinct texts before any rule runs, the
+    gate included; what passed it is stored.  Each distinct body is parsed
+    once; posts are numbered and joined to what was found in their text by ids
+    and digests alone.
     """
-    texts = computed_once(
-        listing_texts(messages), digest=F.sha2("body", 256), repost_key=F.md5(repost_key(F.col("body"), repost_key_limit)))
-    gated = stored(texts.select("chat_id", "message_id", "timestamp_ms", "sender", "digest", "repost_key", "body"), "gated")
+    texts = listing_texts(distinct_texts(messages).withColumnRenamed("digest", "text_digest"))
+    keyed = computed_once(
+        texts, digest=F.sha2("body", 256), repost_key=F.md5(repost_key(F.col("body"), repost_key_limit)))
+    gated = stored(keyed.select("text_digest", "n_posts", "digest", "repost_key", "body"), "gated")
     parsed = parse_bodies(gated.select("digest", "body").dropDuplicates(["digest"]), registry)
-    posts = gated.drop("body")
+    posts = messages.select("chat_id", "message_id", "timestamp_ms", "sender", text_digest(F.col("text")).alias("text_digest"))
+    heavy_texts = heavy_keys(gated, "text_digest", "n_posts", rows_per_task)
+    keys = gated.select("text_digest", "digest", "repost_key")
+    posts = spread_join(posts, keys, "text_digest", heavy_texts, ["chat_id", "message_id"]).drop("text_digest")
     if count_posts:
-        posts = running_number(posts, F.col("repost_key"), "chat_id", "message_id", "times_posted")
+        posts = running_number(stored(posts, "posts"), F.col("repost_key"), "chat_id", "message_id", "times_posted")
     else:
         posts = posts.withColumn("times_posted", F.lit(1))
-    copies = gated.groupBy("digest").agg(F.count("*").alias("n_posts"))
+    copies = gated.groupBy("digest").agg(F.sum("n_posts").alias("n_posts"))
     heavy = heavy_keys(copies, "digest", "n_posts", rows_per_task)
     counted = spread_join(posts.drop("repost_key"), parsed, "digest", heavy, ["chat_id", "message_id"])
     posted_at = F.timestamp_millis("timestamp_ms")

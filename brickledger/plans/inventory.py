@@ -17,6 +17,7 @@ from ..operators.windows import recent_listings
 from ..registry import Registry
 from ..schemas import INVENTORY_FIELDS, POST_ORDER
 from . import extraction as X
+from .extraction import distinct_texts, text_digest as digest
 
 TEMPLATE_FIELDS = [*INVENTORY_FIELDS, "name_in_text"]
 PARSE_CACHE = (
@@ -25,23 +26,11 @@ PARSE_CACHE = (
 )
 
 
-def digest(text: Column) -> Column:
-    """Identity of a text: SHA-256 of its UTF-8 bytes, as hex."""
-    return F.sha2(text, 256)
-
-
 def cache_version(registry: Registry, version: str = X.EXTRACTOR_VERSION) -> str:
     """Cached parses are valid for one set of rules and one registry only."""
     return f"{version}-{registry.fingerprint()}"
 
 
-def distinct_texts(messages: DataFrame) -> DataFrame:
-    """``(digest, text, n_posts)``: every text once, reduced before the shuffle."""
-    return messages.groupBy(digest(F.col("text")).alias("digest")).agg(
-        F.first("text").alias("text"), F.count("*").alias("n_posts")
-    )
-
-
 def read_parse_cache(spark, cache_path: str, version: str, digests: DataFrame | None = None) -> DataFrame | None:
     """``(digest, listings)`` of one version; null ``listings`` are damaged and left out.
 

@@ -1,6 +1,7 @@
 """Where in a plan the costly rules stand."""
 
 import brickledger as b
+from brickledger.plans import extraction as X
 
 
 def test_posts_are_reduced_before_the_gate(spark):
@@ -19,3 +20,18 @@ def test_a_batch_of_one_file_is_dealt_out_before_the_rules(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     plan = b.earliest_posts_stream(stream, b.Registry())._jdf.queryExecution().analyzed().toString()
     assert plan.rindex("RepartitionByExpression") > plan.rindex("_nfkc(")
+
+
+def test_extraction_reads_each_text_once_before_the_gate(spark, monkeypatch):
+    texts = ["Sobha City\n3 BHK\nAsking 2 cr", "*Sobha City*\n3 BHK\nAsking 2 cr\r", "Godrej Icon\n2 BHK\nAsking 1 cr", "good morning", " ", None]
+    rows = [(i % 4, i, 1000 + i, "919000000001", texts[i % 6]) for i in range(60)]
+    messages = spark.createDataFrame(rows + rows[:1], "chat_id long, message_id long, timestamp_ms long, sender string, text string")
+    kept, store = {}, X.stored
+    monkeypatch.setattr(X, "stored", lambda df, label: kept.setdefault(label, store(df, label)))
+    # texts with more than four posts are spread over tasks
+    found = b.extract_listings(messages, b.Registry(), rows_per_task=4).collect()
+    assert sorted(r.message_id for r in found) == sorted([i for i in range(60) if i % 6 < 3] + [0])
+    # the numbers go through all posts that read the same without marks, in order of chat and message
+    posts = sorted((r.chat_id, r.message_id, r.times_posted) for r in found if r.message_id % 6 < 2)
+    assert [n for *_, n in posts] == list(range(1, 22))
+    assert kept["gated"].count() == 3
