@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import brickledger as b
+from brickledger.functions.patterns import BYTE_ORDER_MARK
+from brickledger.operators.ranking import numbered
 from brickledger.operators.storage import new_path
 from brickledger.schemas import INVENTORY_FIELDS
 from brickledger.sinks.inventory_csv import file_name, inventory_lines
@@ -194,14 +195,23 @@ HEADER = "chr(65279) || 'SOCIETY,PROJECT LIST STATUS,SEC ,AREA ,ACCO,FLOOR,FLAT
 
 
 def file_lines(spark, path):
-    """``(file_name, place, value)`` of the lines below ``path``: place counts through the part files in name order, from 0."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text = F.decode("content", "UTF-8")
-    lines = files.select(
-        F.regexp_extract(F.url_decode("path"), "file_name=([^/]+)/", 1).alias("file_name"), F.col("path"),
-        F.posexplode(F.split(F.regexp_replace(text, "\r\n$", ""), "\r\n", -1)).alias("at", "value"))
-    return lines.withColumn("place", F.row_number().over(Window.partitionBy("file_name").orderBy("path", "at")) - 1).select(
-        "file_name", "place", "value")
+    """``(file_name, place, value)`` of the lines below ``path``: place counts through the part files in name order, from 0.
+
+    Lines are read by parts of files and numbered by range, so neither a file
+    nor a name needs to fit a task.
+    """
+    # the reader leaves out the byte order mark of a file, whose three bytes are then missing from the lines
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\r\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    read = lines.groupBy("path", "size").agg(F.min(F.struct("start", "at")).alias("first"), F.sum(F.octet_length("value") + 2).alias("n"))
+    marked = read.filter(F.col("size") - F.col("n") == 3).select(F.col("path").alias("_path"), "first")
+    first = (F.col("path") == F.col("_path")) & (F.struct("start", "at") == F.col("first"))
+    whole = lines.join(marked, first, "left").select(
+        F.regexp_extract(F.url_decode("path"), "file_name=([^/]+)/", 1).alias("file_name"), "path", "start", "at",
+        F.concat(F.when(F.col("first").isNotNull(), BYTE_ORDER_MARK).otherwise(""), "value").alias("value"))
+    placed = numbered(whole, ["file_name"], ["path", "start", "at"], "place")
+    return placed.select("file_name", (F.col("place") - 1).cast("int").alias("place"), "value")
 
 
 @check("k1_csv_file", f"""{KEPT_WITH}

@@ -1,7 +1,11 @@
 """Where in a plan the costly rules stand."""
 
+import glob
+from urllib.parse import unquote
+
 import brickledger as b
 from brickledger.plans import extraction as X
+from checks.inventory import file_lines
 
 
 def test_posts_are_reduced_before_the_gate(spark):
@@ -35,3 +39,27 @@ def test_extraction_reads_each_text_once_before_the_gate(spark, monkeypatch):
     posts = sorted((r.chat_id, r.message_id, r.times_posted) for r in found if r.message_id % 6 < 2)
     assert [n for *_, n in posts] == list(range(1, 22))
     assert kept["gated"].count() == 3
+
+
+def test_lines_of_exports_are_read_by_parts_of_files(spark, tmp_path):
+    for name, n in (("A_B", 500), ("C", 40), ("D", 1)):
+        for part in range(2):
+            folder = tmp_path / f"out/file_name=Inventory_{name}_1m.csv"
+            folder.mkdir(parents=True, exist_ok=True)
+            lines = ["\ufeffHEAD é"] * (part == 0) + [f"{name} {part} {i} é" for i in range(n)] + ["\ufefflate mark"] * part
+            (folder / f"part-0000{part}.txt").write_bytes("".join(line + "\r\n" for line in lines).encode())
+    expected = []
+    for folder in glob.glob(f"{tmp_path}/out/*"):
+        text = "".join(open(f, newline="", encoding="utf-8").read() for f in sorted(glob.glob(f"{folder}/*")))
+        expected += [(unquote(folder).rpartition("=")[2], i, line) for i, line in enumerate(text.split("\r\n")[:-1])]
+    # a file spans several tasks, and none is read as one row
+    limits = {"files.maxPartitionBytes": "1000", "files.openCostInBytes": "0", "sources.binaryFile.maxLength": "500"}
+    before = {key: spark.conf.get(f"spark.sql.{key}") for key in limits}
+    try:
+        for key, value in limits.items():
+            spark.conf.set(f"spark.sql.{key}", value)
+        rows = [tuple(r) for r in file_lines(spark, f"{tmp_path}/out").collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(f"spark.sql.{key}", value)
+    assert sorted(rows) == sorted(expected)
