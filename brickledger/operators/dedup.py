@@ -6,13 +6,16 @@ they are shuffled, and the newest ad of a group is found by an aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.unicode import nfkc
 from ..schemas import POST_ORDER
+from .skew import dealt
 from .staging import computed_once
 
 
@@ -45,6 +48,48 @@ def earliest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.withColumn("_nth", F.row_number().over(window)).filter("_nth = 1").drop("_nth")
 
 
+# Most bytes of rows that a task of `nearly_earliest_per` holds.
+BYTES_HELD = 128 * 2**20
+
+
+def _first_rows(held: list[pa.RecordBatch], key: str, order: Sequence[str]) -> pa.Table:
+    """The first row of every ``key`` by ``order``; nulls come first, as in Spark."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    at = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in (key, *order)], null_placement="at_start")
+    keys = table[key].take(at)
+    begins = pc.not_equal(keys[1:], keys[:-1])
+    return table.take(at.filter(pa.chunked_array([pa.array([True]), *begins.chunks])))
+
+
+def nearly_earliest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], bytes_held: int = BYTES_HELD) -> DataFrame:
+    """``earliest_per`` for streams, which allow no windows: the first row of every key group of a batch is left, and few others.
+
+    Rows are dealt out by key.  A task holds the first rows it has met; where
+    they are more than ``bytes_held`` it passes them on and begins anew, so a
+    key may come again, and what follows must still take the first.
+    """
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= bytes_held:
+                held = _first_rows(held, "_key", order).to_batches()
+                size = sum(b.nbytes for b in held)
+                if size >= bytes_held / 2:
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from _first_rows(held, "_key", order).to_batches()
+
+    # a null is told from an empty text
+    parts = [F.coalesce(F.concat(F.lit("="), F.sha2(F.col(k).cast("string"), 256)), F.lit("-")) for k in keys]
+    keyed = dealt(df.withColumn("_key", F.unhex(F.sha2(F.concat(*parts), 256))), "_key")
+    return keyed.mapInArrow(reduced, keyed.schema).drop("_key")
+
+
 def keep_earliest(posts: DataFrame) -> DataFrame:
     """Keep the earliest post of every (dealer, message); a tie goes to the first in post order."""
     return earliest_per(with_repost_key(posts, "dealer", "full_message"), ["dedup_key"], ["ts", *POST_ORDER])

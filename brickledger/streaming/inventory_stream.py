@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedup import earliest_per, flag_superseded, with_repost_key
+from ..operators.dedup import earliest_per, flag_superseded, nearly_earliest_per, with_repost_key
 from ..operators.levels import FAN, Levels, Snapshot, vacuum
 from ..operators.storage import replacing, scratch, stored
 from ..plans.extraction import templates
@@ -28,11 +28,13 @@ def earliest_posts_stream(messages: DataFrame, registry: Registry) -> DataFrame:
     that outgrows the state store use ``stream_inventory``.
 
     A batch may be a single file, which one task reads; its messages are dealt
-    out, since the rules cost far more than the reading.
+    out, since the rules cost far more than the reading.  Of equal texts by one
+    sender in a batch only the earliest post can remain, so the others are left
+    out before the rules.
     """
-    tasks = messages.sparkSession.sparkContext.defaultParallelism
-    dealt = messages.repartition(tasks, *POST_ORDER[:2], "text")
-    posts = with_repost_key(post_rows(templates(dealt, registry)), "dealer", "full_message")
+    columns = ["chat_id", "message_id", "timestamp_ms", "sender", "text"]
+    first_posts = nearly_earliest_per(messages.select(*columns), ["text", "sender"], ["timestamp_ms", "chat_id", "message_id"])
+    posts = with_repost_key(post_rows(templates(first_posts, registry)), "dealer", "full_message")
     fields = [c for c in posts.columns if c != "dedup_key"]
     first = F.min_by(F.struct(*fields), F.struct("ts", *POST_ORDER)).alias("first")
     return posts.groupBy("dedup_key").agg(first).select("dedup_key", "first.*")

@@ -264,8 +264,9 @@ def _stream(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     folder = new_path(spark, "orders")
     orders = spark.read.parquet(f"{sf}/orders.parquet")
-    for part in range(BATCHES):
-        orders.filter(F.pmod(F.hash("o_orderkey"), F.lit(BATCHES)) == part).coalesce(1).write.mode("append").parquet(folder)
+    # all rows of a part are in one range, so each folder holds one file; the parts are written side by side
+    parts = orders.withColumn("part", F.pmod(F.hash("o_orderkey"), F.lit(BATCHES))).repartitionByRange(BATCHES, "part")
+    parts.write.partitionBy("part").parquet(folder)
     stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     stream.createOrReplaceTempView("orders")
     return spark.sql(ads_sql("spark", SALE_TEXT)).select("chat_id", "message_id", "timestamp_ms", "sender", "text")
